@@ -1,170 +1,175 @@
 """Secret scanning and redaction as column expressions.
 
 The rules are unrolled into the plan as literals, so Spark compiles each pattern
-once per task and a single pass over the text serves every rule.  A rule's regex
-only runs on texts that contain one of its hint literals; on ordinary prose the
-cost of a rule is a byte search.
+once per task and a single pass over the table serves every rule.  A rule's
+regex only runs on texts that contain one of its hint literals, and groups and
+positions are only looked up where it matched: on ordinary prose the cost of a
+rule is a byte search.
+
+Functions named ``*_sql`` take and give SQL text (see ``functions.text``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatledger.functions.text import entropy, json_quote, let, utf16_length
+from chatledger.functions.text import (
+    column_sql,
+    entropy_sql,
+    json_quote_sql,
+    let_sql,
+    sql_string,
+    utf16_length_sql,
+)
 from chatledger.rules import RULES, Rule, java_regex
 from chatledger.schemas import FINDING
 
 FINDINGS = f"array<{FINDING.simpleString()}>"
+NO_FINDINGS = f"CAST(array() AS {FINDINGS})"
 
 
-def _hinted(text: Column, rule: Rule) -> Column:
+def _hinted_sql(text: str, rule: Rule) -> str:
     if not rule.hints:
-        return F.lit(True)
-    subject = F.lower(text) if rule.ignore_case else text
-    return reduce(lambda a, b: a | b, (F.contains(subject, F.lit(h)) for h in rule.hints))
+        return "true"
+    subject = f"lower({text})" if rule.ignore_case else text
+    return "(" + " OR ".join(f"contains({subject}, {sql_string(h)})" for h in rule.hints) + ")"
 
 
-def may_have_secrets(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Cheap necessary condition for any finding: some rule's hint occurs."""
-    return F.coalesce(reduce(lambda a, b: a | b, (_hinted(text, r) for r in rules)), F.lit(False))
+def _hinted_by_any_sql(text: str, rules: Sequence[Rule]) -> str:
+    return "coalesce(" + " OR ".join(_hinted_sql(text, r) for r in rules) + ", false)"
 
 
-def _rule_findings(text: Column, rule: Rule, number: int, notice: str | None) -> Column:
+def _rule_sql(text: str, rule: Rule, number: int, notice: str | None, positions: bool) -> str:
     """Findings of one rule in text order, low-entropy values left out."""
-    pattern = F.lit(java_regex(rule.regex, rule.ignore_case))
-    label = F.lit(notice) if notice else F.concat(F.lit("[REDACTED:"), F.upper(F.lit(rule.id)), F.lit("]"))
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    between = F.split(text, pattern, F.lit(-1))
-
-    def total(strings: Column) -> Column:
-        return F.aggregate(strings, F.lit(0), lambda acc, s: acc + utf16_length(s))
-
-    def one(b: Column, match: Column, i: Column) -> Column:
-        # Start of the match: everything between and inside earlier matches.
-        pos = total(F.slice(b["between"], F.lit(1), i + 1)) + total(
-            F.slice(b["whole"], F.lit(1), i)
-        )
-        inner = F.get(b["group"], i)
-        return F.struct(F.when(inner == "", match).otherwise(inner).alias("secret"), pos.alias("pos"))
-
-    hits = let(
-        F.struct(whole.alias("whole"), group.alias("group"), between.alias("between")),
-        lambda b: F.transform(b["whole"], lambda m, i: one(b, m, i)),
+    pattern = sql_string(java_regex(rule.regex, rule.ignore_case))
+    label = sql_string(notice or f"[REDACTED:{rule.id.upper()}]")
+    group = f"regexp_extract_all({text}, {pattern}, {rule.group})" if rule.group else "whole_"
+    between = f"split({text}, {pattern}, -1)" if positions else "array('')"
+
+    def chars(strings: str) -> str:
+        return f"aggregate({strings}, 0, (sum_, s_) -> sum_ + {utf16_length_sql('s_')})"
+
+    # A match starts after everything between and inside the earlier ones.
+    start = (
+        f"{chars('slice(parts_.between_, 1, i_ + 1)')} + {chars('slice(whole_, 1, i_)')}"
+        if positions
+        else "CAST(NULL AS INT)"
+    )
+    secret = "CASE WHEN get(parts_.group_, i_) = '' THEN m_ ELSE get(parts_.group_, i_) END"
+    found = f"transform(whole_, (m_, i_) -> named_struct('secret', {secret}, 'pos', {start}))"
+    found = (
+        f"transform({found}, h_ -> named_struct('secret', h_.secret, 'pos', h_.pos, "
+        f"'bits', {entropy_sql('h_.secret')}))"
     )
-    hits = F.transform(hits, lambda h: F.struct(h["secret"], h["pos"], entropy(h["secret"]).alias("entropy")))
     if rule.min_entropy is not None:
-        hits = F.filter(hits, lambda h: h["entropy"] >= rule.min_entropy)
-    return F.transform(
-        hits,
-        lambda h, i: F.struct(
-            F.lit(number).alias("rule_no"),
-            F.lit(rule.id).alias("rule_id"),
-            F.lit(rule.name).alias("rule_name"),
-            (i + 1).alias("match_no"),
-            h["secret"].alias("matched"),
-            label.alias("redacted"),
-            h["entropy"].alias("entropy"),
-            h["pos"].alias("pos"),
-        ),
+        found = f"filter({found}, h_ -> h_.bits >= {rule.min_entropy}D)"
+    rows = (
+        f"transform({found}, (h_, i_) -> named_struct('rule_no', {number}, "
+        f"'rule_id', {sql_string(rule.id)}, 'rule_name', {sql_string(rule.name)}, "
+        f"'match_no', i_ + 1, 'matched', h_.secret, 'redacted', {label}, "
+        f"'entropy', h_.bits, 'pos', h_.pos))"
+    )
+    parts = let_sql(f"named_struct('group_', {group}, 'between_', {between})", "parts_", rows)
+    return let_sql(
+        f"regexp_extract_all({text}, {pattern}, 0)",
+        "whole_",
+        f"CASE WHEN size(whole_) = 0 THEN {NO_FINDINGS} ELSE CAST({parts} AS {FINDINGS}) END",
     )
 
 
-def find_secrets(text: Column, rules: Sequence[Rule] = RULES, notice: str | None = None) -> Column:
+def findings_sql(
+    text: str, rules: Sequence[Rule] = RULES, notice: str | None = None, positions: bool = True
+) -> str:
     """``array<finding>``: by rule in catalogue order, then by position."""
-    none = F.array().cast(FINDINGS)
     per_rule = [
-        F.when(_hinted(text, rule), _rule_findings(text, rule, i + 1, notice).cast(FINDINGS)).otherwise(none)
-        for i, rule in enumerate(rules)
+        f"CASE WHEN {_hinted_sql(text, rule)} THEN {_rule_sql(text, rule, i, notice, positions)} "
+        f"ELSE {NO_FINDINGS} END"
+        for i, rule in enumerate(rules, 1)
     ]
-    return F.when(may_have_secrets(text, rules), F.concat(*per_rule)).otherwise(none)
+    return f"concat({', '.join(per_rule)})"
 
 
-def blank_out(text: Column, findings: Column) -> Column:
-    """Replace every occurrence of every matched value, in finding order."""
-    return F.aggregate(
-        findings, text, lambda acc, f: F.replace(acc, f["matched"], f["redacted"])
-    )
-
-
-def scan(text: Column, rules: Sequence[Rule] = RULES, notice: str | None = None) -> Column:
+def scan_sql(text: str, rules: Sequence[Rule] = RULES, notice: str | None = None) -> str:
     """``struct<findings, sanitized>`` of one text; null text becomes empty."""
-    text = F.coalesce(text, F.lit(""))
-    clean = F.struct(F.array().cast(FINDINGS).alias("findings"), text.alias("sanitized"))
-    scanned = let(
-        find_secrets(text, rules, notice),
-        lambda f: F.struct(f.alias("findings"), blank_out(text, f).alias("sanitized")),
+    # Every occurrence of every matched value goes, in finding order.
+    blanked = f"aggregate(f_, {text}, (acc_, x_) -> replace(acc_, x_.matched, x_.redacted))"
+    scanned = let_sql(
+        findings_sql(text, rules, notice, positions=False),
+        "f_",
+        f"named_struct('findings', f_, 'sanitized', {blanked})",
+    )
+    return (
+        f"CASE WHEN {_hinted_by_any_sql(text, rules)} THEN {scanned} "
+        f"ELSE named_struct('findings', {NO_FINDINGS}, 'sanitized', coalesce({text}, '')) END"
     )
-    return F.when(may_have_secrets(text, rules), scanned).otherwise(clean)
-
-
-def masked(value: Column) -> Column:
-    """Preview of a secret that is safe to show."""
-    return F.concat(F.substring(value, 1, 4), F.lit("****"))
 
 
-def scan_messages(
-    messages: Column, rules: Sequence[Rule] = RULES, notice: str | None = None
-) -> Column:
+def scan_messages_sql(
+    messages: str, rules: Sequence[Rule] = RULES, notice: str | None = None
+) -> str:
     """``array<struct<message, findings>>`` with every message's text redacted.
 
     Plain content is scanned as it is; of multipart content every part's
     ``text`` is scanned and put back into the part's JSON.
     """
 
-    def scan_part(part: Column) -> Column:
-        text = F.get_json_object(part, "$.text")
-        field = F.concat(F.lit('"text":'), json_quote(text))
-
-        def put_back(s: Column) -> Column:
-            at = F.instr(part, field)
-            return F.overlay(
-                part, F.concat(F.lit('"text":'), json_quote(s["sanitized"])), at, F.char_length(field)
-            )
-
-        return let(
-            scan(text, rules, notice),
-            lambda s: F.struct(
-                s["findings"].alias("findings"),
-                F.when(F.size(s["findings"]) > 0, put_back(s)).otherwise(part).alias("part"),
-            ),
-        )
-
-    def multipart(content: Column) -> Column:
-        return let(
-            F.transform(F.from_json(content, "array<string>"), scan_part),
-            lambda ps: F.struct(
-                F.flatten(F.transform(ps, lambda p: p["findings"])).alias("findings"),
-                F.concat(
-                    F.lit("["), F.array_join(F.transform(ps, lambda p: p["part"]), ","), F.lit("]")
-                ).alias("sanitized"),
-            ),
-        )
-
-    def one(m: Column) -> Column:
-        content = m["content"]
-        untouched = F.struct(F.array().cast(FINDINGS).alias("findings"), content.alias("sanitized"))
-        scanned = F.when(
-            may_have_secrets(content, rules),
-            F.when(m["is_parts"], multipart(content)).otherwise(scan(content, rules, notice)),
-        ).otherwise(untouched)
-        return let(
-            scanned,
-            lambda s: F.struct(
-                F.struct(
-                    m["role"].alias("role"),
-                    s["sanitized"].alias("content"),
-                    m["name"].alias("name"),
-                    m["tool_call_id"].alias("tool_call_id"),
-                    m["is_parts"].alias("is_parts"),
-                ).alias("message"),
-                s["findings"].alias("findings"),
-            ),
-        )
-
-    return F.transform(messages, one)
+    def text_field(value: str) -> str:
+        return f"concat('\"text\":', {json_quote_sql(value)})"
+
+    field = text_field("get_json_object(part_, '$.text')")
+    put_back = let_sql(
+        field,
+        "old_",
+        f"overlay(part_ PLACING {text_field('ps_.sanitized')} FROM instr(part_, old_) "
+        "FOR char_length(old_))",
+    )
+    part = let_sql(
+        scan_sql("get_json_object(part_, '$.text')", rules, notice),
+        "ps_",
+        f"named_struct('findings', ps_.findings, "
+        f"'part', CASE WHEN size(ps_.findings) > 0 THEN {put_back} ELSE part_ END)",
+    )
+    multipart = let_sql(
+        f"transform(from_json(msg_.content, 'array<string>'), part_ -> {part})",
+        "all_",
+        "named_struct('findings', flatten(transform(all_, a_ -> a_.findings)), "
+        "'sanitized', concat('[', array_join(transform(all_, a_ -> a_.part), ','), ']'))",
+    )
+    scanned = (
+        f"CASE WHEN NOT {_hinted_by_any_sql('msg_.content', rules)} "
+        f"THEN named_struct('findings', {NO_FINDINGS}, 'sanitized', msg_.content) "
+        f"WHEN msg_.is_parts THEN {multipart} ELSE {scan_sql('msg_.content', rules, notice)} END"
+    )
+    one = let_sql(
+        scanned,
+        "scan_",
+        "named_struct('message', named_struct('role', msg_.role, 'content', scan_.sanitized, "
+        "'name', msg_.name, 'tool_call_id', msg_.tool_call_id, 'is_parts', msg_.is_parts), "
+        "'findings', scan_.findings)",
+    )
+    return f"transform({messages}, msg_ -> {one})"
+
+
+def may_have_secrets(column: str, rules: Sequence[Rule] = RULES) -> Column:
+    """Cheap necessary condition for any finding: some rule's hint occurs."""
+    return F.expr(_hinted_by_any_sql(column_sql(column), rules))
+
+
+def find_secrets(column: str, rules: Sequence[Rule] = RULES, notice: str | None = None) -> Column:
+    return F.expr(findings_sql(column_sql(column), rules, notice))
 
+
+def scan(column: str, rules: Sequence[Rule] = RULES, notice: str | None = None) -> Column:
+    return F.expr(scan_sql(column_sql(column), rules, notice))
+
+
+def scan_messages(column: str, rules: Sequence[Rule] = RULES, notice: str | None = None) -> Column:
+    return F.expr(scan_messages_sql(column_sql(column), rules, notice))
+
+
+def masked(value: Column) -> Column:
+    """Preview of a secret that is safe to show."""
+    return F.concat(F.substring(value, 1, 4), F.lit("****"))

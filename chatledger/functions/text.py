@@ -43,27 +43,17 @@ def json_number(x: Column) -> Column:
     )
 
 
-def entropy(s: Column) -> Column:
+def entropy(column: str) -> Column:
     """Shannon entropy in bits per character; 0 for null or empty text."""
+    return F.expr(entropy_sql(column_sql(column)))
 
-    def term(acc: Column, ch: Column, size: Column) -> Column:
-        p = (F.char_length(s) - F.char_length(F.replace(s, ch, F.lit("")))) / size
-        return acc - p * F.log2(p)
 
-    bits = let(
-        utf16_length(s).cast("double"),
-        lambda size: F.aggregate(
-            F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, ch: term(acc, ch, size)
-        ),
-    )
-    return F.when(F.char_length(s) > 0, bits).otherwise(F.lit(0.0))
-
-
-def is_high_entropy(s: Column, min_length: int = 20, min_entropy: float = 4.2) -> Column:
+def is_high_entropy(column: str, min_length: int = 20, min_entropy: float = 4.2) -> Column:
     """Long enough, not made of letters and white space only, and random enough."""
+    s = F.col(column)
     letters_only = F.btrim(s, F.lit(WHITE_SPACE + _LETTERS)) == ""
     return F.coalesce(
-        (utf16_length(s) >= min_length) & ~letters_only & (entropy(s) >= min_entropy), F.lit(False)
+        (utf16_length(s) >= min_length) & ~letters_only & (entropy(column) >= min_entropy), F.lit(False)
     )
 
 
@@ -90,3 +80,46 @@ def epoch_ms(ts: Column) -> Column:
 def utc_day(ms: Column) -> Column:
     """UTC calendar day of an epoch-millisecond value, whatever the session zone."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+
+
+# --- SQL text ----------------------------------------------------------------
+# Large expressions are written as SQL text: Spark parses a whole rule catalogue
+# in one call, where building it node by node takes seconds on the driver.
+
+
+def sql_string(s: str) -> str:
+    """``s`` as a SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once as ``name`` within ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def utf16_length_sql(s: str) -> str:
+    """As :func:`utf16_length`."""
+    return (
+        f"CASE WHEN octet_length({s}) = char_length({s}) THEN char_length({s}) "
+        f"ELSE shiftright(octet_length(encode({s}, 'UTF-16BE')), 1) END"
+    )
+
+
+def entropy_sql(s: str) -> str:
+    """As :func:`entropy`."""
+    share = f"((char_length({s}) - char_length(replace({s}, ch, ''))) / size_)"
+    bits = (
+        f"aggregate(array_distinct(split({s}, '')), 0.0D, "
+        f"(acc_, ch) -> acc_ - {let_sql(share, 'p_', 'p_ * log2(p_)')})"
+    )
+    measured = let_sql(f"CAST({utf16_length_sql(s)} AS DOUBLE)", "size_", bits)
+    return f"CASE WHEN char_length({s}) > 0 THEN {measured} ELSE 0.0D END"
+
+
+def json_quote_sql(s: str) -> str:
+    """As :func:`json_quote`."""
+    return let_sql(f"to_json(array({s}))", "json_", "substring(json_, 2, char_length(json_) - 2)")
+
+
+def column_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -48,7 +48,7 @@ def fold_by_key(
     passed = [*keys, *order]
     picked = df.select(*passed, *[c for c in inputs if c not in passed])
     schema = T.StructType([*[picked.schema[c] for c in passed], *outputs.fields])
-    arrow_schema = to_arrow_schema(schema, timezone="UTC")
+    arrow_schema = to_arrow_schema(schema)
     n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,10 +24,9 @@ def scan_findings(
 ) -> DataFrame:
     """One row per match: ``id_col``, rule, match number, value, label, entropy, start."""
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
-    text = F.col(text_col)
     return (
-        df.where(S.may_have_secrets(text, rules))
-        .select(id_col, F.explode(S.find_secrets(text, rules, notice)).alias("f"))
+        df.where(S.may_have_secrets(text_col, rules))
+        .select(id_col, F.explode(S.find_secrets(text_col, rules, notice)).alias("f"))
         .select(
             id_col,
             F.col("f.rule_id"),
@@ -60,7 +59,7 @@ def redact_text(
     """
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
     kept = [c for c in df.columns if c != text_col]
-    return df.select(*kept, S.scan(F.col(text_col), rules, notice).alias("_s")).select(
+    return df.select(*kept, S.scan(text_col, rules, notice).alias("_s")).select(
         *kept,
         (F.size("_s.findings") > 0).alias("has_secrets"),
         F.size("_s.findings").alias("n_findings"),
@@ -80,12 +79,12 @@ def redact_messages(
     """
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
     kept = [c for c in df.columns if c != messages]
-    scanned = df.withColumn("_s", S.scan_messages(F.col(messages), rules, notice))
+    scanned = df.withColumn("_s", S.scan_messages(messages, rules, notice))
     return scanned.select(
         *kept,
         F.transform("_s", lambda s: s["message"]).alias(messages),
         F.coalesce(
-            F.flatten(F.transform("_s", lambda s: s["findings"])), F.array().cast(S.FINDINGS)
+            F.flatten(F.transform("_s", lambda s: s["findings"])), F.expr(S.NO_FINDINGS)
         ).alias("findings"),
     )
 
@@ -121,7 +120,7 @@ def block_report(df: DataFrame, id_col: str, findings: str = "findings") -> Data
 
 def entropy_profile(df: DataFrame, token_col: str) -> DataFrame:
     """Add ``entropy``, bits per character of ``token_col``."""
-    return df.withColumn("entropy", X.entropy(F.col(token_col)))
+    return df.withColumn("entropy", X.entropy(token_col))
 
 
 def high_entropy_candidates(
@@ -137,8 +136,8 @@ def high_entropy_candidates(
     )
     return (
         df.select(id_col, F.posexplode(tokens).alias("token_no", "token"))
-        .where(X.is_high_entropy(F.col("token"), min_length, min_entropy))
-        .select(id_col, "token", X.entropy(F.col("token")).alias("entropy"))
+        .where(X.is_high_entropy("token", min_length, min_entropy))
+        .select(id_col, "token", X.entropy("token").alias("entropy"))
     )
 
 

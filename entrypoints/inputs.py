@@ -45,7 +45,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def planted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
