@@ -528,7 +528,7 @@ def _undecided(
     size = F.greatest(F.col("_est"), one)
     power_above = F.when(size == 1, F.lit(0)).otherwise(F.char_length(F.bin(size - 1)))
     power_below = F.least(F.char_length(F.bin(size)) - 1, F.lit(top))
-    edge = F.shiftleft(one, F.col("_power"))
+    edge = F.expr("shiftleft(1L, _power)")
 
     sums = (
         hot_sure.where(power_above <= top)

@@ -70,6 +70,11 @@ def running_counters(
     return totals.select(*keys, ms, tie, *counter_columns(prices))
 
 
+def _usd(amount: Column) -> Column:
+    """Four decimals; the noise of summing is cut off first so that halves round alike."""
+    return F.round(F.round(amount, 8), 4)
+
+
 def kpi_rollup(metrics: DataFrame, uptime_s: Column | int) -> DataFrame:
     """Hit rate in percent (0 without requests) and savings of a metrics row."""
     hits = F.col("cache_hits_l1") + F.col("cache_hits_l2")
@@ -85,7 +90,7 @@ def kpi_rollup(metrics: DataFrame, uptime_s: Column | int) -> DataFrame:
         "cache_hits_l2",
         "cache_misses",
         "tokens_saved",
-        F.round("usd_saved", 4).alias("usd_saved"),
+        _usd(F.col("usd_saved")).alias("usd_saved"),
         "redacted_secrets",
     )
 
@@ -108,7 +113,7 @@ def metric_samples(metrics: DataFrame, prefix: str = "prompts_") -> DataFrame:
         sample("cache_hits_total", "counter", F.col("cache_hits_l2"), tier="L2"),
         sample("cache_misses_total", "counter", F.col("cache_misses")),
         sample("tokens_saved_total", "counter", F.col("tokens_saved")),
-        sample("cost_saved_usd", "gauge", F.round("usd_saved", 4)),
+        sample("cost_saved_usd", "gauge", _usd(F.col("usd_saved"))),
         sample("secrets_redacted_total", "counter", F.col("redacted_secrets")),
     )
     return metrics.select(F.inline(samples))

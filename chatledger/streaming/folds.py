@@ -76,7 +76,7 @@ def _fold_stream(
         statefulProcessor=processor,
         outputStructType=schema,
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
 
 
@@ -97,20 +97,20 @@ def rate_limit_stream(
     """
     folds.check_limits(rpm, cost)
     refill_ms = int(folds.bucket_capacity(rpm, burst) / (rpm / 60000)) + 1
-    one = df.withColumn("_n", F.lit(1).cast("bigint"))
-    out = T.StructType([T.StructField("_tokens", T.DoubleType())])
+    one = df.withColumn("requests", F.lit(1).cast("bigint"))
+    out = T.StructType([T.StructField("tokens_", T.DoubleType())])
     answered = _fold_stream(
         one,
         key,
         [ms, tie],
         folds.bucket_step(rpm, burst, cost),
-        [ms, "_n"],
+        [ms, "requests"],
         out,
         "tokens double, last_ms bigint",
         max(idle_ms, refill_ms),
     )
     return answered.select(
-        *df.columns, *folds.bucket_answer(F.col("_tokens"), F.lit(1), rpm, cost)
+        *df.columns, *folds.bucket_answer(F.col("tokens_"), F.lit(1), rpm, cost)
     )
 
 
@@ -125,11 +125,11 @@ def cache_attribution_stream(
     """:func:`chatledger.operators.folds.cache_attribution` over a stream."""
     can = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
     answered = _fold_stream(
-        df.withColumn("_can", can),
+        df.withColumn("can_store", can),
         key,
         [ms, tie],
         StoreTimes(ttl_ms),
-        [ms, "_can"],
+        [ms, "can_store"],
         T.StructType([T.StructField("stored_ms", T.LongType())]),
         "stored_ms bigint",
     )
@@ -159,12 +159,12 @@ def budget_guard_stream(
     daily_budget: int = 0,
 ) -> DataFrame:
     """:func:`chatledger.operators.folds.budget_guard` over a stream."""
-    rows = df.withColumn("_day", folds.day_number(F.col(ms)))
+    rows = df.withColumn("utc_day", folds.day_number(F.col(ms)))
     outputs = T.StructType(
         [
-            T.StructField("_ok", T.BooleanType()),
-            T.StructField("_s", T.LongType()),
-            T.StructField("_d", T.LongType()),
+            T.StructField("passes", T.BooleanType()),
+            T.StructField("session_before", T.LongType()),
+            T.StructField("daily_before", T.LongType()),
         ]
     )
     answered = _fold_stream(
@@ -172,11 +172,11 @@ def budget_guard_stream(
         scope,
         [ms, tie],
         folds.budget_step(session_budget, daily_budget),
-        ["_day", est, charge],
+        ["utc_day", est, charge],
         outputs,
         "session_used bigint, day int, daily_used bigint",
     )
     return answered.select(
         *df.columns,
-        *folds.budget_answer(F.col("_s"), F.col("_d"), F.col(est), session_budget, daily_budget),
+        *folds.budget_answer(F.col("session_before"), F.col("daily_before"), F.col(est), session_budget, daily_budget),
     )

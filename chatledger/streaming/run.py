@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatledger.sources.tables import shared_path
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -16,20 +18,32 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def _only_data_batches(spark: SparkSession) -> Iterator[None]:
+    """Timers and time-to-live ask for one more empty batch after every batch, so a
+    run over the available data would never end; here they wait for real data."""
+    before = spark.conf.get(NO_DATA_BATCHES)
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input, append to files, and return them as a frame."""
     spark = stream.sparkSession
     use_rocksdb(spark)
     out = shared_path(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", shared_path(spark, name + "-state"))
         .option("path", out)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with _only_data_batches(spark):
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -46,14 +60,14 @@ def run_totals(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
+    writer = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", shared_path(spark, name + "-state"))
         .foreachBatch(write)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with _only_data_batches(spark):
+        writer.start().awaitTermination()
     changes = spark.read.parquet(out)
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
     return changes.withColumn("_n", newest).where("_n = 1").select(*stream.columns)

@@ -227,7 +227,7 @@ def last_ms(spark: SparkSession, sf: str) -> Column:
 
 def sse_text(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
     """``(stream_id, text)``: every assistant turn as event-stream text, a chunk
-    per word.  Every tenth stream has no end marker, every seventh a broken line,
+    per word.  Every eleventh stream has no end marker, every seventh a broken line,
     every third reports its usage."""
     turns_ = table_stream(spark, sf, "conversations") if stream else table(spark, sf, "conversations")
     sid = F.col("stream_id")
@@ -262,7 +262,7 @@ def sse_text(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
             head,
             F.lit('{},"finish_reason":"length"}]'),
             usage,
-            F.when(sid % 10 == 0, F.lit("")).otherwise(F.lit("data: [DONE]\n\n")),
+            F.when(sid % 11 == 0, F.lit("")).otherwise(F.lit("data: [DONE]\n\n")),
         ).alias("text"),
     )
 

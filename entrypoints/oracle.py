@@ -437,7 +437,7 @@ ORACLE["usage_metrics_stream"] = ORACLE["usage_metrics"]
 ORACLE["kpi_rollup"] = f"""WITH {OUTCOMES}, t AS (SELECT {totals()} FROM outcomes)
 SELECT 3600::BIGINT AS uptime_s, total_requests,
   CASE WHEN total_requests > 0 THEN round((cache_hits_l1 + cache_hits_l2) / total_requests * 100, 1) ELSE 0 END AS hit_rate_pct,
-  cache_hits_l1, cache_hits_l2, cache_misses, tokens_saved, round(usd_saved, 4) AS usd_saved, redacted_secrets FROM t"""
+  cache_hits_l1, cache_hits_l2, cache_misses, tokens_saved, round(round(usd_saved, 8), 4) AS usd_saved, redacted_secrets FROM t"""
 
 ORACLE["metric_samples"] = f"""WITH {OUTCOMES}, t AS (SELECT {totals()} FROM outcomes)
 SELECT 'prompts_requests_total' AS name, 'counter' AS type, '' AS labels, total_requests::DOUBLE AS value FROM t
@@ -445,7 +445,7 @@ UNION ALL SELECT 'prompts_cache_hits_total', 'counter', 'tier="L1"', cache_hits_
 UNION ALL SELECT 'prompts_cache_hits_total', 'counter', 'tier="L2"', cache_hits_l2 FROM t
 UNION ALL SELECT 'prompts_cache_misses_total', 'counter', '', cache_misses FROM t
 UNION ALL SELECT 'prompts_tokens_saved_total', 'counter', '', tokens_saved FROM t
-UNION ALL SELECT 'prompts_cost_saved_usd', 'gauge', '', round(usd_saved, 4) FROM t
+UNION ALL SELECT 'prompts_cost_saved_usd', 'gauge', '', round(round(usd_saved, 8), 4) FROM t
 UNION ALL SELECT 'prompts_secrets_redacted_total', 'counter', '', redacted_secrets FROM t"""
 
 ORACLE["rolling_latency"] = f"""WITH {OUTCOMES}
@@ -461,7 +461,7 @@ SELECT request_id, used_after - actual_tokens AS used_before, used_after FROM r"
 
 RUNNING = " OVER (PARTITION BY client_id ORDER BY ms, request_id ROWS UNBOUNDED PRECEDING)"
 ORACLE["running_counters"] = f"""WITH {OUTCOMES}
-SELECT client_id, ms, request_id, {totals(RUNNING, places=4)} FROM outcomes"""
+SELECT client_id, ms, request_id, {totals(RUNNING)} FROM outcomes"""
 
 # --- event streams -----------------------------------------------------------
 
@@ -476,7 +476,7 @@ SSE_TEXT = f"""{SAID}, raw AS (
     || CASE WHEN sid % 7 = 0 THEN 'data: {{"id":"broken","mod' || {NL} || {NL} ELSE '' END
     || {SSE_HEAD} || '{{}},"finish_reason":"length"}}]'
     || CASE WHEN sid % 3 = 0 THEN ',"usage":{{"prompt_tokens":11,"completion_tokens":7}}}}' ELSE '}}' END || {NL} || {NL}
-    || CASE WHEN sid % 10 = 0 THEN '' ELSE 'data: [DONE]' || {NL} || {NL} END AS text
+    || CASE WHEN sid % 11 = 0 THEN '' ELSE 'data: [DONE]' || {NL} || {NL} END AS text
   FROM said)"""
 
 ORACLE["sse_lines"] = f"""WITH {SSE_TEXT}, lines AS (
@@ -487,7 +487,7 @@ ORACLE["sse_reassemble"] = f"""WITH {SAID}
 SELECT sid AS stream_id, 'chatcmpl-' || sid AS response_id, 'model-' || sid % 3 AS model, text || ' ' AS content,
   'length' AS finish_reason, CASE WHEN sid % 3 = 0 THEN 11 ELSE 0 END AS prompt_tokens,
   CASE WHEN sid % 3 = 0 THEN 7 ELSE greatest(1, ceil({utf16("(text || ' ')")} / 4.0)) END::BIGINT AS completion_tokens
-FROM said WHERE sid % 10 <> 0"""
+FROM said WHERE sid % 11 <> 0"""
 ORACLE["sse_reassemble_stream"] = ORACLE["sse_reassemble"]
 
 RESPONSES = f"""{SAID}, responses AS (

@@ -403,7 +403,7 @@ def running_usage(spark, sf):
 @query
 def running_counters(spark, sf):
     counters = metrics.running_counters(I.outcome_log(spark, sf), ["client_id"], "ms", "request_id")
-    return rounded(counters, "usd_saved", places=4)
+    return rounded(counters, "usd_saved")
 
 
 # --- event streams -----------------------------------------------------------
