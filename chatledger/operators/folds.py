@@ -1,16 +1,19 @@
 """Operators whose rows depend on earlier *decisions*: rate limits, cache hits, budgets.
 
-A rejected request changes nothing, so these are folds and not windows.  Each is
-split into a part Spark can spread and a small serial rest:
+A rejected request changes nothing, so these are folds and not windows.  For most
+keys a fold is one exchange on the key, a sort, and a pass that carries a state of
+a few numbers from Arrow batch to Arrow batch.
+
+A hot key (see ``operators.running``) would make that pass the job's last task, so
+its fold is first made short by parallel work:
 
 * Requests of one key in one millisecond cannot be told apart by the state, so
-  the log is first aggregated to one narrow row per (key, millisecond).  The
-  fold runs over those: its length is bounded by the clock, not by the traffic,
-  and request rows never pass through it.
-* The fold reads a key's rows in order from a partition sorted by Spark and
-  carries a state of a few numbers from batch to batch.
-* Rows get their answers back by a join on (key, millisecond), which is even
-  also when the key is not.
+  rate limits and cache hits fold over one narrow row per (key, millisecond),
+  counted with partial aggregation.  The length of the fold is bounded by the
+  clock, not by the traffic; requests get their answers back by a join on (key,
+  millisecond), which is even also when the key is not.
+* Budgets fold over the requests that are not certain to be blocked, bounded by
+  the budget; the counters around every request are then running totals.
 
 The step functions are shared with the streaming versions.
 """
@@ -24,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import WindowSpec
 
-from chatledger.operators.running import HOT_MIN_ROWS, SLICE_MS, hot_keys, mark_hot, running_totals
+from chatledger.operators.running import (
+    HOT_MIN_ROWS,
+    SLICE_MS,
+    hot_values,
+    sliced_totals,
+    split_hot,
+)
 
 Step = Callable[..., tuple[Any, tuple]]
 
@@ -38,40 +47,36 @@ def fold_by_key(
     order: Sequence[str],
     step: Step,
     inputs: Sequence[str],
-    outputs: T.StructType,
+    outputs: str,
 ) -> DataFrame:
     """Run ``step(state, *inputs) -> (state, outputs)`` along each key's rows.
 
-    ``state`` starts as None.  The result has the keys, the order columns and
-    ``outputs``.  One exchange on the keys; memory is one batch and one state.
+    ``state`` starts as None.  Adds the ``outputs`` columns to ``df``; columns that
+    are neither key nor input pass through as Arrow data.  One exchange on the
+    keys; memory is one batch and one state.
     """
-    passed = [*keys, *order]
-    picked = df.select(*passed, *[c for c in inputs if c not in passed])
-    schema = T.StructType([*[picked.schema[c] for c in passed], *outputs.fields])
+    added = T._parse_datatype_string(outputs)
+    schema = T.StructType([*df.schema.fields, *added.fields])
     arrow_schema = to_arrow_schema(schema)
-    n_keys = len(keys)
+    names, keys, inputs = df.columns, list(keys), list(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
-            key_columns = [batch.column(i).to_pylist() for i in range(n_keys)]
-            input_columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
+            given = {n: batch.column(names.index(n)).to_pylist() for n in {*keys, *inputs}}
             results = []
-            for key, args in zip(zip(*key_columns), zip(*input_columns)):
+            for key, args in zip(zip(*(given[k] for k in keys)), zip(*(given[i] for i in inputs))):
                 if key != current:
                     current, state = key, None
                 state, result = step(state, *args)
                 results.append(result)
-            columns = [batch.column(i) for i in range(len(passed))]
-            for field, values in zip(outputs.fields, zip(*results)):
-                columns.append(pa.array(values, type=arrow_schema.field(field.name).type))
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema
-            )
+            columns = [batch.column(i).cast(arrow_schema.field(i).type) for i in range(len(names))]
+            for field, values in zip(list(arrow_schema)[len(names) :], zip(*results)):
+                columns.append(pa.array(values, type=field.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
-    return (
-        picked.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-    )
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ordered.mapInArrow(run, schema)
 
 
 # --- rate limits -------------------------------------------------------------
@@ -132,25 +137,25 @@ def rate_limit_audit(
     rpm: float = 60,
     burst: float = 1.5,
     cost: int = 1,
+    min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Add ``allowed, remaining, reset_ms, retry_after_s``: what a token bucket per
-    ``key`` would have answered to each request, in ``(ms, tie)`` order.  A request
-    without a key is kept, its answer null."""
+    ``key`` would have answered to each request, in ``(ms, tie)`` order."""
     check_limits(rpm, cost)
-    per_ms = df.groupBy(key, ms).agg(F.count(F.lit(1)).alias("_n"))
-    states = fold_by_key(
-        per_ms,
-        [key],
-        [ms],
-        bucket_step(rpm, burst, cost),
-        [ms, "_n"],
-        T.StructType([T.StructField("_tokens", T.DoubleType())]),
-    )
+    step = bucket_step(rpm, burst, cost)
+    ordinary, busy = split_hot(df, key, hot_values(df, key, min_rows))
+    one = ordinary.withColumn("n_", F.lit(1).cast("bigint"))
+    folded = fold_by_key(one, [key], [ms, tie], step, [ms, "n_"], "tokens_ double")
+    first = F.lit(1)
+    result = folded.select(*df.columns, *bucket_answer(F.col("tokens_"), first, rpm, cost))
+    if busy is None:
+        return result
+    per_ms = busy.groupBy(key, ms).agg(F.count(F.lit(1)).alias("n_"))
+    states = fold_by_key(per_ms, [key], [ms], step, [ms, "n_"], "tokens_ double").drop("n_")
     nth = F.row_number().over(Window.partitionBy(key, ms).orderBy(tie))
-    return (
-        df.join(states, [key, ms], "left")
-        .withColumn("_nth", nth)
-        .select(*df.columns, *bucket_answer(F.col("_tokens"), F.col("_nth"), rpm, cost))
+    spread = busy.join(states, [key, ms]).withColumn("nth_", nth)
+    return result.unionByName(
+        spread.select(*df.columns, *bucket_answer(F.col("tokens_"), F.col("nth_"), rpm, cost))
     )
 
 
@@ -187,14 +192,14 @@ def delayed_cache_step(ttl_ms: int) -> Step:
 
     def step(state, ms, answers):
         entry, pending = state or (None, [])
-        due = [a for a in pending if a["done"] <= ms]
+        due = [a for a in pending if a[0] <= ms]
         if due:
-            newest = max(due, key=lambda a: a["done"])
-            entry = (newest["done"], newest["payload"])
-            pending = [a for a in pending if a["done"] > ms]
+            newest = max(due, key=lambda a: a[1])
+            entry = newest[1:]
+            pending = [a for a in pending if a[0] > ms]
         live = entry is not None and (ttl_ms <= 0 or ms - entry[0] <= ttl_ms)
         if not live:
-            pending = pending + answers
+            pending = pending + [(max(a["done"], ms + 1), a["done"], a["payload"]) for a in answers]
         return (entry, pending), (entry if live else (None, None))
 
     return step
@@ -209,6 +214,7 @@ def cache_attribution(
     stores: Column | None = None,
     completed_ms: Column | None = None,
     payload: Sequence[str] = (),
+    min_rows: int = HOT_MIN_ROWS,
 ) -> DataFrame:
     """Add ``is_hit, stored_ms``: which requests a response cache would have answered.
 
@@ -221,48 +227,66 @@ def cache_attribution(
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     can = F.coalesce(stores, F.lit(False)) if stores is not None else F.lit(True)
-    rows = df.withColumn("_can", can)
-    carried = F.struct(*payload) if payload else F.lit(None).cast("string")
-    rows = rows.withColumn("_load", carried)
-    outputs = T.StructType(
-        [T.StructField("_live", T.LongType()), T.StructField("_entry", rows.schema["_load"].dataType)]
-    )
-    tie_if_can = F.when(F.col("_can"), F.col(tie))
+    load = F.struct(*payload) if payload else F.lit(None).cast("string")
+    rows = df.withColumn("can_", can).withColumn("load_", load)
+    if completed_ms is not None:
+        done = F.when(F.col("can_"), F.greatest(completed_ms.cast("bigint"), F.col(ms)))
+        answer = F.struct(done.alias("done"), F.col("load_").alias("payload"))
+        rows = rows.withColumn("answer_", F.when(done.isNotNull(), answer))
+    entry = f"live_ bigint, entry_ {rows.schema['load_'].dataType.simpleString()}"
+    ordinary, busy = split_hot(rows, keys[0], hot_values(df, keys[0], min_rows))
 
     if completed_ms is None:
-        fold_in = rows.groupBy(*keys, ms).agg(
-            F.min(tie_if_can).alias("_first"), F.min_by("_load", tie_if_can).alias("_payload")
-        ).withColumn("_stores", F.col("_first").isNotNull())
-        states = fold_by_key(
-            fold_in, keys, [ms], cache_step(ttl_ms), [ms, "_stores", "_payload"], outputs
-        )
-        # A request later in the same millisecond as the storing one already hits.
-        same = Window.partitionBy(*keys, ms)
-        joined = (
-            rows.join(states, [*keys, ms], "left")
-            .withColumn("_first", F.min(tie_if_can).over(same))
-            .withColumn("_own", F.min_by("_load", tie_if_can).over(same))
-        )
-        again = F.coalesce(F.col(tie) > F.col("_first"), F.lit(False))
-        live = F.coalesce(F.col("_live"), F.when(again, F.col(ms)))
-        entry = F.when(F.col("_live").isNotNull(), F.col("_entry")).when(again, F.col("_own"))
+        step = cache_step(ttl_ms)
+        inputs = [ms, "can_", "load_"]
     else:
-        done = F.when(F.col("_can"), F.greatest(completed_ms.cast("bigint"), F.col(ms)))
-        answer = F.when(
-            done.isNotNull(), F.struct(done.alias("done"), F.col("_load").alias("payload"))
+        step = delayed_cache_step(ttl_ms)
+        inputs = [ms, "answers_"]
+        same_ms = Window.partitionBy(*keys, ms)
+        # An answer is seen by later milliseconds only, so those of one
+        # millisecond may be handed over together, with its first request.
+        first = F.row_number().over(same_ms.orderBy(tie)) == 1
+        ordinary = ordinary.withColumn(
+            "answers_", F.when(first, F.collect_set("answer_").over(same_ms)).otherwise(F.array())
         )
-        fold_in = rows.groupBy(*keys, ms).agg(F.collect_set(answer).alias("_answers"))
-        states = fold_by_key(
-            fold_in, keys, [ms], delayed_cache_step(ttl_ms), [ms, "_answers"], outputs
+    result = fold_by_key(ordinary, keys, [ms, tie], step, inputs, entry)
+    result = result.select(*df.columns, "live_", "entry_")
+    if busy is not None:
+        result = result.unionByName(
+            _cache_by_ms(busy, keys, ms, tie, step, entry, completed_ms is not None).select(
+                *result.columns
+            )
         )
-        joined = rows.join(states, [*keys, ms], "left")
-        live, entry = F.col("_live"), F.col("_entry")
-
-    return joined.withColumn("_at", live).withColumn("_with", entry).select(
+    return result.select(
         *df.columns,
-        F.col("_at").isNotNull().alias("is_hit"),
-        F.col("_at").alias("stored_ms"),
-        *[F.col("_with")[c].alias(f"stored_{c}") for c in payload],
+        F.col("live_").isNotNull().alias("is_hit"),
+        F.col("live_").alias("stored_ms"),
+        *[F.col("entry_")[c].alias(f"stored_{c}") for c in payload],
+    )
+
+
+def _cache_by_ms(
+    rows: DataFrame, keys: list[str], ms: str, tie: str, step: Step, entry: str, delayed: bool
+) -> DataFrame:
+    """The cache fold over one row per (key, millisecond), joined back to ``rows``."""
+    tie_if_can = F.when(F.col("can_"), F.col(tie))
+    if delayed:
+        per_ms = rows.groupBy(*keys, ms).agg(F.collect_set("answer_").alias("answers_"))
+        states = fold_by_key(per_ms, keys, [ms], step, [ms, "answers_"], entry)
+        return rows.join(states.drop("answers_"), [*keys, ms])
+    per_ms = (
+        rows.groupBy(*keys, ms)
+        .agg(F.min(tie_if_can).alias("first_"), F.min_by("load_", tie_if_can).alias("own_"))
+        .withColumn("stores_", F.col("first_").isNotNull())
+    )
+    states = fold_by_key(per_ms, keys, [ms], step, [ms, "stores_", "own_"], entry)
+    # A request later in the same millisecond as the storing one already hits.
+    again = F.col("live_").isNull() & (F.col(tie) > F.col("first_"))
+    return rows.join(states, [*keys, ms]).withColumns(
+        {
+            "live_": F.when(again, F.col(ms)).otherwise(F.col("live_")),
+            "entry_": F.when(again, F.col("own_")).otherwise(F.col("entry_")),
+        }
     )
 
 
@@ -298,22 +322,23 @@ def cached_budget_step(session_budget: int, daily_budget: int, ttl_ms: int) -> S
     """As :func:`budget_step` for requests a cache may answer: only a miss is
     charged, and only a miss that passes is stored.  The state also maps the
     hashes stored so far to their times; each cost at least one token of the
-    budget.  Output: whether the request is charged."""
+    budget.  Output: whether the request passes, the counters before it, and
+    whether it is charged."""
 
     def step(state, ms, day, est, charge, key, stores):
         session_used, today, daily_used, entries = state or (0, day, 0, {})
         if day > today:
             today, daily_used = day, 0
-        charged = False
-        if within(session_used, daily_used, est, session_budget, daily_budget):
+        charged, before = False, (session_used, daily_used)
+        ok = within(session_used, daily_used, est, session_budget, daily_budget)
+        if ok and stores:
             stored = entries.get(key)
-            hit = stored is not None and (ttl_ms <= 0 or ms - stored <= ttl_ms)
-            if not hit and stores:
-                charged = True
-                entries[key] = ms
-                session_used += charge
-                daily_used += charge
-        return (session_used, today, daily_used, entries), (charged,)
+            charged = stored is None or (0 < ttl_ms < ms - stored)
+        if charged:
+            entries[key] = ms
+            session_used += charge
+            daily_used += charge
+        return (session_used, today, daily_used, entries), (ok, *before, charged)
 
     return step
 
@@ -336,34 +361,26 @@ def budget_guard(
     tokens if it was an answered miss, otherwise 0.  0 means no limit.  ``tie``
     must identify a request.
 
-    Only charging requests move the counters, and of a hot scope most need no
-    fold: see :func:`_undecided`.  The fold decides the rest; the counters before
-    each request are then running totals of the charges that passed.
+    For a hot scope, only requests that are charged and not certain to be blocked
+    are folded (see :func:`_undecided`); the counters before each request are then
+    running totals of the charges that passed.
     """
-    charging = _budget_rows(df, scope, ms, tie, est, charge).where(F.col("_charge") > 0)
-    if session_budget > 0 or daily_budget > 0:
-        undecided = _undecided(
-            charging, charging, scope, ms, session_budget, daily_budget, min_rows, slice_ms
-        )
-        decided = fold_by_key(
-            undecided,
-            [scope],
-            [ms, tie],
-            budget_step(session_budget, daily_budget),
-            ["_day", "_est", "_charge"],
-            T.StructType(
-                [
-                    T.StructField("_ok", T.BooleanType()),
-                    T.StructField("_s", T.LongType()),
-                    T.StructField("_d", T.LongType()),
-                ]
-            ),
+    step = budget_step(session_budget, daily_budget)
+    budgets = (session_budget, daily_budget)
+    rows = _budget_rows(df, ms, est, charge)
+    hot = hot_values(df, scope, min_rows)
+    ordinary, busy = split_hot(rows, scope, hot)
+    folded = fold_by_key(ordinary, [scope], [ms, tie], step, ["day_", "est_", "charge_"], PASSES)
+    result = folded.select(*df.columns, *_passes(budgets))
+    if busy is None:
+        return result
+    charging = busy.select(scope, ms, tie, "day_", "est_", "charge_").where("charge_ > 0")
+    undecided = _undecided(charging, charging, scope, ms, *budgets, slice_ms)
+    decided = fold_by_key(undecided, [scope], [ms, tie], step, ["day_", "est_", "charge_"], PASSES)
+    return result.unionByName(
+        _budget_answers(busy, decided.where("ok_"), scope, ms, tie, budgets, slice_ms, hot).select(
+            *df.columns, *_passes(budgets)
         )
-        charged = decided.where("_ok")
-    else:
-        charged = charging
-    return _budget_answers(
-        df, charged, scope, ms, tie, est, charge, session_budget, daily_budget, min_rows, slice_ms
     )
 
 
@@ -389,55 +406,55 @@ def budget_guard_cached(
     requests (same key, estimate, storing or not) in one millisecond only the
     first can change anything, so the others stay out of it.
     """
-    rows = _budget_rows(df, scope, ms, tie, est, charge, _key=F.col(key), _stores=F.col(stores))
-    alike = [scope, ms, "_key", "_est", "_stores"]
-    first = rows.groupBy(*alike).agg(
-        F.min_by(F.struct(tie, "_day", "_charge"), tie).alias("_f")
-    ).select(*alike, "_f.*")
-    # The first storing request of a key is charged if it passes: nothing is cached yet.
-    sure = (
-        first.where("_stores")
-        .groupBy(scope, "_key")
-        .agg(F.min_by(F.struct(ms, "_day", "_est", "_charge"), F.struct(ms, tie)).alias("_f"))
-        .select(scope, "_f.*")
+    step = cached_budget_step(session_budget, daily_budget, ttl_ms)
+    budgets = (session_budget, daily_budget)
+    inputs = [ms, "day_", "est_", "charge_", "key_", "stores_"]
+    output = PASSES + ", charged_ boolean"
+    rows = _budget_rows(df, ms, est, charge).withColumns(
+        {"key_": F.col(key), "stores_": F.col(stores)}
     )
-    undecided = _undecided(
-        first, sure, scope, ms, session_budget, daily_budget, min_rows, slice_ms
+    hot = hot_values(df, scope, min_rows)
+    ordinary, busy = split_hot(rows, scope, hot)
+    folded = fold_by_key(ordinary, [scope], [ms, tie], step, inputs, output)
+    result = folded.select(*df.columns, *_passes(budgets))
+    if busy is None:
+        return result
+    alike = [scope, ms, "key_", "est_", "stores_"]
+    first = (
+        busy.groupBy(*alike)
+        .agg(F.min_by(F.struct(tie, "day_", "charge_"), tie).alias("f_"))
+        .select(*alike, "f_.*")
     )
-    decided = fold_by_key(
-        undecided,
-        [scope],
-        [ms, tie],
-        cached_budget_step(session_budget, daily_budget, ttl_ms),
-        [ms, "_day", "_est", "_charge", "_key", "_stores"],
-        T.StructType([T.StructField("_charged", T.BooleanType())]),
+    # The first storing request of a key is charged if it passes: nothing is cached yet.
+    sure = (
+        first.where("stores_")
+        .groupBy(scope, "key_")
+        .agg(F.min_by(F.struct(ms, "day_", "est_", "charge_"), F.struct(ms, tie)).alias("f_"))
+        .select(scope, "f_.*")
     )
-    return _budget_answers(
-        df,
-        decided.where("_charged"),
-        scope,
-        ms,
-        tie,
-        est,
-        charge,
-        session_budget,
-        daily_budget,
-        min_rows,
-        slice_ms,
+    undecided = _undecided(first, sure, scope, ms, *budgets, slice_ms)
+    decided = fold_by_key(undecided, [scope], [ms, tie], step, inputs, output)
+    return result.unionByName(
+        _budget_answers(
+            busy, decided.where("charged_"), scope, ms, tie, budgets, slice_ms, hot
+        ).select(*df.columns, *_passes(budgets))
     )
 
 
-def _budget_rows(
-    df: DataFrame, scope: str, ms: str, tie: str, est: str, charge: str, **more: Column
-) -> DataFrame:
-    return df.select(
-        scope,
-        ms,
-        tie,
-        day_number(F.col(ms)).alias("_day"),
-        F.col(est).cast("bigint").alias("_est"),
-        F.col(charge).cast("bigint").alias("_charge"),
-        *[c.alias(n) for n, c in more.items()],
+PASSES = "ok_ boolean, session_ bigint, daily_ bigint"
+
+
+def _passes(budgets: tuple[int, int]) -> list[Column]:
+    return budget_answer(F.col("session_"), F.col("daily_"), F.col("est_"), *budgets)
+
+
+def _budget_rows(df: DataFrame, ms: str, est: str, charge: str) -> DataFrame:
+    return df.withColumns(
+        {
+            "day_": day_number(F.col(ms)),
+            "est_": F.col(est).cast("bigint"),
+            "charge_": F.coalesce(F.col(charge).cast("bigint"), F.lit(0).cast("bigint")),
+        }
     )
 
 
@@ -447,36 +464,24 @@ def day_number(ms: Column) -> Column:
 
 
 def _budget_answers(
-    df: DataFrame,
+    rows: DataFrame,
     charged: DataFrame,
     scope: str,
     ms: str,
     tie: str,
-    est: str,
-    charge: str,
-    session_budget: int,
-    daily_budget: int,
-    min_rows: int,
+    budgets: tuple[int, int],
     slice_ms: int,
+    hot: Sequence[Any],
 ) -> DataFrame:
-    """Every request's answer, given which requests were charged."""
-    paid = charged.select(scope, ms, tie, F.lit(True).alias("_ok"))
-    amount = F.when(F.col("_ok"), F.col(charge)).otherwise(0).cast("bigint")
-    counted = (
-        df.join(paid, [scope, ms, tie], "left")
-        .withColumn("_pass", amount)
-        .withColumn("_day", day_number(F.col(ms)))
-        .drop("_ok")
-    )
-    total = {"_after": F.col("_pass")}
-    options = {"min_rows": min_rows, "slice_ms": slice_ms}
-    used = running_totals(counted, [scope], ms, tie, total, **options)
-    used = used.withColumn("_s", F.col("_after") - F.col("_pass")).drop("_after")
-    used = running_totals(used, [scope, "_day"], ms, tie, total, **options)
-    used = used.withColumn("_d", F.col("_after") - F.col("_pass"))
-    return used.select(
-        *df.columns, *budget_answer(F.col("_s"), F.col("_d"), F.col(est), session_budget, daily_budget)
-    )
+    """Every request's counters, given which requests were charged."""
+    paid = charged.select(scope, ms, tie, F.lit(True).alias("paid_"))
+    amount = F.when(F.col("paid_"), F.col("charge_")).otherwise(0).cast("bigint")
+    counted = rows.join(paid, [scope, ms, tie], "left").withColumn("paid_", amount)
+    values = {"after_": F.col("paid_")}
+    used = sliced_totals(counted, [scope], ms, tie, values, slice_ms)
+    used = used.withColumn("session_", F.col("after_") - F.col("paid_")).drop("after_")
+    used = sliced_totals(used, [scope, "day_"], ms, tie, values, slice_ms)
+    return used.withColumn("daily_", F.col("after_") - F.col("paid_"))
 
 
 def budget_answer(
@@ -499,15 +504,13 @@ def _undecided(
     ms: str,
     session_budget: int,
     daily_budget: int,
-    min_rows: int,
     slice_ms: int,
 ) -> DataFrame:
     """Those of ``rows`` that are not certain to be blocked.
 
     ``sure`` are requests that are charged if they pass.  Take those of a scope
-    with an estimate of at most ``e``.  At any time
-    either all so far passed, and their charges are spent, or one was blocked
-    because less than ``e`` was left.  So once their charges exceed
+    with an estimate of at most ``e``.  At any time either all so far passed, and
+    their charges are spent, or one was blocked because less than ``e`` was left.  So once their charges exceed
     ``budget - e``, every later request with an estimate of ``e`` or more is
     blocked, whatever else happened: for the rest of the day by the daily
     budget, for good by the session budget.  (A day's charges count towards the
@@ -516,57 +519,52 @@ def _undecided(
     With ``e`` a power of two the charges are small sums per (scope, slice,
     power), so the mass of hopeless requests of a hot scope drops out without a
     fold.  What stays is bounded by the budgets, times the number of powers, and
-    one slice.  Scopes that are not hot go to the fold whole.
+    one slice.
     """
     top = max(session_budget, daily_budget).bit_length()
     slice_no = F.floor(F.col(ms) / slice_ms)
-    hot_scopes = hot_keys(rows, [scope], min_rows)
-    marked = mark_hot(rows, [scope], min_rows)
-    hot = marked.where("_hot").withColumn("_slice", slice_no)
-    hot_sure = sure.join(F.broadcast(hot_scopes), scope, "left_semi").withColumn("_slice", slice_no)
     one = F.lit(1).cast("bigint")
-    size = F.greatest(F.col("_est"), one)
+    size = F.greatest(F.col("est_"), one)
     power_above = F.when(size == 1, F.lit(0)).otherwise(F.char_length(F.bin(size - 1)))
     power_below = F.least(F.char_length(F.bin(size)) - 1, F.lit(top))
-    edge = F.expr("shiftleft(1L, _power)")
+    edge = F.expr("shiftleft(1L, power_)")
 
     sums = (
-        hot_sure.where(power_above <= top)
-        .groupBy(scope, "_day", "_slice", power_above.alias("_from"))
-        .agg(F.sum("_charge").alias("_c"))
-        .withColumn("_power", F.explode(F.sequence(F.col("_from"), F.lit(top))))
-        .groupBy(scope, "_day", "_slice", "_power")
-        .agg(F.sum("_c").alias("_c"))
+        sure.where(power_above <= top)
+        .withColumn("slice_", slice_no)
+        .groupBy(scope, "day_", "slice_", power_above.alias("from_"))
+        .agg(F.sum("charge_").alias("c_"))
+        .withColumn("power_", F.explode(F.sequence(F.col("from_"), F.lit(top))))
+        .groupBy(scope, "day_", "slice_", "power_")
+        .agg(F.sum("c_").alias("c_"))
     )
-    up_to_now = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    spent = sums.withColumn("_in_day", F.sum("_c").over(_by(up_to_now, scope, "_day", "_power")))
-    smaller = Window.orderBy("_power").rowsBetween(Window.unboundedPreceding, 0)
+    up_to_now = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, 0)
+    spent = sums.withColumn("in_day_", F.sum("c_").over(_by(up_to_now, scope, "day_", "power_")))
+    smaller = Window.orderBy("power_").rowsBetween(Window.unboundedPreceding, 0)
 
     def cuts(used: str, budget: int, keys: list[str]) -> DataFrame:
         """Per power: the slice after which requests of that size are hopeless."""
-        full = F.min(F.when(F.col(used) > budget - edge, F.col("_slice")))
-        return spent.groupBy(*keys, "_power").agg(full.alias("_full")).select(
-            *keys, "_power", F.min("_full").over(_by(smaller, *keys)).alias("_cut")
+        full = F.min(F.when(F.col(used) > budget - edge, F.col("slice_")))
+        return spent.groupBy(*keys, "power_").agg(full.alias("full_")).select(
+            *keys, "power_", F.min("full_").over(_by(smaller, *keys)).alias("cut_")
         )
 
-    left = hot.withColumn("_power", power_below)
+    left = rows.withColumn("slice_", slice_no).withColumn("power_", power_below)
     if daily_budget > 0:
-        left = _before_cut(left, cuts("_in_day", daily_budget, [scope, "_day"]), [scope, "_day", "_power"])
-        sure = F.least(F.col("_in_day"), F.greatest(F.lit(0).cast("bigint"), daily_budget - edge + 1))
-        day_order = Window.orderBy("_slice")
-        spent = spent.withColumn("_sure", sure)
-        gained = F.col("_sure") - F.coalesce(
-            F.lag("_sure").over(_by(day_order, scope, "_day", "_power")), F.lit(0)
+        left = _before_cut(left, cuts("in_day_", daily_budget, [scope, "day_"]), [scope, "day_", "power_"])
+        sure = F.least(F.col("in_day_"), F.greatest(F.lit(0).cast("bigint"), daily_budget - edge + 1))
+        day_order = Window.orderBy("slice_")
+        spent = spent.withColumn("sure_", sure)
+        gained = F.col("sure_") - F.coalesce(
+            F.lag("sure_").over(_by(day_order, scope, "day_", "power_")), F.lit(0)
         )
-        spent = spent.withColumn("_gained", gained)
+        spent = spent.withColumn("gained_", gained)
     else:
-        spent = spent.withColumn("_gained", F.col("_c"))
+        spent = spent.withColumn("gained_", F.col("c_"))
     if session_budget > 0:
-        spent = spent.withColumn("_in_all", F.sum("_gained").over(_by(up_to_now, scope, "_power")))
-        left = _before_cut(left, cuts("_in_all", session_budget, [scope]), [scope, "_power"])
-    return marked.where(~F.col("_hot")).select(*rows.columns).unionByName(
-        left.select(*rows.columns)
-    )
+        spent = spent.withColumn("in_all_", F.sum("gained_").over(_by(up_to_now, scope, "power_")))
+        left = _before_cut(left, cuts("in_all_", session_budget, [scope]), [scope, "power_"])
+    return left.select(*rows.columns)
 
 
 def _by(window: WindowSpec, *keys: str) -> WindowSpec:
@@ -575,4 +573,4 @@ def _by(window: WindowSpec, *keys: str) -> WindowSpec:
 
 def _before_cut(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     joined = rows.join(cuts, keys, "left")
-    return joined.where(F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut"))).drop("_cut")
+    return joined.where(F.col("cut_").isNull() | (F.col("slice_") <= F.col("cut_"))).drop("cut_")

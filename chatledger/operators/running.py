@@ -1,16 +1,19 @@
 """Running totals and frames that stay balanced when one key holds much of a log.
 
-A window over ``partitionBy(key)`` puts a key into one task.  Here a *hot* key
-(more than ``1/HOT_DIVISOR`` of all rows, so there are at most ``HOT_DIVISOR`` of
-them whatever the data) is cut into time slices.  Slices are summed with partial
-aggregation, the few slice sums are accumulated per key, and every row adds its
-slice's starting value to a running total inside the slice.  Other keys are one
-slice each and take the ordinary single-exchange window.
+A window over ``partitionBy(key)`` puts a key into one task.  That is the right
+plan for most keys: one exchange, nothing else.  A *hot* key, one with more than
+``1/HOT_DIVISOR`` of all rows, is instead cut into time slices: slices are summed
+with partial aggregation, the few slice sums are accumulated per key, and every
+row adds its slice's starting value to a running total inside the slice.
+
+Which keys are hot is found by one aggregation over the key column when the
+operator is called, so a log without hot keys gets the plain plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,23 +24,26 @@ SLICE_MS = 60_000
 FRAME_CHUNK = 8_192
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys above ``min_rows`` rows and above their share of the whole.
+def hot_values(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list[Any]:
+    """Key values above ``min_rows`` rows and above their share of the whole.
 
-    At most ``HOT_DIVISOR`` rows by counting, hence safe to broadcast.  Reads
-    only the key columns.
+    By counting there are fewer than ``HOT_DIVISOR`` of them however large the
+    data, so they may come to the driver and into the plan as literals.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(
-        (F.col("_n") > min_rows) & (F.col("_n") * F.lit(HOT_DIVISOR) > total)
-    ).select(*keys, F.lit(True).alias("_hot"))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_"))
+    total = counts.agg(F.sum("rows_")).scalar()
+    hot = counts.where(
+        (F.col("rows_") > min_rows) & (F.col("rows_") * F.lit(HOT_DIVISOR) > total)
+    )
+    return [r[0] for r in hot.select(key).collect()]
 
 
-def mark_hot(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Add ``_hot``: whether the row's key is hot."""
-    marked = df.join(F.broadcast(hot_keys(df, keys, min_rows)), list(keys), "left")
-    return marked.select(*[F.col(c) for c in df.columns], F.coalesce("_hot", F.lit(False)).alias("_hot"))
+def split_hot(df: DataFrame, key: str, hot: Sequence[Any]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ordinary keys, and those of hot keys if there are any."""
+    if not hot:
+        return df, None
+    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+    return df.where(~is_hot), df.where(is_hot)
 
 
 def running_totals(
@@ -48,35 +54,56 @@ def running_totals(
     totals: Mapping[str, Column],
     min_rows: int = HOT_MIN_ROWS,
     slice_ms: int = SLICE_MS,
+    hot: Sequence[Any] | None = None,
 ) -> DataFrame:
     """Add a column per entry of ``totals``: the sum over the key's rows up to and
-    including this one, in ``(order_ms, tie)`` order."""
+    including this one, in ``(order_ms, tie)`` order.  Hotness goes by the first key."""
     keys = list(keys)
-    valued = df.select(
-        *df.columns, *[F.coalesce(e, F.lit(0)).alias(f"_v_{n}") for n, e in totals.items()]
+    if hot is None:
+        hot = hot_values(df, keys[0], min_rows)
+    ordinary, busy = split_hot(df, keys[0], hot)
+    upto = (
+        Window.partitionBy(*keys)
+        .orderBy(order_ms, tie)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    sliced = mark_hot(valued, keys, min_rows).withColumn(
-        "_slice", F.when(F.col("_hot"), F.floor(F.col(order_ms) / slice_ms)).otherwise(F.lit(0))
+    values = {n: F.coalesce(e, F.lit(0)) for n, e in totals.items()}
+    result = ordinary.select(*df.columns, *[F.sum(v).over(upto).alias(n) for n, v in values.items()])
+    if busy is not None:
+        result = result.unionByName(sliced_totals(busy, keys, order_ms, tie, values, slice_ms))
+    return result
+
+
+def sliced_totals(
+    df: DataFrame,
+    keys: list[str],
+    order_ms: str,
+    tie: str,
+    values: Mapping[str, Column],
+    slice_ms: int,
+) -> DataFrame:
+    sliced = df.select(
+        *df.columns,
+        F.floor(F.col(order_ms) / slice_ms).alias("slice_"),
+        *[v.alias(f"value_{n}") for n, v in values.items()],
     )
-    per_slice = (
-        sliced.where("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in totals])
+    per_slice = sliced.groupBy(*keys, "slice_").agg(
+        *[F.sum(f"value_{n}").alias(f"sum_{n}") for n in values]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.select(
-        *keys, "_slice", *[F.sum(f"_b_{n}").over(earlier).alias(f"_b_{n}") for n in totals]
+        *keys, "slice_", *[F.sum(f"sum_{n}").over(earlier).alias(f"start_{n}") for n in values]
     )
     within = (
-        Window.partitionBy(*keys, "_slice")
+        Window.partitionBy(*keys, "slice_")
         .orderBy(order_ms, tie)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return sliced.join(starts, [*keys, "_slice"], "left").select(
+    return sliced.join(starts, [*keys, "slice_"]).select(
         *df.columns,
         *[
-            (F.sum(f"_v_{n}").over(within) + F.coalesce(f"_b_{n}", F.lit(0))).alias(n)
-            for n in totals
+            (F.sum(f"value_{n}").over(within) + F.coalesce(f"start_{n}", F.lit(0))).alias(n)
+            for n in values
         ],
     )
 
@@ -95,35 +122,24 @@ def trailing_mean(
 ) -> DataFrame:
     """Add ``name``: mean of ``value`` over the last ``rows`` rows of the key.
 
-    Hot keys are numbered with :func:`running_totals` and cut into chunks of
-    ``chunk`` rows; a chunk also gets a copy of the ``rows - 1`` rows before it,
-    which is all its first frame can reach.
+    Rows of a hot key are numbered with :func:`sliced_totals` and cut into chunks
+    of ``chunk`` rows; a chunk also gets a copy of the ``rows - 1`` rows before
+    it, which is all its first frame can reach.
     """
     keys = list(keys)
     if chunk < rows:
         raise ValueError("chunk must hold at least one frame")
-    marked = mark_hot(df, keys, min_rows)
-    ordinary = marked.where(~F.col("_hot")).select(*df.columns, F.lit(0).cast("bigint").alias("_chunk"), F.lit(False).alias("_copy"))
-    numbered = running_totals(
-        marked.where("_hot").drop("_hot"), keys, order_ms, tie, {"_rn": F.lit(1).cast("bigint")}, min_rows, slice_ms
-    )
-    own = F.floor((F.col("_rn") - 1) / chunk)
-    near_end = (F.col("_rn") - 1) % chunk >= chunk - (rows - 1)
-    cut = (
-        numbered.select(
-            *df.columns,
-            own.alias("_own"),
-            F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk"),
-        )
-        .withColumn("_copy", F.col("_chunk") != F.col("_own"))
-        .drop("_own")
-    )
-    frame = (
-        Window.partitionBy(*keys, "_chunk").orderBy(order_ms, tie).rowsBetween(-(rows - 1), 0)
-    )
-    return (
-        ordinary.unionByName(cut)
-        .withColumn(name, F.avg(value).over(frame))
-        .where(~F.col("_copy"))
-        .drop("_chunk", "_copy")
-    )
+    ordinary, busy = split_hot(df, keys[0], hot_values(df, keys[0], min_rows))
+    last = Window.partitionBy(*keys).orderBy(order_ms, tie).rowsBetween(-(rows - 1), 0)
+    result = ordinary.select(*df.columns, F.avg(value).over(last).alias(name))
+    if busy is None:
+        return result
+    one = F.lit(1).cast("bigint")
+    numbered = sliced_totals(busy, keys, order_ms, tie, {"number_": one}, slice_ms)
+    own = F.floor((F.col("number_") - 1) / chunk)
+    near_end = (F.col("number_") - 1) % chunk >= chunk - (rows - 1)
+    chunks = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = numbered.select(*df.columns, own.alias("own_"), F.explode(chunks).alias("chunk_"))
+    last = Window.partitionBy(*keys, "chunk_").orderBy(order_ms, tie).rowsBetween(-(rows - 1), 0)
+    means = cut.withColumn(name, F.avg(value).over(last)).where(F.col("chunk_") == F.col("own_"))
+    return result.unionByName(means.select(*df.columns, name))
