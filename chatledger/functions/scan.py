@@ -39,7 +39,23 @@ def _hinted_sql(text: str, rule: Rule) -> str:
 
 
 def _hinted_by_any_sql(text: str, rules: Sequence[Rule]) -> str:
-    return "coalesce(" + " OR ".join(_hinted_sql(text, r) for r in rules) + ", false)"
+    """Whether any rule's hint occurs; the text is lower-cased once for all rules,
+    and a hint that contains another one is not looked for."""
+    if not all(r.hints for r in rules):
+        return f"({text} IS NOT NULL)"
+    exact = {h for r in rules for h in r.hints if not r.ignore_case or h.lower() == h.upper()}
+    lowered = {h for r in rules for h in r.hints if r.ignore_case} - exact
+
+    def tests(subject: str, hints: set[str]) -> str:
+        least = sorted(h for h in hints if not any(o != h and o in h for o in hints))
+        return " OR ".join(f"contains({subject}, {sql_string(h)})" for h in least)
+
+    parts = []
+    if exact:
+        parts.append(tests(text, exact))
+    if lowered:
+        parts.append(let_sql(f"lower({text})", "low_", f"({tests('low_', lowered)})"))
+    return f"coalesce({' OR '.join(parts)}, false)"
 
 
 def _rule_sql(text: str, rule: Rule, number: int, notice: str | None, positions: bool) -> str:

@@ -28,8 +28,9 @@ def utf16_length(s: Column) -> Column:
 
 
 def json_quote(s: Column) -> Column:
-    """The JSON string literal for ``s``, quotes included."""
-    return let(F.to_json(F.array(s)), lambda j: F.substring(j, F.lit(2), F.char_length(j) - 2))
+    """The JSON string literal for ``s``, quotes included; null for null."""
+    quoted = let(F.to_json(F.array(s)), lambda j: F.substring(j, F.lit(2), F.char_length(j) - 2))
+    return F.when(s.isNotNull(), quoted)
 
 
 def json_number(x: Column) -> Column:
@@ -118,7 +119,8 @@ def entropy_sql(s: str) -> str:
 
 def json_quote_sql(s: str) -> str:
     """As :func:`json_quote`."""
-    return let_sql(f"to_json(array({s}))", "json_", "substring(json_, 2, char_length(json_) - 2)")
+    quoted = let_sql(f"to_json(array({s}))", "json_", "substring(json_, 2, char_length(json_) - 2)")
+    return f"CASE WHEN {s} IS NOT NULL THEN {quoted} END"
 
 
 def column_sql(name: str) -> str:

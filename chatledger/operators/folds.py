@@ -441,6 +441,8 @@ def budget_guard_cached(
     )
 
 
+# Shares of a scope's requests at which `_undecided` looks for an exhausted budget.
+EDGE_QUANTILES = [0.0, 0.001, 0.01, 0.1, 0.5, 1.0]
 PASSES = "ok_ boolean, session_ bigint, daily_ bigint"
 
 
@@ -510,67 +512,55 @@ def _undecided(
 
     ``sure`` are requests that are charged if they pass.  Take those of a scope
     with an estimate of at most ``e``.  At any time either all so far passed, and
-    their charges are spent, or one was blocked because less than ``e`` was left.  So once their charges exceed
-    ``budget - e``, every later request with an estimate of ``e`` or more is
-    blocked, whatever else happened: for the rest of the day by the daily
-    budget, for good by the session budget.  (A day's charges count towards the
-    session only up to what the daily budget is sure to have let through.)
-
-    With ``e`` a power of two the charges are small sums per (scope, slice,
-    power), so the mass of hopeless requests of a hot scope drops out without a
-    fold.  What stays is bounded by the budgets, times the number of powers, and
-    one slice.
+    their charges are spent, or one was blocked because less than ``e`` was left.
+    So once their charges exceed ``budget - e``, every later request with an
+    estimate of ``e`` or more is blocked, whatever else happened: for the rest of
+    the day by the daily budget, for good by the session budget.  (A day's charges
+    count towards the session only up to what the daily budget is sure to have
+    let through.)
+
+    This holds for any ``e``; a few quantiles of the scope's estimates serve as
+    such.  Charges are summed per (scope, slice, ``e``) with partial aggregation,
+    so the mass of hopeless requests of a hot scope drops out without a fold.
     """
-    top = max(session_budget, daily_budget).bit_length()
-    slice_no = F.floor(F.col(ms) / slice_ms)
-    one = F.lit(1).cast("bigint")
-    size = F.greatest(F.col("est_"), one)
-    power_above = F.when(size == 1, F.lit(0)).otherwise(F.char_length(F.bin(size - 1)))
-    power_below = F.least(F.char_length(F.bin(size)) - 1, F.lit(top))
-    edge = F.expr("shiftleft(1L, power_)")
-
-    sums = (
-        sure.where(power_above <= top)
-        .withColumn("slice_", slice_no)
-        .groupBy(scope, "day_", "slice_", power_above.alias("from_"))
-        .agg(F.sum("charge_").alias("c_"))
-        .withColumn("power_", F.explode(F.sequence(F.col("from_"), F.lit(top))))
-        .groupBy(scope, "day_", "slice_", "power_")
-        .agg(F.sum("c_").alias("c_"))
+    at = F.floor(F.col(ms) / slice_ms).alias("slice_")
+    edges = sure.groupBy(scope).agg(
+        F.explode(F.array_distinct(F.percentile_approx("est_", EDGE_QUANTILES, 10_000))).alias("e_")
     )
-    up_to_now = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, 0)
-    spent = sums.withColumn("in_day_", F.sum("c_").over(_by(up_to_now, scope, "day_", "power_")))
-    smaller = Window.orderBy("power_").rowsBetween(Window.unboundedPreceding, 0)
-
-    def cuts(used: str, budget: int, keys: list[str]) -> DataFrame:
-        """Per power: the slice after which requests of that size are hopeless."""
-        full = F.min(F.when(F.col(used) > budget - edge, F.col("slice_")))
-        return spent.groupBy(*keys, "power_").agg(full.alias("full_")).select(
-            *keys, "power_", F.min("full_").over(_by(smaller, *keys)).alias("cut_")
+    by_slice = (
+        sure.select(scope, "day_", "est_", "charge_", at)
+        .join(F.broadcast(edges), scope)
+        .where(F.col("est_") <= F.col("e_"))
+        .groupBy(scope, "day_", "slice_", "e_")
+        .agg(F.sum("charge_").alias("gain_"))
+    )
+
+    def so_far(*keys: str) -> WindowSpec:
+        ordered = Window.partitionBy(*keys).orderBy("slice_")
+        return ordered.rowsBetween(Window.unboundedPreceding, 0)
+
+    def spent(sums: DataFrame, keys: list[str], budget: int) -> DataFrame:
+        """Per key: each ``e`` with the slice after which it is hopeless."""
+        used = sums.withColumn("used_", F.sum("gain_").over(so_far(*keys, "e_")))
+        full = used.where(F.col("used_") > budget - F.col("e_"))
+        ends = full.groupBy(*keys, "e_").agg(F.min("slice_").alias("end_"))
+        return ends.groupBy(*keys).agg(F.collect_list(F.struct("e_", "end_")).alias("ends_"))
+
+    def open_rows(left: DataFrame, sums: DataFrame, keys: list[str], budget: int) -> DataFrame:
+        hopeless = F.exists(
+            "ends_", lambda x: (x["e_"] <= F.col("est_")) & (x["end_"] < F.col("slice_"))
         )
+        marked = left.join(spent(sums, keys, budget), keys, "left")
+        return marked.where(~F.coalesce(hopeless, F.lit(False))).drop("ends_")
 
-    left = rows.withColumn("slice_", slice_no).withColumn("power_", power_below)
+    left = rows.select("*", at)
     if daily_budget > 0:
-        left = _before_cut(left, cuts("in_day_", daily_budget, [scope, "day_"]), [scope, "day_", "power_"])
-        sure = F.least(F.col("in_day_"), F.greatest(F.lit(0).cast("bigint"), daily_budget - edge + 1))
-        day_order = Window.orderBy("slice_")
-        spent = spent.withColumn("sure_", sure)
-        gained = F.col("sure_") - F.coalesce(
-            F.lag("sure_").over(_by(day_order, scope, "day_", "power_")), F.lit(0)
-        )
-        spent = spent.withColumn("gained_", gained)
-    else:
-        spent = spent.withColumn("gained_", F.col("c_"))
+        left = open_rows(left, by_slice, [scope, "day_"], daily_budget)
+        in_day = F.sum("gain_").over(so_far(scope, "day_", "e_"))
+        most = F.greatest(F.lit(0).cast("bigint"), daily_budget - F.col("e_") + 1)
+        certain = by_slice.withColumn("certain_", F.least(in_day, most))
+        before = F.lag("certain_").over(Window.partitionBy(scope, "day_", "e_").orderBy("slice_"))
+        by_slice = certain.withColumn("gain_", F.col("certain_") - F.coalesce(before, F.lit(0)))
     if session_budget > 0:
-        spent = spent.withColumn("in_all_", F.sum("gained_").over(_by(up_to_now, scope, "power_")))
-        left = _before_cut(left, cuts("in_all_", session_budget, [scope]), [scope, "power_"])
+        left = open_rows(left, by_slice, [scope], session_budget)
     return left.select(*rows.columns)
-
-
-def _by(window: WindowSpec, *keys: str) -> WindowSpec:
-    return window.partitionBy(*keys)
-
-
-def _before_cut(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    joined = rows.join(cuts, keys, "left")
-    return joined.where(F.col("cut_").isNull() | (F.col("slice_") <= F.col("cut_"))).drop("cut_")

@@ -43,6 +43,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy on the CPU.
+
+    A table in fewer files than there are cores is spread over the cores by its
+    key; any larger one is read as it is, without an exchange.
+    """
+    df = table(spark, sf, name)
+    return spread(df, key, len(df.inputFiles()))
+
+
+def spread(df: DataFrame, key: str, files: int) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if files < cores else df
+
+
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -55,7 +70,9 @@ def planted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def planted_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return planted(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return planted(
+        spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text"), "doc_id", "text"
+    )
 
 
 def user_rules(spark: SparkSession) -> DataFrame:
@@ -164,8 +181,9 @@ def request_log(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame
 
 def body_log(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as raw requests, each with its conversation's JSON body."""
-    log = _as_log(table(spark, sf, "events"), spark, sf).drop("model", "ms")
-    return log.join(chat_requests(spark, sf), "conv_id")
+    events = table(spark, sf, "events")
+    log = _as_log(events, spark, sf).drop("model", "ms").join(chat_requests(spark, sf), "conv_id")
+    return spread(log, "request_id", len(events.inputFiles()))
 
 
 def outcome_log(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
@@ -229,7 +247,10 @@ def sse_text(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
     """``(stream_id, text)``: every assistant turn as event-stream text, a chunk
     per word.  Every eleventh stream has no end marker, every seventh a broken line,
     every third reports its usage."""
-    turns_ = table_stream(spark, sf, "conversations") if stream else table(spark, sf, "conversations")
+    if stream:
+        turns_ = table_stream(spark, sf, "conversations")
+    else:
+        turns_ = spread_table(spark, sf, "conversations", "conv_id")
     sid = F.col("stream_id")
     said = turns_.where(F.col("role") == "assistant").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("stream_id"), F.split("text", " ").alias("words")

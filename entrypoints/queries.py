@@ -91,7 +91,7 @@ def high_entropy_candidates(spark, sf):
 
 @query
 def rules_cross_scan(spark, sf):
-    docs = I.table(spark, sf, "documents").select("doc_id", "text")
+    docs = I.spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
     found = scanning.scan_findings(docs, "doc_id", "text", rules=I.user_rules(spark))
     return rounded(found, "entropy")
 
