@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatledger.schemas import AUDIT_LOG, RESPONSE_CACHE
 
@@ -64,5 +65,14 @@ def append_audit(df: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT_LOG).parquet(path)
+def read_audit(
+    spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None
+) -> DataFrame:
+    """Audit rows, of the given UTC days (``yyyy-MM-dd``) only if any are given."""
+    schema = T.StructType([*AUDIT_LOG.fields, T.StructField("day", T.DateType())])
+    rows = spark.read.schema(schema).parquet(path)
+    if first_day:
+        rows = rows.where(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day:
+        rows = rows.where(F.col("day") <= F.lit(last_day).cast("date"))
+    return rows.drop("day")
