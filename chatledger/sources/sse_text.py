@@ -14,13 +14,16 @@ def sse_lines(df: DataFrame, stream_id: str = "stream_id", text: str = "text") -
     Blank and non-``data:`` lines are dropped.  A last line that no newline ends
     counts only if it is the end marker.  Works on batch and streaming frames.
     """
-    lines = df.select(
-        F.col(stream_id).alias("stream_id"),
-        (F.size(F.split(F.col(text), "\n")) - 1).alias("_last"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("seq", "line"),
-    ).select("stream_id", F.col("seq").cast("bigint").alias("seq"), trim_all(F.col("line")).alias("line"), "_last")
-    ended = (F.col("seq") < F.col("_last")) | (payload(F.col("line")) == "[DONE]")
-    return lines.where(F.col("line").startswith("data:") & ended).drop("_last")
+    split = F.split(F.col(text), "\n")
+    unended = trim_all(F.element_at("lines_", -1))
+    is_end = unended.startswith("data:") & (payload(unended) == "[DONE]")
+    ended = F.when(is_end, F.col("lines_")).otherwise(F.slice("lines_", 1, F.size("lines_") - 1))
+    return (
+        df.select(F.col(stream_id).alias("stream_id"), split.alias("lines_"))
+        .select("stream_id", F.posexplode(ended).alias("seq", "line"))
+        .select("stream_id", F.col("seq").cast("bigint").alias("seq"), trim_all(F.col("line")).alias("line"))
+        .where(F.col("line").startswith("data:"))
+    )
 
 
 def payload(line):
