@@ -1,0 +1 @@
+"""Prompt-log analytics as Spark operators."""

@@ -6,8 +6,8 @@ plan for most keys: one exchange, nothing else.  A *hot* key, one with more than
 with partial aggregation, the few slice sums are accumulated per key, and every
 row adds its slice's starting value to a running total inside the slice.
 
-Which keys are hot is found by one aggregation over the key column when the
-operator is called, so a log without hot keys gets the plain plan.
+Which keys are hot is found by one scan of the key column when the operator is
+called, so a log without hot keys gets the plain plan.
 """
 
 from __future__ import annotations
@@ -18,24 +18,32 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatledger.functions.text import column_sql
+
 HOT_DIVISOR = 1000
 HOT_MIN_ROWS = 1_000_000
+SKETCH_ITEMS = 10_000
 SLICE_MS = 60_000
 FRAME_CHUNK = 8_192
 
 
 def hot_values(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list[Any]:
-    """Key values above ``min_rows`` rows and above their share of the whole.
+    """Key values above ``min_rows`` rows and about above their share of the whole.
 
-    By counting there are fewer than ``HOT_DIVISOR`` of them however large the
-    data, so they may come to the driver and into the plan as literals.
+    One scan of the key column with a frequent-items sketch: no exchange but one
+    sketch per task.  The sketch keeps every key above its share (its error is a
+    fraction of ``1/HOT_DIVISOR``), and a key wrongly taken for hot or not only
+    gets the other plan with the same result.  At most ``HOT_DIVISOR`` values come
+    back, whatever the data, so they may go into the plan as literals.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows_"))
-    total = counts.agg(F.sum("rows_")).scalar()
-    hot = counts.where(
-        (F.col("rows_") > min_rows) & (F.col("rows_") * F.lit(HOT_DIVISOR) > total)
+    frequent = f"approx_top_k({column_sql(key)}, {HOT_DIVISOR}, {SKETCH_ITEMS})"
+    found = (
+        df.where(F.col(key).isNotNull())
+        .agg(F.count(F.lit(1)).alias("rows"), F.expr(frequent).alias("keys"))
+        .first()
     )
-    return [r[0] for r in hot.select(key).collect()]
+    least = max(min_rows, found["rows"] / HOT_DIVISOR)
+    return [k["item"] for k in found["keys"] if k["count"] > least]
 
 
 def split_hot(df: DataFrame, key: str, hot: Sequence[Any]) -> tuple[DataFrame, DataFrame | None]:
