@@ -59,8 +59,8 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     latency_ms, upstream_error``.  Checks in order: rate limit (429), JSON (400),
     secrets under ``block`` (403), budget (429), cache (200), upstream.
 
-    The texts are read once: their profile is written to the shared folder and
-    the folds below read its narrow columns.  With budgets on, the cache belongs
+    The texts are read once: their profile is written to the shared folder, and
+    so is the narrow result of each fold that several later steps read.  With budgets on, the cache belongs
     to the session; otherwise all requests share it.
     """
     profile = checkpointed(
@@ -74,7 +74,7 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
         .when(F.col("invalid_json"), F.lit("invalid_json"))
         .when(F.lit(policy.mode == "block") & (F.col("n_findings") > 0), F.lit("secret_blocked"))
     )
-    rated = rated.withColumn("outcome", early).drop("allowed")
+    rated = checkpointed(rated.withColumn("outcome", early).drop("allowed"), "rated")
     stopped = rated.where(F.col("outcome").isNotNull())
     open_ = rated.where(F.col("outcome").isNull())
 
@@ -95,6 +95,7 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
             policy.session_budget,
             policy.daily_budget,
         )
+        guarded = checkpointed(guarded, "guarded")
         over = guarded.where(~F.col("allowed")).withColumn("outcome", F.lit("budget_blocked"))
         stopped = stopped.unionByName(over.select(*stopped.columns))
         open_ = guarded.where("allowed").select(*open_.columns)
