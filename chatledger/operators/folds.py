@@ -63,6 +63,8 @@ def fold_by_key(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             given = {n: batch.column(names.index(n)).to_pylist() for n in {*keys, *inputs}}
             results = []
             for key, args in zip(zip(*(given[k] for k in keys)), zip(*(given[i] for i in inputs))):

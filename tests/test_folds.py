@@ -216,6 +216,16 @@ def test_ordinary_plan_has_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning(k") == 1
 
 
+@pytest.mark.parametrize("min_rows", PLANS)
+def test_empty_log(spark, min_rows):
+    _, df = make_log(spark, 9, n=5)
+    none = df.where("id < 0")
+    assert folds.rate_limit_audit(none, "k", "ms", "id", min_rows=min_rows).count() == 0
+    assert folds.cache_attribution(none, "h", "ms", "id", min_rows=min_rows).count() == 0
+    args = ("k", "ms", "id", "est", "charge", 10, 10)
+    assert folds.budget_guard(none, *args, min_rows=min_rows).count() == 0
+
+
 def test_idle_buckets(spark):
     df = spark.createDataFrame([("a", 0), ("a", 100_000), ("b", 400_000)], "k string, ms long")
     rows = folds.idle_buckets(df, "k", "ms", 400_001).collect()
