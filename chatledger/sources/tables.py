@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,10 @@ from chatledger.schemas import AUDIT_LOG, RESPONSE_CACHE
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
-
-    A local session without that setting gets a temporary folder; a cluster
-    session without it is an error, since executors could not see such a folder.
-    """
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="chatledger-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{base.rstrip('/')}/chatledger/{name}-{uuid.uuid4().hex}"
 
 
