@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatledger.llm import mixing
 from chatledger.llm.common import ready
 
 
@@ -42,6 +43,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of the sources by weight takes."""
+    from chatledger.llm.mixing import mix, word_count
+
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, single ones and parts of linked credentials."""
     from chatledger.llm.secret_scan import digest, find_secrets
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_source_mixing": op6_source_mixing,
     "op8_secret_scan": op8_secret_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_source_mixing": mixing.oracle()}
