@@ -141,6 +141,15 @@ def _linked(parts: DataFrame) -> DataFrame:
     return whole.groupBy("row_").agg(F.collect_list("w").alias("linked_"))
 
 
+def _with_spans(parts: DataFrame) -> DataFrame:
+    """``parts`` with all reported spans; only texts with weak parts take part in the join."""
+    strong = F.array_sort("strong_")
+    spans = F.array_sort(F.concat("strong_", F.coalesce("linked_", F.expr(NONE))))
+    some = parts.where("size(weak_) > 0").join(_linked(parts), "row_", "left").withColumn("spans", spans)
+    none = parts.where("size(weak_) = 0").withColumn("spans", strong)
+    return none.unionByName(some.drop("linked_")).withColumn("strong", strong)
+
+
 def _text_form(spans: str) -> str:
     names = f"array({', '.join(sql_string(k) for k in KINDS)})"
     return (
@@ -156,10 +165,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     docs = docs.drop("row_", "strong", "strong_", "weak_", "spans", "linked_")
     scratch = Scratch(docs.sparkSession, "secret-scan")
     parts = scratch.write(_parts(docs), "parts")
-    found = parts.join(_linked(parts), "row_", "left")
-    spans = F.array_sort(F.concat("strong_", F.coalesce("linked_", F.expr(NONE))))
-    rest = [c for c in docs.columns if c != "text"]
-    return found.select(*rest, F.array_sort("strong_").alias("strong"), spans.alias("spans"))
+    return _with_spans(parts).select(*[c for c in docs.columns if c != "text"], "strong", "spans")
 
 
 def digest(found: DataFrame) -> list[Column]:
@@ -178,15 +184,12 @@ def digest(found: DataFrame) -> list[Column]:
 def redact(docs: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced; texts without one stay as
     they are, null too.  Overlapping spans count as one."""
-    columns = docs.columns
-    inner = docs.drop("row_", "strong_", "weak_", "spans_", "linked_")
+    rows = docs.drop("row_", "strong", "strong_", "weak_", "spans", "linked_", "copy_")
+    columns = rows.columns
     scratch = Scratch(docs.sparkSession, "secret-redact")
-    rows = inner.withColumn("copy_", F.col("text"))
-    parts = scratch.write(_parts(rows), "parts")
-    spans = F.array_sort(F.concat("strong_", F.coalesce("linked_", F.expr(NONE))))
-    found = parts.join(_linked(parts), "row_", "left").withColumn("spans_", spans)
+    found = _with_spans(scratch.write(_parts(rows.withColumn("copy_", F.col("text"))), "parts"))
     united = (
-        "aggregate(spans_, CAST(array() AS array<struct<a: int, b: int>>), (u_, s_) -> "
+        "aggregate(spans, CAST(array() AS array<struct<a: int, b: int>>), (u_, s_) -> "
         "CASE WHEN size(u_) > 0 AND s_.start < element_at(u_, -1).b THEN "
         "concat(slice(u_, 1, size(u_) - 1), array(named_struct('a', element_at(u_, -1).a, "
         "'b', greatest(s_.end, element_at(u_, -1).b)))) "
@@ -198,5 +201,5 @@ def redact(docs: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
         "coalesce(get(cuts_, i_).a, char_length(copy_)) - coalesce(get(cuts_, i_ - 1).b, 0)))"
     )
     text = let_sql(united, "cuts_", f"array_join({between}, {sql_string(placeholder)})")
-    text = f"CASE WHEN size(spans_) = 0 THEN copy_ ELSE {text} END"
+    text = f"CASE WHEN size(spans) = 0 THEN copy_ ELSE {text} END"
     return found.withColumn("text", F.expr(text)).select(*columns)
