@@ -15,11 +15,16 @@ full texts.
    That is one pair per class, so groups of thousands of near copies become a few
    components at linear cost.
 4. In blocks that still hold several components, an R-tree over the points finds
-   every pair of different components whose bound allows a link; these are
-   verified as well.  Pairs within a component cannot change the result and are not
-   looked at.  Large blocks are cut into chunks of both sides.
+   every pair of different components whose bound allows a link.  First only the pairs
+   of largest bound that would connect a block's components are verified (no more than
+   the block has members), then all pairs of components that are still apart.  Pairs
+   within a component cannot change the result.  Large blocks are cut into chunks of
+   both sides.
 5. Components of all verified links.
 
+The tree is built on the points' ``TREE_GROUPS`` coarse coordinates, each the sum of
+neighbouring fine ones; pairs that pass it are checked on all ``GROUPS``.
+
 Nulls and texts without words have no shingles and link with nothing.  Rows that
 share a doc_id count as one document that has the links of all of them.
 """
@@ -46,7 +51,7 @@ from chatledger.llm.common import (
     word_hashes,
 )
 
-GROUPS = 64
+GROUPS, TREE_GROUPS = 1024, 64
 BANDS, ROWS = 32, 2
 #: Members of one side of an R-tree join within a task.
 CHUNK = 1024
@@ -59,6 +64,16 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(space_words(text))))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point in as few bytes a coordinate as its largest one needs."""
+    top = int(counts.max(initial=0))
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"<u{len(point) // GROUPS}").astype(np.int64)
+
+
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: dict[str, list] = {k: [] for k in ("n", "set", "point", "anchors")}
@@ -69,11 +84,11 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in ("set", "point", "anchors"):
                     rows[k].append(None)
                 continue
-            counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+            counts = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=GROUPS)
             lows = min_hashes(shingles, BANDS * ROWS, seed=11).reshape(BANDS, ROWS)
             anchors = mixed((lows * odd_numbers(ROWS, 5)).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
             rows["set"].append(md5(shingles.tobytes()).digest())
-            rows["point"].append(counts.astype("<u4").tobytes())
+            rows["point"].append(packed(counts))
             rows["anchors"].append(anchors.view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
@@ -100,7 +115,7 @@ def _verifier(percent: int):
             src, dst = [], []
             columns = [batch.column(i) for i in range(6)]
             for s, d, p, q, x, y in zip(*(c.cast(pa.binary()) if i > 1 else c for i, c in enumerate(columns))):
-                p, q = (np.frombuffer(v.as_py(), "<u4") for v in (p, q))
+                p, q = unpacked(p.as_py()), unpacked(q.as_py())
                 if not linked(int(np.minimum(p, q).sum()), int(p.sum()), int(q.sum()), percent):
                     continue
                 x = x.as_py()
@@ -177,16 +192,48 @@ def _children(nodes: np.ndarray, partners: np.ndarray, below: int) -> tuple[np.n
     return np.repeat(first, width) + offsets, np.repeat(partners, width)
 
 
-def _block_search(percent: int):
+def _forest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that would connect components, likeliest first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    pairs = pairs.sort_values(["likeness", "src", "dst"], ascending=[False, True, True])
+    for i, (x, y) in enumerate(zip(pairs["left"].to_numpy(), pairs["right"].to_numpy())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            kept.append(i)
+    return pairs.iloc[kept]
+
+
+def _block_search(percent: int, forest: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         sides = [block[block["side"] == s] for s in (0, 1)]
-        points = [np.array([np.frombuffer(p, "<u4") for p in s["point"]], np.int64).reshape(-1, GROUPS) for s in sides]
-        a, b = tree_pairs(RTree(points[0]), RTree(points[1]), percent)
-        docs = [s["node"].to_numpy() for s in sides]
+        fine = [np.array([unpacked(p) for p in s["point"]], np.int32).reshape(-1, GROUPS) for s in sides]
+        coarse = [f.reshape(len(f), TREE_GROUPS, -1).sum(axis=2) for f in fine]
+        a, b = tree_pairs(RTree(coarse[0]), RTree(coarse[1]), percent)
+        nodes = [s["node"].to_numpy() for s in sides]
         parts = [s["component"].to_numpy() for s in sides]
         other = parts[0][a] != parts[1][b]
-        x, y = docs[0][a[other]], docs[1][b[other]]
-        return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y)}).drop_duplicates()
+        a, b = a[other], b[other]
+        sizes = [f.sum(axis=1) for f in fine]
+        most = np.zeros(len(a), np.int64)
+        for at in range(0, len(a), 8192):
+            most[at : at + 8192] = np.minimum(fine[0][a[at : at + 8192]], fine[1][b[at : at + 8192]]).sum(axis=1)
+        both = sizes[0][a] + sizes[1][b]
+        ok = (100 + percent) * most >= percent * both
+        a, b, most, both = a[ok], b[ok], most[ok], both[ok]
+        x, y = nodes[0][a], nodes[1][b]
+        pairs = pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
+        if forest:
+            pairs = pairs.assign(left=parts[0][a], right=parts[1][b], likeness=most / np.maximum(both, 1))
+            pairs = _forest(pairs)[["src", "dst"]]
+        return pairs.drop_duplicates()
 
     return run
 
@@ -202,6 +249,51 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     return both.mapInArrow(_verifier(percent), "src long, dst long")
 
 
+def _apart(
+    members: DataFrame, found: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, forest: bool
+) -> DataFrame:
+    """Pairs ``src, dst`` of different components that a block holds and the bound allows."""
+    members = members.select("anchor", "node").join(found, "node", "left")
+    members = members.select("anchor", "node", F.coalesce("component", "node").alias("component"))
+    members = scratch.write(members, "labelled")
+    sizes = members.groupBy("anchor", "component").count()
+    blocks = sizes.groupBy("anchor").agg(
+        F.max_by("component", F.struct("count", "component")).alias("major"),
+        F.sum("count").alias("all_"),
+        (F.sum("count") - F.max("count")).alias("odd_"),
+    )
+    blocks = scratch.write(blocks.where("odd_ > 0"), "mixed")
+    # Blocks with the same members would name the same pairs: one of them is enough.
+    member_hash = F.xxhash64("node", "component")
+    blocks = (
+        members.join(blocks, "anchor")
+        .groupBy("anchor", "major", "all_", "odd_")
+        .agg(F.sum(member_hash.cast("decimal(38,0)")).alias("sum_"), F.bit_xor(member_hash).alias("xor_"))
+        .groupBy("major", "all_", "odd_", "sum_", "xor_")
+        .agg(F.min("anchor").alias("anchor"))
+        .select("anchor", "major", *[F.ceil(F.col(c) / CHUNK).alias(n) for c, n in (("odd_", "probes"), ("all_", "builds"))])
+    )
+    blocks = scratch.write(blocks, "kept-blocks")
+    rows = members.join(blocks, "anchor").join(classes.select("node", "point"), "node")
+    draw = F.xxhash64("node")
+
+    def dealt(side: DataFrame, own: str, other: str, number: int) -> DataFrame:
+        return side.select(
+            "anchor", "node", "component", "point", F.lit(number).alias("side"),
+            F.pmod(draw, F.col(own)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
+        ).select("anchor", "probes", "builds", "side", "node", "component", "point")
+
+    probes = dealt(rows.where("component <> major"), "probes", "builds", 0)
+    builds = dealt(rows, "builds", "probes", 1)
+    return (
+        probes.union(builds)
+        .groupBy("anchor", "probes", "builds")
+        .applyInPandas(_block_search(percent, forest), "src long, dst long")
+        .distinct()
+    )
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of every row of ``docs``.
 
@@ -234,49 +326,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = scratch.write(_verified(first, classes, texts, percent), "links")
     found = components(links, scratch)
 
-    # Blocks that still hold several components: their R-trees name the other pairs.
-    members = members.select("anchor", "node").join(found, "node", "left")
-    members = members.select("anchor", "node", F.coalesce("component", "node").alias("component"))
-    members = scratch.write(members, "labelled")
-    sizes = members.groupBy("anchor", "component").count()
-    mixed_blocks = sizes.groupBy("anchor").agg(
-        F.max_by("component", "count").alias("major"),
-        F.sum("count").alias("all_"),
-        (F.sum("count") - F.max("count")).alias("odd_"),
-    )
-    mixed_blocks = scratch.write(mixed_blocks.where("odd_ > 0"), "mixed")
-    # Blocks with the same members would name the same pairs: one of them is enough.
-    member_hash = F.xxhash64("node", "component")
-    mixed_blocks = (
-        members.join(mixed_blocks, "anchor")
-        .groupBy("anchor", "major", "all_", "odd_")
-        .agg(F.sum(member_hash.cast("decimal(38,0)")).alias("sum_"), F.bit_xor(member_hash).alias("xor_"))
-        .groupBy("major", "all_", "odd_", "sum_", "xor_")
-        .agg(F.min("anchor").alias("anchor"))
-        .select("anchor", "major", *[F.ceil(F.col(c) / CHUNK).alias(n) for c, n in (("odd_", "probes"), ("all_", "builds"))])
-    )
-    mixed_blocks = scratch.write(mixed_blocks, "kept-blocks")
-    rows = members.join(mixed_blocks, "anchor").join(classes.select("node", "point"), "node")
-    draw = F.xxhash64("node")
-
-    def dealt(side: DataFrame, own: str, other: str, number: int) -> DataFrame:
-        return side.select(
-            "anchor", "node", "component", "point", F.lit(number).alias("side"),
-            F.pmod(draw, F.col(own)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
-        ).select("anchor", "probes", "builds", "side", "node", "component", "point")
-
-    probes = dealt(rows.where("component <> major"), "probes", "builds", 0)
-    builds = dealt(rows, "builds", "probes", 1)
-    more = (
-        probes.union(builds)
-        .groupBy("anchor", "probes", "builds")
-        .applyInPandas(_block_search(percent), "src long, dst long")
-        .distinct()
-    )
-    more = scratch.write(more, "second")
-    links = links.union(_verified(more, classes, texts, percent))
-    found = scratch.write(components(links, scratch), "components")
+    for forest in (True, False):
+        more = scratch.write(_apart(members, found, classes, scratch, percent, forest), "more")
+        if more.isEmpty():
+            break
+        links = scratch.write(links.union(_verified(more, classes, texts, percent)), "links")
+        found = components(links, scratch)
     scratch.drop(texts, members, first)
 
     known = classes.select("set_id", F.col("node").alias("class_id"))

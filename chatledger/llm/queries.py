@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatledger.llm import mixing
+from chatledger.llm import mixing, url_filter
 from chatledger.llm.common import ready
 
 
@@ -32,6 +32,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by rules, else by the list of unwanted URLs of the crawl."""
+    from chatledger.llm.url_filter import judge, unwanted_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, unwanted_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of 13-word benchmark windows."""
     from chatledger.llm.decontaminate import find_contamination, items_digest
@@ -63,8 +71,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_source_mixing": op6_source_mixing,
     "op8_secret_scan": op8_secret_scan,
 }
-ORACLE: dict[str, str] = {"op6_source_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op6_source_mixing": mixing.oracle()}
