@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatledger.llm import mixing, url_filter
+from chatledger.llm import mixing, url_filter, warc
 from chatledger.llm.common import ready
 
 
@@ -75,6 +75,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest(found))
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, as read back from them."""
+    from chatledger.llm.common import Scratch
+    from chatledger.llm.warc import read_archives, write_archives
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = Scratch(spark, "warc-archives").write(write_archives(pages), "archives")
+    found = read_archives(archives, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
@@ -83,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op10_warc_archives": op10_warc_archives,
 }
-ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op6_source_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op6_source_mixing": mixing.oracle(), "op10_warc_archives": warc.ORACLE}
