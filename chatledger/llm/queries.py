@@ -75,6 +75,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *digest(found))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from chatledger.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, as read back from them."""
     from chatledger.llm.common import Scratch
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_extraction": op9_html_extraction,
     "op10_warc_archives": op10_warc_archives,
 }
 ORACLE: dict[str, str] = {"op4_url_filter": url_filter.ORACLE, "op6_source_mixing": mixing.oracle(), "op10_warc_archives": warc.ORACLE}
