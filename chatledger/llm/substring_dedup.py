@@ -47,7 +47,7 @@ MIN_WORDS = 5
 LONG_WORDS = 50
 #: A cut is the least of this many neighbours on both sides.
 REACH = 4
-RUN_WORDS = 15
+RUN_WORDS = 8
 #: Members of one side of a comparison within a task.
 CHUNK = 512
 
