@@ -115,13 +115,12 @@ def shingle_hashes(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def min_hashes(values: np.ndarray, count: int, seed: int, chunk: int = 8192) -> np.ndarray:
-    """``count`` minima of ``values`` under independent hash orders."""
+    """``count`` minima of well-mixed ``values`` under random orders: those of their
+    products with random odd numbers, modulo 2**64."""
     factors, out = odd_numbers(count, seed)[:, None], np.full(count, MASK, np.uint64)
     step = max(1, chunk)
     for at in range(0, len(values), step):
         part = values[at : at + step][None, :] * factors
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0x9FB21C651E98DF25)
         np.minimum(out, part.min(axis=1), out=out)
     return out
 

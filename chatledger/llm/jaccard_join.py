@@ -35,7 +35,6 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,8 +191,8 @@ def _children(nodes: np.ndarray, partners: np.ndarray, below: int) -> tuple[np.n
     return np.repeat(first, width) + offsets, np.repeat(partners, width)
 
 
-def _forest(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The pairs that would connect components, likeliest first."""
+def _forest(left: np.ndarray, right: np.ndarray, order: np.ndarray) -> list[int]:
+    """Numbers of the pairs that would connect components, taken in ``order``."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -202,38 +201,38 @@ def _forest(pairs: pd.DataFrame) -> pd.DataFrame:
         return x
 
     kept = []
-    pairs = pairs.sort_values(["likeness", "src", "dst"], ascending=[False, True, True])
-    for i, (x, y) in enumerate(zip(pairs["left"].to_numpy(), pairs["right"].to_numpy())):
-        x, y = root(x), root(y)
+    for i in order.tolist():
+        x, y = root(int(left[i])), root(int(right[i]))
         if x != y:
             parent[x] = y
             kept.append(i)
-    return pairs.iloc[kept]
+    return kept
 
 
 def _block_search(percent: int, forest: bool):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        sides = [block[block["side"] == s] for s in (0, 1)]
-        fine = [np.array([unpacked(p) for p in s["point"]], np.int32).reshape(-1, GROUPS) for s in sides]
-        coarse = [f.reshape(len(f), TREE_GROUPS, -1).sum(axis=2) for f in fine]
-        a, b = tree_pairs(RTree(coarse[0]), RTree(coarse[1]), percent)
-        nodes = [s["node"].to_numpy() for s in sides]
-        parts = [s["component"].to_numpy() for s in sides]
-        other = parts[0][a] != parts[1][b]
+    def run(block: pa.Table) -> pa.Table:
+        side = block["side"].to_numpy()
+        nodes, parts = block["node"].to_numpy(), block["component"].to_numpy()
+        fine = np.array([np.frombuffer(p.as_py(), f"<u{len(p.as_py()) // GROUPS}") for p in block["point"]])
+        sizes = fine.sum(axis=1, dtype=np.int64)
+        coarse = fine.reshape(len(fine), TREE_GROUPS, -1).sum(axis=2, dtype=np.int64)
+        at = [np.flatnonzero(side == s) for s in (0, 1)]
+        a, b = tree_pairs(*(RTree(coarse[i]) for i in at), percent)
+        a, b = at[0][a], at[1][b]
+        other = parts[a] != parts[b]
         a, b = a[other], b[other]
-        sizes = [f.sum(axis=1) for f in fine]
         most = np.zeros(len(a), np.int64)
-        for at in range(0, len(a), 8192):
-            most[at : at + 8192] = np.minimum(fine[0][a[at : at + 8192]], fine[1][b[at : at + 8192]]).sum(axis=1)
-        both = sizes[0][a] + sizes[1][b]
+        for i in range(0, len(a), 8192):
+            most[i : i + 8192] = np.minimum(fine[a[i : i + 8192]], fine[b[i : i + 8192]]).sum(axis=1, dtype=np.int64)
+        both = sizes[a] + sizes[b]
         ok = (100 + percent) * most >= percent * both
-        a, b, most, both = a[ok], b[ok], most[ok], both[ok]
-        x, y = nodes[0][a], nodes[1][b]
-        pairs = pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y)})
+        a, b, likeness = a[ok], b[ok], most[ok] / both[ok]
+        x, y = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
         if forest:
-            pairs = pairs.assign(left=parts[0][a], right=parts[1][b], likeness=most / np.maximum(both, 1))
-            pairs = _forest(pairs)[["src", "dst"]]
-        return pairs.drop_duplicates()
+            kept = _forest(parts[a], parts[b], np.lexsort((y, x, -likeness)))
+            x, y = x[kept], y[kept]
+        anchor = np.full(len(x), block["anchor"][0].as_py(), np.int64)
+        return pa.table({"anchor": anchor, "src": x.astype(np.int64), "dst": y.astype(np.int64)})
 
     return run
 
@@ -252,7 +251,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 def _apart(
     members: DataFrame, found: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, forest: bool
 ) -> DataFrame:
-    """Pairs ``src, dst`` of different components that a block holds and the bound allows."""
+    """``anchor, src, dst``: pairs of different components in a block that the bound allows."""
     members = members.select("anchor", "node").join(found, "node", "left")
     members = members.select("anchor", "node", F.coalesce("component", "node").alias("component"))
     members = scratch.write(members, "labelled")
@@ -286,12 +285,8 @@ def _apart(
 
     probes = dealt(rows.where("component <> major"), "probes", "builds", 0)
     builds = dealt(rows, "builds", "probes", 1)
-    return (
-        probes.union(builds)
-        .groupBy("anchor", "probes", "builds")
-        .applyInPandas(_block_search(percent, forest), "src long, dst long")
-        .distinct()
-    )
+    blocks = probes.union(builds).groupBy("anchor", "probes", "builds")
+    return blocks.applyInArrow(_block_search(percent, forest), "anchor long, src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -330,9 +325,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         more = scratch.write(_apart(members, found, classes, scratch, percent, forest), "more")
         if more.isEmpty():
             break
-        links = scratch.write(links.union(_verified(more, classes, texts, percent)), "links")
+        pairs = more.select("src", "dst").distinct()
+        links = scratch.write(links.union(_verified(pairs, classes, texts, percent)), "links")
         found = components(links, scratch)
-    scratch.drop(texts, members, first)
+        # A block without a pair that the bound allows is done.
+        members = members.join(more.select("anchor").distinct(), "anchor", "left_semi")
+    scratch.drop(texts, first)
 
     known = classes.select("set_id", F.col("node").alias("class_id"))
     result = points.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left")
