@@ -39,7 +39,9 @@ def canonical_messages(messages: Column) -> Column:
 
 def canonical_temperature(temperature: Column, present: Column) -> Column:
     """Two decimals, halves upwards; 0.7 when absent, 0 when an explicit null."""
-    rounded = F.floor(temperature.cast("double") * 100 + 0.5) / 100
+    value = temperature.try_cast("double")
+    # Beyond 1e12 a double has no two decimals to round.
+    rounded = F.when(F.abs(value) < 1e12, F.floor(value * 100 + 0.5) / 100).otherwise(value)
     return F.when(temperature.isNotNull(), json_number(rounded)).otherwise(
         F.when(present, F.lit("0")).otherwise(F.lit("0.7"))
     )

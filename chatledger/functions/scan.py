@@ -132,27 +132,50 @@ def scan_messages_sql(
     ``text`` is scanned and put back into the part's JSON.
     """
 
-    def text_field(value: str) -> str:
-        return f"concat('\"text\":', {json_quote_sql(value)})"
-
-    field = text_field("get_json_object(part_, '$.text')")
-    put_back = let_sql(
-        field,
-        "old_",
-        f"overlay(part_ PLACING {text_field('ps_.sanitized')} FROM instr(part_, old_) "
-        "FOR char_length(old_))",
+    # Only a string ``text`` of an object is scanned.  The part is then written anew
+    # from its own keys, so that no other text of it can be taken for this one; a
+    # part whose values cannot be told apart keeps its text alone.
+    is_object = "coalesce(schema_of_variant(get(kinds_, i_)) LIKE 'OBJECT%', startswith(part_, '{'))"
+    is_string = "coalesce(schema_of_variant(from_json(part_, 'text VARIANT').text) = 'STRING', false)"
+    value = (
+        f"CASE WHEN key_ = 'text' THEN {json_quote_sql('ps_.sanitized')} "
+        f"WHEN schema_of_variant(types_[key_]) = 'STRING' THEN {json_quote_sql('values_[key_]')} "
+        "ELSE coalesce(values_[key_], 'null') END"
     )
-    part = let_sql(
-        scan_sql("get_json_object(part_, '$.text')", rules, notice),
+    members = f"transform(array_distinct(json_object_keys(part_)), key_ -> concat({json_quote_sql('key_')}, ':', {value}))"
+    rebuilt = let_sql(
+        "from_json(part_, 'map<string, variant>')",
+        "types_",
+        let_sql("from_json(part_, 'map<string, string>')", "values_", f"concat('{{', array_join({members}, ','), '}}')"),
+    )
+    rebuilt = (
+        "CASE WHEN from_json(part_, 'map<string, variant>') IS NULL THEN "
+        f"concat('{{\"type\":\"text\",\"text\":', {json_quote_sql('ps_.sanitized')}, '}}') ELSE {rebuilt} END"
+    )
+    scanned_part = let_sql(
+        scan_sql("from_json(part_, 'text STRING').text", rules, notice),
         "ps_",
         f"named_struct('findings', ps_.findings, "
-        f"'part', CASE WHEN size(ps_.findings) > 0 THEN {put_back} ELSE part_ END)",
+        f"'part', CASE WHEN size(ps_.findings) > 0 THEN {rebuilt} ELSE part_ END)",
+    )
+    other = (
+        f"named_struct('findings', {NO_FINDINGS}, 'part', "
+        "CASE WHEN coalesce(schema_of_variant(get(kinds_, i_)) = 'STRING', "
+        "part_ IS NOT NULL AND NOT part_ RLIKE '^([\\\\[{]|-?[0-9.eE+-]+$|true$|false$|null$)') "
+        f"THEN {json_quote_sql('part_')} "
+        "ELSE coalesce(part_, 'null') END)"
     )
+    part = f"CASE WHEN {is_object} AND {is_string} THEN {scanned_part} ELSE {other} END"
     multipart = let_sql(
-        f"transform(from_json(msg_.content, 'array<string>'), part_ -> {part})",
+        let_sql(
+            "from_json(msg_.content, 'array<variant>')",
+            "kinds_",
+            f"transform(from_json(msg_.content, 'array<string>'), (part_, i_) -> {part})",
+        ),
         "all_",
-        "named_struct('findings', flatten(transform(all_, a_ -> a_.findings)), "
-        "'sanitized', concat('[', array_join(transform(all_, a_ -> a_.part), ','), ']'))",
+        "named_struct('findings', flatten(transform(all_, a_ -> a_.findings)), 'sanitized', "
+        "CASE WHEN exists(all_, a_ -> size(a_.findings) > 0) "
+        "THEN concat('[', array_join(transform(all_, a_ -> a_.part), ','), ']') ELSE msg_.content END)",
     )
     scanned = (
         f"CASE WHEN NOT {_hinted_by_any_sql('msg_.content', rules)} "

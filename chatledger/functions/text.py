@@ -34,16 +34,38 @@ def json_quote(s: Column) -> Column:
 
 
 def json_number(x: Column) -> Column:
-    """Shortest JSON text of a double: ``1`` rather than ``1.0``, no exponent."""
-    plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    """JSON text of a double as JavaScript writes it: ``1`` rather than ``1.0``, and an
+    exponent (``1e+25``, ``1e-7``) only from 1e21 on and below 1e-6.  An infinite number,
+    which JSON has no text for, is ``null``."""
     text = x.cast("string")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    power = F.substring_index(text, "E", -1)
+    signed = F.when(power.startswith("-"), power).otherwise(F.concat(F.lit("+"), power))
+    small = F.regexp_replace(x.try_cast("decimal(38,30)").cast("string"), r"\.?0+$", "")
     return (
-        F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string"))
-        .when(text.contains("E"), plain)
+        F.when(F.abs(x) == float("inf"), F.lit("null"))
+        .when((x != 0) & ((F.abs(x) >= 1e21) | (F.abs(x) < 1e-6)), F.concat(digits, F.lit("e"), signed))
+        .when(x == F.rint(x), x.try_cast("decimal(38,0)").cast("string"))
+        .when(text.contains("E"), small)
         .otherwise(text)
     )
 
 
+#: JSON as its standard has it: no single quotes and no ``NaN``.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_json(raw: Column) -> Column:
+    """Whether ``raw`` is just one JSON value; keys may repeat.
+
+    It is read as the first of two elements: what follows the value, or closes the
+    array early, makes that fail.
+    """
+    end = "-end-"
+    pair = F.from_json(F.concat(F.lit("["), raw, F.lit(f', "{end}"]')), "array<string>", STRICT_JSON)
+    return F.coalesce((F.size(pair) == 2) & (F.get(pair, F.lit(1)) == end), F.lit(False))
+
+
 def entropy(column: str) -> Column:
     """Shannon entropy in bits per character; 0 for null or empty text."""
     return F.expr(entropy_sql(column_sql(column)))

@@ -4,15 +4,17 @@ except where a report counts."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger.functions import scan as S
 from chatledger.functions import text as X
-from chatledger.rules import RULES, Rule
+from chatledger.rules import RULES, WHITE_SPACE, Rule
 
-MAX_TABLE_RULES = 512
+#: Rules of one pass over the texts; a larger catalogue takes several.
+RULES_PER_PASS = 512
 
 
 def scan_findings(
@@ -24,6 +26,9 @@ def scan_findings(
 ) -> DataFrame:
     """One row per match: ``id_col``, rule, match number, value, label, entropy, start."""
     rules = rules_from_table(rules) if isinstance(rules, DataFrame) else rules
+    if len(rules) > RULES_PER_PASS:
+        passes = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)]
+        return reduce(DataFrame.union, [scan_findings(df, id_col, text_col, p, notice) for p in passes])
     return (
         df.where(S.may_have_secrets(text_col, rules))
         .select(id_col, F.explode(S.find_secrets(text_col, rules, notice)).alias("f"))
@@ -89,15 +94,17 @@ def redact_messages(
     )
 
 
-def policy_decision(df: DataFrame, findings: str = "findings", mode: str = "redact") -> DataFrame:
-    """Add ``action`` and ``status`` for a redaction mode: redact, block or off."""
-    if mode not in ("redact", "block", "off"):
-        raise ValueError(f"unknown redaction mode {mode!r}")
+def policy_decision(
+    df: DataFrame, findings: str = "findings", mode: str | Column = "redact"
+) -> DataFrame:
+    """Add ``action`` and ``status`` for a redaction mode: redact, block or off; the
+    mode may be a column."""
+    if isinstance(mode, str):
+        if mode not in ("redact", "block", "off"):
+            raise ValueError(f"unknown redaction mode {mode!r}")
+        mode = F.lit(mode)
     found = F.size(findings) > 0
-    if mode == "off":
-        action = F.lit("pass")
-    else:
-        action = F.when(found, F.lit(mode)).otherwise(F.lit("pass"))
+    action = F.when(found & (mode != "off"), mode).otherwise(F.lit("pass"))
     return df.withColumn("action", action).withColumn(
         "status", F.when(F.col("action") == "block", F.lit(403)).otherwise(F.lit(200))
     )
@@ -132,7 +139,7 @@ def high_entropy_candidates(
 ) -> DataFrame:
     """White-space separated tokens that look machine generated."""
     tokens = F.filter(
-        F.split(F.col(text_col), r"\s+"), lambda t: F.char_length(t) >= min_length // 2
+        F.split(F.col(text_col), f"[{WHITE_SPACE}]+"), lambda t: F.char_length(t) >= min_length // 2
     )
     return (
         df.select(id_col, F.posexplode(tokens).alias("token_no", "token"))
@@ -157,17 +164,13 @@ def findings_by_rule(findings: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def rules_from_table(table: DataFrame, max_rules: int = MAX_TABLE_RULES) -> tuple[Rule, ...]:
+def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
     """A user rule table as literals for the plan, in ``rule_id`` order.
 
-    Columns: ``rule_id, rule_name, regex, extract_group, min_entropy``.  Rules
-    are settings, not data: a table of more than ``max_rules`` is refused rather
-    than planned.  As literals they are compiled once per task and need no join.
+    Columns: ``rule_id, rule_name, regex, extract_group, min_entropy``.  Rules are
+    settings, not data.  As literals they are compiled once per task and need no join.
     """
-    rows = table.orderBy("rule_id").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"rule table has more than {max_rules} rows")
     return tuple(
         Rule(r["rule_id"], r["rule_name"], r["regex"], r["extract_group"] or 0, r["min_entropy"])
-        for r in rows
+        for r in table.orderBy("rule_id").collect()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatledger.functions.text import estimate, json_quote, utf16_length
+from chatledger.functions.text import STRICT_JSON, estimate, is_json, json_quote, utf16_length
 from chatledger.schemas import RESPONSE_BODY, SSE_CHUNK
 from chatledger.sources.sse_text import payload
 
@@ -25,7 +25,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return (
         lines.where(F.col("line").startswith("data:"))
         .withColumn("_d", data)
-        .withColumn("_c", F.from_json("_d", SSE_CHUNK))
+        .withColumn("_c", F.when(is_json(F.col("_d")), F.from_json("_d", SSE_CHUNK, STRICT_JSON)))
         .select(
             "stream_id",
             "seq",

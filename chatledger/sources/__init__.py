@@ -1,6 +1,6 @@
 """Reading raw logs, files and event-stream text; reading and writing tables."""
 
-from chatledger.sources.files import scan_files
+from chatledger.sources.files import scan_files, write_text_files
 from chatledger.sources.requests import parse_requests
 from chatledger.sources.sse_text import sse_lines
 from chatledger.sources.tables import (
@@ -20,4 +20,5 @@ __all__ = [
     "shared_path",
     "sse_lines",
     "write_response_cache",
+    "write_text_files",
 ]

@@ -1,30 +1,103 @@
-"""Directory scan: one row per file, then one row per secret."""
+"""Directory scan: one row per file, then one row per secret.
+
+Spark's own file listing leaves out names that begin with a dot or an underscore,
+which a scan for secrets must see.  Folders are therefore listed by tasks, a level of the
+tree at a time, and files are read by tasks, through the file system their URI names.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import posixpath
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatledger.operators.scanning import scan_findings
 from chatledger.rules import RULES, Rule
+from chatledger.sources.tables import checkpointed, shared_path
 
 # Directories and files of these names are passed over.
 SKIPPED = ("node_modules", ".git", "dist")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system, relative ones made absolute."""
+    jvm = spark._jvm
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toString()
+
+
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    local = re.match(r"file:(?://)?(/.*)", uri)
+    return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(uri)
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, folder`` of what the folders hold."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            system, root = _opened(folder)
+            found = [i for i in system.get_file_info(fs.FileSelector(root)) if i.base_name not in SKIPPED]
+            paths = [posixpath.join(folder, i.base_name) for i in found]
+            kinds = [i.type == fs.FileType.Directory for i in found]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.bool_())], names=["path", "folder"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            system, name = _opened(path)
+            with system.open_input_stream(name) as file:
+                text = file.read().decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], names=["path", "text"])
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of every file under a folder, or of the one file it names.  Names in
+    ``SKIPPED`` are passed over below the root only."""
+    root = qualified(spark, path)
+    system, name = _opened(root)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return spark.createDataFrame([(root,)], "path string")
+    files, folders = None, spark.createDataFrame([(root,)], "path string")
+    while True:
+        level = checkpointed(folders.mapInArrow(_list, "path string, folder boolean"), "listing")
+        here = level.where("NOT folder").select("path")
+        files = here if files is None else files.union(here)
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return files
+        folders = folders.repartition("path")
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` for every file under ``path``, skipped folders left out."""
-    root = path.rstrip("/")
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
-    # Only components below the root count; the listed path may carry a scheme.
-    below = F.element_at(F.split(F.col("path"), _quote(root), 2), -1)
-    return files.where(~F.arrays_overlap(F.split(below, "/"), F.array(*map(F.lit, SKIPPED))))
+    """``(path, text)`` for every file under ``path``, skipped folders left out; bytes
+    that are not UTF-8 become replacement characters."""
+    return list_files(spark, path).repartition("path").mapInArrow(_read, "path string, text string")
+
+
+def write_text_files(texts: DataFrame, name: str) -> str:
+    """Write every row's ``text`` to its ``path`` in a new shared folder, and return that."""
+    folder = qualified(texts.sparkSession, shared_path(texts.sparkSession, name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, target = _opened(posixpath.join(folder, path))
+                system.create_dir(posixpath.dirname(target), recursive=True)
+                with system.open_output_stream(target) as file:
+                    file.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    texts.select("path", "text").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    return folder
 
 
 def scan_files(
@@ -32,7 +105,3 @@ def scan_files(
 ) -> DataFrame:
     """Findings of every file under ``path`` (or of the one file it names)."""
     return scan_findings(read_text_files(spark, path), "path", "text", rules=rules)
-
-
-def _quote(literal: str) -> str:
-    return "\\Q" + literal + "\\E"

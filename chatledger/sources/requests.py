@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatledger.functions.text import truthy
+from chatledger.functions.text import STRICT_JSON, is_json, truthy
 from chatledger.schemas import REQUEST_BODY
 
 REQUEST_COLUMNS = [
@@ -27,12 +27,15 @@ REQUEST_COLUMNS = [
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Add the typed request columns; ``body`` is dropped.
 
-    A body that is not JSON gets ``invalid_json`` and nulls elsewhere.  Message
+    A body that is not one JSON value gets ``invalid_json`` and nulls elsewhere; of a
+    key that repeats, the last value counts.  Message
     content is a string, or the JSON text of a part array (``is_parts``).
     """
     raw = F.col(body)
-    bad = raw.isNull() | F.try_parse_json(raw).isNull()
-    parsed = df.withColumn("_bad", bad).withColumn("_r", F.from_json(raw, REQUEST_BODY))
+    raw = F.when(is_json(raw), raw)
+    parsed = df.withColumn(body, raw).withColumn("_bad", F.col(body).isNull())
+    raw = F.col(body)
+    parsed = parsed.withColumn("_r", F.from_json(raw, REQUEST_BODY, STRICT_JSON))
     messages = F.col("_r.messages")
 
     # from_json gives a part array as its JSON text, and null for both a null

@@ -29,14 +29,13 @@ class StreamingFold(StatefulProcessor):
         passed: Sequence[str],
         outputs: Sequence[str],
         state: T.StructType,
-        idle_ms: int | None = None,
     ):
         self.step, self.order, self.inputs = step, list(order), list(inputs)
         self.passed, self.outputs = list(passed), list(outputs)
-        self.state_schema, self.idle_ms = state, idle_ms
+        self.state_schema = state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", self.state_schema, self.idle_ms)
+        self.state = handle.getValueState("fold", self.state_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
@@ -66,17 +65,16 @@ def _fold_stream(
     inputs: Sequence[str],
     outputs: T.StructType,
     state: str,
-    idle_ms: int | None = None,
 ) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *outputs.fields])
     processor = StreamingFold(
-        step, order, inputs, df.columns, outputs.names, T._parse_datatype_string(state), idle_ms
+        step, order, inputs, df.columns, outputs.names, T._parse_datatype_string(state)
     )
     return df.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=schema,
         outputMode="append",
-        timeMode="None" if idle_ms is None else "ProcessingTime",
+        timeMode="None",
     )
 
 
@@ -88,15 +86,13 @@ def rate_limit_stream(
     rpm: float = 60,
     burst: float = 1.5,
     cost: int = 1,
-    idle_ms: int = 300_000,
 ) -> DataFrame:
     """:func:`chatledger.operators.folds.rate_limit_audit` over a stream.
 
-    A key idle for ``idle_ms``, and long enough for its bucket to be full again,
-    is forgotten; that never changes an answer.
+    Every key keeps its bucket, two numbers, for good: buckets fill by the time of the
+    requests, of which a clock on the wall says nothing when a stream pauses or lags.
     """
     folds.check_limits(rpm, cost)
-    refill_ms = int(folds.bucket_capacity(rpm, burst) / (rpm / 60000)) + 1
     one = df.withColumn("requests", F.lit(1).cast("bigint"))
     out = T.StructType([T.StructField("tokens_", T.DoubleType())])
     answered = _fold_stream(
@@ -107,7 +103,6 @@ def rate_limit_stream(
         [ms, "requests"],
         out,
         "tokens double, last_ms bigint",
-        max(idle_ms, refill_ms),
     )
     return answered.select(
         *df.columns, *folds.bucket_answer(F.col("tokens_"), F.lit(1), rpm, cost)

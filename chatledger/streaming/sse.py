@@ -19,9 +19,10 @@ PIECE = (
 
 
 class Reassembly(StatefulProcessor):
-    """Keep a stream's pieces until its end marker, emit it once, then forget it.
+    """Keep a stream's pieces until its end marker, emit it once, then keep a mark only.
 
-    A stream that stays silent for ``abandon_ms`` is dropped.
+    A stream that stays silent for ``abandon_ms`` is given up: its pieces go, and since
+    what may still follow lacks its beginning, nothing is ever emitted for it.
     """
 
     def __init__(self, abandon_ms: int):
@@ -31,7 +32,7 @@ class Reassembly(StatefulProcessor):
         self.handle = handle
         self.pieces = handle.getListState("pieces", PIECE)
         self.deadline = handle.getValueState("deadline", "at bigint")
-        self.finished = handle.getValueState("finished", "at bigint", self.abandon_ms)
+        self.finished = handle.getValueState("finished", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(rows, ignore_index=True)
@@ -61,6 +62,7 @@ class Reassembly(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.deadline.clear()
         self.pieces.clear()
+        self.finished.update((timerValues.getCurrentProcessingTimeInMs(),))
         return iter(())
 
     def _cancel_timer(self) -> None:

@@ -44,24 +44,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table for work that is heavy on the CPU.
+    """A table for work that is heavy on the CPU."""
+    return spread(table(spark, sf, name), key)
 
-    A table in fewer files than there are cores is spread over the cores by its
-    key; any larger one is read as it is, without an exchange.
-    """
-    df = table(spark, sf, name)
-    return spread(df, key, len(df.inputFiles()))
 
+#: Bytes for each core below which a table is dealt out to all cores.
+SPREAD_BYTES = 8 << 20
 
-def spread(df: DataFrame, key: str, files: int) -> DataFrame:
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table too small to have a split for every core is dealt out by its key; any
+    larger one is read as it is, without an exchange, in splits of the session's size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if files < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # Bounded batches: a key's rows of one batch are sorted in memory.
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    if path_is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def path_is_folder(spark: SparkSession, path: str) -> bool:
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(made).isDirectory()
 
 
 def planted(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,7 +194,7 @@ def body_log(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` as raw requests, each with its conversation's JSON body."""
     events = table(spark, sf, "events")
     log = _as_log(events, spark, sf).drop("model", "ms").join(chat_requests(spark, sf), "conv_id")
-    return spread(log, "request_id", len(events.inputFiles()))
+    return spread(log, "request_id")
 
 
 def outcome_log(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:

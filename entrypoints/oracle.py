@@ -14,6 +14,7 @@ def lit(s: str) -> str:
 
 # White space and letters as SQL expressions, free of control characters.
 SPACES = "(" + " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
+SPACE_CLASS = "".join(f"\\x{{{ord(c):04X}}}" for c in WHITE_SPACE)
 NL = "chr(10)"
 
 
@@ -121,7 +122,7 @@ tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, '
 SELECT token, n, {entropy('token')} AS entropy FROM tokens"""
 
 ORACLE["high_entropy_candidates"] = f"""WITH docs AS ({planted('documents', 'doc_id', 'text')}),
-tokens AS (SELECT id, unnest(regexp_split_to_array(text, '[\\t\\n\\x0B\\f\\r ]+')) AS token FROM docs),
+tokens AS (SELECT id, unnest(regexp_split_to_array(text, '[{SPACE_CLASS}]+')) AS token FROM docs),
 long AS (SELECT id, token FROM tokens WHERE {utf16('token')} >= 20 AND NOT regexp_full_match(token, '[a-zA-Z]+')),
 measured AS (SELECT id, token, {entropy('token')} AS bits FROM long)
 SELECT id AS doc_id, token, bits AS entropy FROM measured WHERE bits >= 4.2"""

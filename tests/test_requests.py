@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatledger import sources
 from chatledger.functions.cost import Prices
@@ -138,3 +139,28 @@ def test_usage_resolve(spark):
     df = spark.createDataFrame([(*r, 9) for r in rows], "id int, response string, is_stream boolean, est_tokens long")
     got = {r.id: (r.prompt_tokens, r.completion_tokens) for r in requests.usage_resolve(df).collect()}
     assert got == {0: (3, 4), 1: (9, 2), 2: (9, -(-len(response({})) // 4))}
+
+
+def test_bodies_must_be_one_json_value(spark):
+    bodies = {
+        '{"model":"m"} x': None,
+        "{'model':'m'}": None,
+        '{"model":"m"}],[{}': None,
+        '{"model":"m"},{"model":"n"}': None,
+        '{"model":NaN}': None,
+        "": None,
+        ' {"model":"m"} ': "m",
+        '{"model":"a","model":"b"}': "b",
+    }
+    rows = sources.parse_requests(spark.createDataFrame([(b,) for b in bodies], "body string").withColumn("raw", F.col("body")))
+    got = {r.raw: (r.invalid_json, r.model) for r in rows.collect()}
+    assert got == {b: (m is None, m) for b, m in bodies.items()}
+
+
+def test_numbers_are_written_as_in_javascript(spark):
+    from chatledger.functions.text import json_number
+
+    texts = {1.0: "1", 0.7: "0.7", 1e20: "1" + "0" * 20, 1e21: "1e+21", 1e25: "1e+25", 1.5e-5: "0.000015", 1e-6: "0.000001",
+             1e-7: "1e-7", 1.25e-9: "1.25e-9", -2.5: "-2.5", 123456.789: "123456.789", float("inf"): "null"}
+    rows = spark.createDataFrame([(x,) for x in texts], "x double").select("x", json_number(F.col("x")).alias("t"))
+    assert {r.x: r.t for r in rows.collect()} == texts

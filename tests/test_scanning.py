@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import json
 import os
 from collections import Counter
 
@@ -82,7 +83,7 @@ def test_boundaries_are_ascii(spark):
     assert len(findings(spark, 'api_key = "a1b2c3d4e5f6g7h8i9j0k1l2"')) == 1
 
 
-def test_custom_notice_and_user_rules(spark):
+def test_custom_notice_and_user_rules(spark, monkeypatch):
     assert redacted(spark, f"k {AWS}", notice="***") == ["k ***"]
     assert redacted(spark, f"k {AWS}", notice="") == ["k [REDACTED:AWS-ACCESS-KEY]"]
     table = spark.createDataFrame(
@@ -91,8 +92,9 @@ def test_custom_notice_and_user_rules(spark):
     )
     found = scanning.scan_findings(texts(spark, "a1 b22 b"), "id", "text", rules=table).collect()
     assert sorted((r.rule_id, r.matched) for r in found) == [("a", "a1"), ("b", "22"), ("b", "b")]
-    with pytest.raises(ValueError):
-        scanning.rules_from_table(table, max_rules=1)
+    monkeypatch.setattr(scanning, "RULES_PER_PASS", 1)
+    passes = scanning.scan_findings(texts(spark, "a1 b22 b"), "id", "text", rules=table).collect()
+    assert sorted(map(tuple, passes), key=repr) == sorted(map(tuple, found), key=repr)
 
 
 def test_java_regex_keeps_classes_apart():
@@ -168,6 +170,41 @@ def test_scan_files_skips_folders(spark, tmp_path):
     assert [r.matched for r in one] == [AWS]
 
 
+def test_scan_files_sees_hidden_names(spark, tmp_path):
+    root = tmp_path / "dist" / "my dir"
+    names = ["ok.txt", ".env", "__init__.py", "_config.yml", ".github/ci.yml", "src/.npmrc", "a b/c%20.txt"]
+    for name in [*names, ".git/x", "src/node_modules/y"]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"x {AWS}")
+    (root / "bytes").write_bytes(b"\xff\xfe " + AWS.encode())
+    rows = sources.scan_files(spark, str(root)).collect()
+    assert sorted(r.path.split("/my dir/", 1)[1] for r in rows) == sorted([*names, "bytes"])
+
+
+def test_redaction_leaves_no_secret_in_text_parts(spark):
+    bodies = [
+        f'{{"messages":[{{"role":"u","content":[{{"meta":{{"text":"{AWS}"}},"type":"text","text":"{AWS}"}}]}}]}}',
+        f'{{"messages":[{{"role":"u","content":[{{"type":"text","text":{{"a":"{AWS}"}}}},{{"text":"é {AWS}","n":1.5,"o":{{"z":1,"a":[2]}},"q":null}}]}}]}}',
+        f'{{"messages":[{{"role":"u","content":["s", {{"text":"{AWS}","text":"b {AWS}"}}, 7]}}]}}',
+        f'{{"messages":[{{"role":"u","content":[{{"text":"{AWS} \\"q\\""}},{{"text":"{AWS}"}}]}}]}}',
+    ]
+    parsed = sources.parse_requests(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"))
+    got = {r.id: r for r in scanning.redact_messages(parsed).collect()}
+    label = "[REDACTED:AWS-ACCESS-KEY]"
+    assert [len(got[i].findings) for i in range(4)] == [1, 1, 1, 2]
+    content = [json.loads(got[i].messages[0].content) for i in range(4)]
+    assert content[0] == [{"meta": {"text": AWS}, "type": "text", "text": label}]
+    assert content[1] == [{"type": "text", "text": {"a": AWS}}, {"text": f"é {label}", "n": 1.5, "o": {"z": 1, "a": [2]}, "q": None}]
+    assert content[2][0] == "s" and content[2][1]["text"] == f"b {label}" and content[2][2] == 7
+    assert content[3] == [{"text": f'{label} "q"'}, {"text": label}]
+
+
+def test_candidates_split_at_every_white_space(spark):
+    token = "aB3" + "xY7zQ1wE9rT5uI2" + "kL8"
+    got = scanning.high_entropy_candidates(texts(spark, f"pre\u00a0{token}\u2003post"), "id", "text").collect()
+    assert [r.token for r in got] == [token]
+
+
 def test_findings_by_rule(spark):
     found = scanning.scan_findings(texts(spark, f"{AWS} {AWS}", AWS), "id", "text")
     row = scanning.findings_by_rule(found, "id").first()

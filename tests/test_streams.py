@@ -79,3 +79,49 @@ def test_stateless_streams(spark, tmp_path):
     got = streaming.run_totals(live, "t", ["client_id"]).withColumn("usd_saved", F.round("usd_saved", 6))
     want = metrics.usage_metrics(outcomes, ["client_id"]).withColumn("usd_saved", F.round("usd_saved", 6))
     same(got, want)
+
+
+def paused(spark, path, batches, schema, start, pause):
+    """The rows a stream emits over batches with a pause on the wall clock between them."""
+    import time
+
+    out = []
+
+    def keep(batch, _):
+        out.extend(batch.collect())
+
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path / "in"))
+        if n:
+            time.sleep(pause)
+        stream = start(spark.readStream.schema(schema).parquet(str(path / "in")))
+        streaming.run.use_rocksdb(spark)
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(path / "state"))
+        with streaming.run._only_data_batches(spark):
+            query.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_rate_limit_stream_counts_the_time_of_requests(spark, tmp_path):
+    batches = [[("a", 1000, 1)], [("a", 1001, 2)]]
+    args = ("k", "ms", "id", 60_000, 1 / 60_000)
+    got = paused(spark, tmp_path, batches, "k string, ms long, id long", lambda s: streaming.rate_limit_stream(s, *args), 2)
+    log = spark.createDataFrame([r for b in batches for r in b], "k string, ms long, id long")
+    want = folds.rate_limit_audit(log, *args).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_streams_given_up_or_finished_emit_nothing_more(spark, tmp_path):
+    def line(seq, text):
+        return (1, seq, 'data: {"id":"i","choices":[{"delta":{"content":"%s"}}]}' % text)
+
+    def ended(stream, seq):
+        return (stream, seq, "data: [DONE]")
+
+    full = (2, 1, 'data: {"id":"j","choices":[{"delta":{"content":"whole"}}]}')
+    late = (3, 1, 'data: {"id":"k","choices":[{"delta":{"content":"x"}}]}')
+    batches = [[line(1, "HEAD"), full, ended(2, 2)], [late], [line(2, "TAIL"), ended(1, 3), ended(2, 3)]]
+    got = paused(
+        spark, tmp_path, batches, "stream_id long, seq long, line string", lambda s: streaming.sse_reassemble_stream(s, abandon_ms=500), 2
+    )
+    assert [r.stream_id for r in got] == [2]
