@@ -149,18 +149,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         grand = scratch.write(parents.join(up, "parent"), "grand")
         seen = both.join(grand.select(F.col("node").alias("dst"), F.col("grand").alias("offer")), "dst")
-        lower = seen.groupBy("src").agg(F.min("offer").alias("offer"))
-        lower = scratch.write(lower, "offers")
-        to_node = lower.select(F.col("src").alias("node"), "offer")
+        to_node = seen.groupBy(F.col("src").alias("node")).agg(F.min("offer").alias("offer"))
         to_parent = grand.join(to_node, "node").select(F.col("parent").alias("node"), "offer")
-        own = grand.select("node", F.col("grand").alias("offer"))
-        new = to_node.union(to_parent).union(own).groupBy("node").agg(F.min("offer").alias("parent"))
+        offers = to_node.union(to_parent).withColumn("before", F.lit(None).cast("long"))
+        own = grand.select("node", F.col("grand").alias("offer"), F.col("parent").alias("before"))
+        new = offers.union(own).groupBy("node").agg(F.min("offer").alias("parent"), F.max("before").alias("before"))
         new = scratch.write(new, "parents")
-        settled = new.join(
-            parents.withColumnRenamed("parent", "before"), "node"
-        ).where("parent <> before").isEmpty()
-        scratch.drop(grand, lower, parents)
-        parents = new
+        settled = new.where("parent <> before").isEmpty()
+        scratch.drop(grand, parents)
+        parents = new.drop("before")
+        parents.scratch_path = new.scratch_path
         if settled:
             break
     scratch.drop(both)

@@ -207,3 +207,31 @@ def items_digest(items: Column) -> Column:
     """SHA-256 of the ids, sorted as strings and joined by commas."""
     names = F.array_sort(F.transform(items, lambda x: x.cast("string")))
     return F.sha2(F.array_join(names, ",").cast("binary"), 256)
+
+
+#: DuckDB SQL for the registered query.
+ORACLE = r"""
+WITH RECURSIVE low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[k : k + least(13, len(ws)) - 1], ' ') AS words
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS k FROM items WHERE len(ws) > 0)
+), starts AS (
+  SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS k
+  FROM low, (SELECT DISTINCT size FROM windows) WHERE len(ws) >= size
+), hits AS (
+  SELECT s.doc_id, s.k, s.size, w.item_id FROM starts s JOIN windows w
+    ON s.size = w.size AND array_to_string(s.ws[s.k : s.k + s.size - 1], ' ') = w.words
+), found AS (
+  SELECT doc_id, len(list_distinct(flatten(list(range(k, k + size))))) AS n_hit,
+    list_sort(list_distinct(list(item_id::VARCHAR))) AS ids FROM hits GROUP BY doc_id
+)
+SELECT l.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM low l LEFT JOIN found f ON l.doc_id = f.doc_id
+"""

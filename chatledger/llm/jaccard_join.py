@@ -344,3 +344,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.coalesce(F.least("own_", "of_class_"), "of_class_", "own_", "class_id", "doc_id").alias("component_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
+
+
+#: DuckDB SQL for the registered query.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[k : k + least(5, len(ws)) - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS k FROM words WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared h JOIN sizes p ON h.x = p.doc_id JOIN sizes q ON h.y = q.doc_id
+  WHERE 100 * h.n >= 75 * (p.n + q.n - h.n)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x
+), parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT p.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM parts p LEFT JOIN sizes s ON p.doc_id = s.doc_id
+"""
