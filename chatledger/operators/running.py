@@ -18,32 +18,27 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatledger.functions.text import column_sql
+from chatledger.sources.tables import checkpointed
 
-HOT_DIVISOR = 1000
 HOT_MIN_ROWS = 1_000_000
-SKETCH_ITEMS = 10_000
 SLICE_MS = 60_000
 FRAME_CHUNK = 8_192
 
 
 def hot_values(df: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> list[Any]:
-    """Key values above ``min_rows`` rows and about above their share of the whole.
+    """Key values above ``min_rows`` rows and above an even partition's share of them.
 
-    One scan of the key column with a frequent-items sketch: no exchange but one
-    sketch per task.  The sketch keeps every key above its share (its error is a
-    fraction of ``1/HOT_DIVISOR``), and a key wrongly taken for hot or not only
-    gets the other plan with the same result.  At most ``HOT_DIVISOR`` values come
-    back, whatever the data, so they may go into the plan as literals.
+    Rows are counted by key with partial aggregation, so that a task sends one row for
+    each key it has met; the counts, a row a key, are written and read twice.  No more
+    than ``spark.sql.shuffle.partitions`` values can be above that share, so they may go
+    into the plan as literals.
     """
-    frequent = f"approx_top_k({column_sql(key)}, {HOT_DIVISOR}, {SKETCH_ITEMS})"
-    found = (
-        df.where(F.col(key).isNotNull())
-        .agg(F.count(F.lit(1)).alias("rows"), F.expr(frequent).alias("keys"))
-        .first()
-    )
-    least = max(min_rows, found["rows"] / HOT_DIVISOR)
-    return [k["item"] for k in found["keys"] if k["count"] > least]
+    spark = df.sparkSession
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    counts = checkpointed(counts, "key-counts")
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(min_rows, rows // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return [r["key"] for r in counts.where(F.col("n") > least).select("key").collect()]
 
 
 def split_hot(df: DataFrame, key: str, hot: Sequence[Any]) -> tuple[DataFrame, DataFrame | None]:
