@@ -21,7 +21,7 @@ from chatledger.sources.tables import shared_path
 ROOT = str(Path(__file__).resolve().parents[2])
 SHINGLE_WORDS = 5
 #: Distinct words whose hashes a worker remembers before it starts anew.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 200_000
 MASK = (1 << 64) - 1
 
 
