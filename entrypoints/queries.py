@@ -190,40 +190,44 @@ def client_key(spark, sf):
 # --- cache table -------------------------------------------------------------
 
 
-@query
-def response_cache(spark, sf):
+def _stored_cache(spark, sf):
+    """The cache as the bucketed table that lookups and upserts work on."""
     path = sources.shared_path(spark, "cache")
     name = "cache_" + path[-32:]
     sources.write_response_cache(I.cache_entries(spark, sf), name, path)
     return sources.read_response_cache(spark, name)
 
 
+@query
+def response_cache(spark, sf):
+    return _stored_cache(spark, sf)
+
+
 @query
 def cache_lookup(spark, sf):
-    return cache.cache_lookup(I.lookups(spark, sf), I.cache_entries(spark, sf))
+    return cache.cache_lookup(I.lookups(spark, sf), _stored_cache(spark, sf))
 
 
 @query
 def cache_lookup_tiered(spark, sf):
-    entries = I.cache_entries(spark, sf)
+    entries = _stored_cache(spark, sf)
     hot = entries.where(F.col("prompt_tokens") % 3 == 0)
     return cache.cache_lookup_tiered(I.lookups(spark, sf), hot, entries)
 
 
 @query
 def cache_misses(spark, sf):
-    return cache.cache_misses(I.lookups(spark, sf), I.cache_entries(spark, sf))
+    return cache.cache_misses(I.lookups(spark, sf), _stored_cache(spark, sf))
 
 
 @query
 def cache_hits_semi(spark, sf):
     later = I.lookups(spark, sf).withColumn("now_ms", F.col("now_ms") + I.TTL_MS)
-    return cache.cache_hits_semi(I.cache_entries(spark, sf), later).select("hash", "created_at", "ttl_ms")
+    return cache.cache_hits_semi(_stored_cache(spark, sf), later).select("hash", "created_at", "ttl_ms")
 
 
-def _new_entries(spark, sf):
+def _new_entries(old):
     """Later versions of some entries, and some entries of their own."""
-    old = I.cache_entries(spark, sf)
     newer = old.where(F.col("prompt_tokens") % 2 == 0).withColumns(
         {"created_at": F.col("created_at") + 1000, "response_body": F.lit("newer")}
     )
@@ -233,13 +237,14 @@ def _new_entries(spark, sf):
 
 @query
 def cache_upsert(spark, sf):
-    return cache.cache_upsert(I.cache_entries(spark, sf), _new_entries(spark, sf))
+    stored = _stored_cache(spark, sf)
+    return cache.cache_upsert(stored, _new_entries(stored))
 
 
 @query
 def cache_touch(spark, sf):
     hits = I.lookups(spark, sf).where(F.col("request_id") % 3 > 0)
-    return cache.cache_touch(I.cache_entries(spark, sf), hits).select(
+    return cache.cache_touch(_stored_cache(spark, sf), hits).select(
         "hash", "hit_count", "last_accessed_at"
     )
 
