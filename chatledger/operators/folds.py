@@ -72,7 +72,9 @@ def fold_by_key(
                     current, state = key, None
                 state, result = step(state, *args)
                 results.append(result)
-            columns = [batch.column(i).cast(arrow_schema.field(i).type) for i in range(len(names))]
+            # A null struct with a field that is never null cannot be cast, even to its own type.
+            types = [arrow_schema.field(i).type for i in range(len(names))]
+            columns = [c if c.type == t else c.cast(t) for c, t in zip(batch.columns, types)]
             for field, values in zip(list(arrow_schema)[len(names) :], zip(*results)):
                 columns.append(pa.array(values, type=field.type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatledger.functions.cost import Prices
-from chatledger.functions.text import epoch_ms, utc_day
+from chatledger.functions.text import epoch_ms, is_json, utc_day
 from chatledger.operators import folds
 from chatledger.operators.metrics import usage_metrics
-from chatledger.operators.requests import estimate_tokens, request_fingerprint
+from chatledger.operators.requests import client_key, estimate_tokens, request_fingerprint, usage_resolve
 from chatledger.operators.scanning import redact_messages
 from chatledger.rules import RULES, Rule
 from chatledger.sources.requests import parse_requests
@@ -29,6 +29,8 @@ class Policy:
     rpm: float = 60
     burst: float = 1.5
     ttl_ms: int = 86_400_000
+    l1: bool = True
+    l2: bool = True
     session_budget: int = 0
     daily_budget: int = 0
     prices: Prices = field(default_factory=Prices)
@@ -46,9 +48,18 @@ def profile_requests(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     else:
         scanned = redact_messages(parsed, "messages", policy.notice, policy.rules)
         scanned = scanned.withColumn("n_findings", F.size("findings"))
-    kept = [c for c in log.columns if c not in (body, "model")]
-    return request_fingerprint(estimate_tokens(scanned)).select(
-        *kept, "invalid_json", "model", "stream", "n_findings", "est_tokens", "hash"
+    scanned = estimate_tokens(scanned)
+    if "response" in log.columns:
+        # An answer that is not JSON is passed on, but neither counted nor stored.
+        broken = ~F.col("is_stream") & ~is_json(F.col("response"))
+        scanned = usage_resolve(scanned.withColumn("unparsed", F.coalesce(broken, F.lit(True))))
+    else:
+        scanned = scanned.withColumn("unparsed", F.lit(False)).withColumn("prompt_tokens", F.col("est_tokens"))
+    read = (body, "model", "response", "is_stream", "completion_tokens", "prompt_tokens", "unparsed")
+    kept = [c for c in log.columns if c not in read]
+    return request_fingerprint(scanned).select(
+        *kept, "invalid_json", "model", "stream", "n_findings", "est_tokens", "hash",
+        "prompt_tokens", "completion_tokens", "unparsed",
     )
 
 
@@ -59,10 +70,17 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     latency_ms, upstream_error``.  Checks in order: rate limit (429), JSON (400),
     secrets under ``block`` (403), budget (429), cache (200), upstream.
 
+    Optional columns: ``response, is_stream`` instead of ``completion_tokens`` (a miss is
+    charged with the usage its answer reports, else an estimate; a plain answer that is
+    not JSON gives the outcome ``unparsed``), ``completed_ms`` (an answer is stored when
+    it is done; not with budgets), and ``forwarded_for, peer`` instead of ``client_id``.
+
     The texts are read once: their profile is written to the shared folder, and
     so is the narrow result of each fold that several later steps read.  With budgets on, the cache belongs
     to the session; otherwise all requests share it.
     """
+    if "client_id" not in log.columns:
+        log = log.withColumn("client_id", client_key(F.col("forwarded_for"), F.col("peer")))
     profile = checkpointed(
         profile_requests(log.withColumn("ms", epoch_ms(F.col("ts"))), policy, body), "profile"
     )
@@ -78,23 +96,20 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     stopped = rated.where(F.col("outcome").isNotNull())
     open_ = rated.where(F.col("outcome").isNull())
 
-    stores = ~F.col("upstream_error")
-    payload = ["est_tokens", "completion_tokens"]
+    stores = ~F.col("upstream_error") & ~F.col("unparsed")
+    payload = ["prompt_tokens", "completion_tokens"]
+    cached = policy.l1 or policy.l2
     if policy.session_budget > 0 or policy.daily_budget > 0:
-        charge = F.col("est_tokens") + F.col("completion_tokens")
-        guarded = folds.budget_guard_cached(
-            open_.withColumn("_charge_if_miss", charge).withColumn("_answered", stores),
-            "session_id",
-            "ms",
-            "request_id",
-            "est_tokens",
-            "_charge_if_miss",
-            "hash",
-            "_answered",
-            policy.ttl_ms,
-            policy.session_budget,
-            policy.daily_budget,
-        )
+        charge = F.col("prompt_tokens") + F.col("completion_tokens")
+        asked = open_.withColumn("_charge", charge).withColumn("_answered", stores)
+        scope = ("session_id", "ms", "request_id", "est_tokens", "_charge")
+        if cached:
+            guarded = folds.budget_guard_cached(
+                asked, *scope, "hash", "_answered", policy.ttl_ms, policy.session_budget, policy.daily_budget
+            )
+        else:
+            asked = asked.withColumn("_charge", F.when(stores, charge).otherwise(0))
+            guarded = folds.budget_guard(asked, *scope, policy.session_budget, policy.daily_budget)
         guarded = checkpointed(guarded, "guarded")
         over = guarded.where(~F.col("allowed")).withColumn("outcome", F.lit("budget_blocked"))
         stopped = stopped.unionByName(over.select(*stopped.columns))
@@ -102,13 +117,21 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
         keys = ["session_id", "hash"]
     else:
         keys = ["hash"]
-    answered = folds.cache_attribution(
-        open_, keys, "ms", "request_id", policy.ttl_ms, stores=stores, payload=payload
-    )
+    if cached:
+        done = F.col("completed_ms") if "completed_ms" in log.columns and len(keys) == 1 else None
+        answered = folds.cache_attribution(
+            open_, keys, "ms", "request_id", policy.ttl_ms, stores=stores, completed_ms=done, payload=payload
+        )
+    else:
+        none = [F.lit(None).cast("bigint").alias(f"stored_{c}") for c in payload]
+        answered = open_.select("*", F.lit(False).alias("is_hit"), F.lit(None).cast("bigint").alias("stored_ms"), *none)
     hit = F.col("is_hit")
     answered = answered.withColumn(
         "outcome",
-        F.when(hit, F.lit("hit")).when(F.col("upstream_error"), F.lit("upstream_error")).otherwise(F.lit("miss")),
+        F.when(hit, F.lit("hit"))
+        .when(F.col("upstream_error"), F.lit("upstream_error"))
+        .when(F.col("unparsed"), F.lit("unparsed"))
+        .otherwise(F.lit("miss")),
     )
     everything = answered.unionByName(stopped, allowMissingColumns=True)
 
@@ -125,7 +148,7 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
         amount = F.when(outcome == "hit", F.col(stored)).when(outcome == "miss", F.col(own))
         return F.coalesce(amount, F.lit(0)).cast("bigint")
 
-    prompt, completion = tokens("stored_est_tokens", "est_tokens"), tokens(
+    prompt, completion = tokens("stored_prompt_tokens", "prompt_tokens"), tokens(
         "stored_completion_tokens", "completion_tokens"
     )
     # A request stopped by the rate limit or by its JSON was never scanned.
@@ -139,7 +162,7 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
         "outcome",
         status.cast("int").alias("status"),
         (outcome == "hit").alias("is_cache_hit"),
-        F.when(outcome == "hit", F.lit("L1")).alias("cache_tier"),
+        F.when(outcome == "hit", F.lit("L1" if policy.l1 else "L2")).alias("cache_tier"),
         findings.cast("bigint").alias("n_findings"),
         prompt.alias("prompt_tokens"),
         completion.alias("completion_tokens"),

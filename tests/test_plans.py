@@ -68,6 +68,32 @@ def test_block_off_and_budgets(spark):
     assert tight[7] == ("budget_blocked", 429)
 
 
+def test_cache_switches(spark):
+    off = kinds(outcomes(spark, l1=False, l2=False))
+    assert off[2] == MISS and off[7] == MISS
+    assert kinds(outcomes(spark, l1=False, l2=False, session_budget=10_000))[2] == MISS
+    second = {r.request_id: r for r in outcomes(spark, l1=False).collect()}
+    assert (second[2].outcome, second[2].cache_tier) == ("hit", "L2")
+
+
+def test_answers_clients_and_completion(spark):
+    answer = json.dumps({"choices": [], "usage": {"prompt_tokens": 11, "completion_tokens": 7}})
+    log = make_log(spark).drop("completion_tokens", "client_id")
+    log = log.withColumns({
+        "response": F.when(F.col("request_id") == 6, "oops").otherwise(answer),
+        "is_stream": F.lit(False),
+        "completed_ms": F.unix_millis("ts") + 1500,
+        "forwarded_for": F.when(F.col("request_id") == 7, "b").otherwise(""),
+        "peer": F.when(F.col("request_id") < 7, "a"),
+    })
+    got = {r.request_id: r for r in plans.request_outcomes(log, plans.Policy(rpm=4, ttl_ms=1_000_000)).collect()}
+    # The answer to request 1 is done only after request 2 has come.
+    assert [got[i].outcome for i in (1, 2, 6, 7)] == ["miss", "miss", "unparsed", "hit"]
+    assert (got[1].prompt_tokens, got[1].completion_tokens) == (11, 7) == (got[7].prompt_tokens, got[7].completion_tokens)
+    assert (got[6].status, got[6].prompt_tokens, got[6].cost_usd) == (200, 0, 0.0)
+    assert [got[i].client_id for i in (1, 7, 8)] == ["a", "b", "127.0.0.1"]
+
+
 def test_audit_and_reports(spark, tmp_path):
     df = outcomes(spark)
     rows = plans.audit_log(df)
