@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -48,13 +47,30 @@ LONG_WORDS = 50
 #: A cut is the least of this many neighbours on both sides.
 REACH = 4
 RUN_WORDS = 8
+#: Words of lines whose signatures are worked out together.
+TOGETHER = 4096
 #: Members of one side of a comparison within a task.
 CHUNK = 512
 
 
-def _bands(minima: np.ndarray) -> np.ndarray:
-    lows = minima.reshape(BANDS, ROWS)
-    return mixed((lows * odd_numbers(ROWS, 5)).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+def _line_bands(lines: list[list[bytes]]) -> Iterator[np.ndarray]:
+    """The bands of every line; lines are taken together up to ``TOGETHER`` words."""
+    at = 0
+    while at < len(lines):
+        to, size = at, 0
+        while to < len(lines) and (to == at or size + len(lines[to]) <= TOGETHER):
+            size += len(lines[to])
+            to += 1
+        if to == at + 1:
+            minima = min_hashes(shingle_hashes(word_hashes(lines[at])), BANDS * ROWS, seed=23)[:, None]
+        else:
+            parts = [shingle_hashes(h) for h in np.split(word_hashes([w for ws in lines[at:to] for w in ws]), np.cumsum([len(ws) for ws in lines[at : to - 1]]))]
+            starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
+            products = np.concatenate(parts)[None, :] * odd_numbers(BANDS * ROWS, 23)[:, None]
+            minima = np.minimum.reduceat(products, starts, axis=1)
+        lows = minima.T.reshape(-1, BANDS, ROWS)
+        yield from mixed((lows * odd_numbers(ROWS, 5)).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        at = to
 
 
 def _lines(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -76,11 +92,9 @@ def _paragraphs(min_words: int):
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in schema}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                for start, end, words in _lines(text.as_py()):
-                    if end - start < min_words:
-                        continue
-                    minima = min_hashes(shingle_hashes(word_hashes(words)), BANDS * ROWS, seed=23)
-                    for name, value in zip(rows, (doc, start, end, xxhash.xxh3_128_digest(b" ".join(words)), _bands(minima).view(np.int64))):
+                lines = [x for x in _lines(text.as_py()) if x[1] - x[0] >= min_words]
+                for (start, end, words), bands in zip(lines, _line_bands([x[2] for x in lines])):
+                    for name, value in zip(rows, (doc, start, end, xxhash.xxh3_128_digest(b" ".join(words)), bands)):
                         rows[name].append(value)
                 if len(rows["doc_id"]) > 20_000:
                     yield pa.RecordBatch.from_pydict(rows, schema)
@@ -108,10 +122,11 @@ def _segment_rows(words: np.ndarray, lines: list[tuple[int, int]]) -> tuple[np.n
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3
     # Sum of word hashes, each times a factor of its place in the segment.
-    first = np.repeat(starts, ends - starts)
-    place = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) - first
+    sizes = ends - starts
+    first, offsets = np.repeat(starts, sizes), np.cumsum(sizes) - sizes
+    place = np.arange(len(first)) - np.repeat(offsets, sizes)
     weighted = mixed(words[first + place] + odd_numbers(64, 41)[place % 64] * (place // 64 + 1).astype(np.uint64))
-    sums = np.add.reduceat(weighted, np.cumsum(ends - starts) - (ends - starts))
+    sums = np.add.reduceat(weighted, offsets)
     return starts, ends, mixed(sums).view(np.int64)
 
 
@@ -145,36 +160,66 @@ def _class_texts(min_words: int):
     return run
 
 
+def _block_links(sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """``(smallest, other)`` for the members that links between the two sides connect."""
+    sizes = np.array([len(t) for t in sets])
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        alike = 100 * shared >= percent * (sizes.sum() - shared)
+        return [(int(nodes.min()), int(nodes.max()))] if alike else []
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    matrix = np.zeros((len(sets), int((times > 1).sum())), np.float32)
+    matrix[owner[shared], number[column[shared]]] = 1
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    both = matrix[left] @ matrix[right].T
+    i, j = np.nonzero((100 + percent) * both >= percent * (sizes[left][:, None] + sizes[right][None, :]))
+    parent = {int(n): int(n) for n in nodes}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(nodes[left[i]].tolist(), nodes[right[j]].tolist()):
+        p, q = root(x), root(y)
+        parent[max(p, q)] = min(p, q)
+    return [(root(n), n) for n in parent if root(n) != n]
+
+
 def _links(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        """A forest of the links between the two sides of a block."""
-        texts = [np.unique(shingle_hashes(word_hashes(t.split(b" ")))) for t in block["words"]]
-        sizes = np.array([len(t) for t in texts])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        values, column, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        number = np.cumsum(times > 1) - 1
-        matrix = np.zeros((len(texts), int((times > 1).sum())), np.float32)
-        matrix[owner[shared], number[column[shared]]] = 1
-        left = np.flatnonzero(block["side"].to_numpy() == 0)
-        right = np.flatnonzero(block["side"].to_numpy() == 1) if (block["side"] == 1).any() else left
-        both = matrix[left] @ matrix[right].T
-        i, j = np.nonzero((100 + percent) * both >= percent * (sizes[left][:, None] + sizes[right][None, :]))
-        nodes = block["node"].to_numpy()
-        parent = {n: n for n in nodes}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        edges = []
-        for x, y in zip(nodes[left[i]], nodes[right[j]]):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                edges.append((x, y))
-        return pd.DataFrame(edges, columns=["src", "dst"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of blocks ``band, a, b, side, node, words`` that come one after another."""
+        waiting: list[pa.RecordBatch] = []
+
+        def links(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+            keys = np.stack([table[c].to_numpy() for c in ("band", "a", "b")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            bounds = [0, *cuts.tolist(), *([table.num_rows] if last else [])]
+            nodes, side, words = table["node"].to_numpy(), table["side"].to_numpy(), table["words"]
+            known: dict[int, np.ndarray] = {}
+            edges = []
+            for start, end in zip(bounds, bounds[1:]):
+                sets = []
+                for i in range(start, end):
+                    if (own := known.get(nodes[i])) is None:
+                        own = np.unique(shingle_hashes(word_hashes(words[i].as_py().split(b" "))))
+                        known[nodes[i]] = own
+                    sets.append(own)
+                edges += _block_links(sets, nodes[start:end], side[start:end], percent)
+            rest = [] if last else table.slice(bounds[-1]).to_batches()
+            src, dst = zip(*edges) if edges else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"]), rest
+
+        for batch in batches:
+            if batch.num_rows:
+                found, waiting = links(pa.Table.from_batches([*waiting, batch]), last=False)
+                yield found
+        if waiting:
+            yield links(pa.Table.from_batches(waiting), last=True)[0]
 
     return run
 
@@ -204,8 +249,10 @@ def _paragraph_clusters(docs: DataFrame, scratch: Scratch, percent: int, min_wor
         "band", "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    blocks = dealt.join(texts, "node")
-    edges = blocks.groupBy("band", "a", "b").applyInPandas(_links(percent), "src long, dst long")
+    blocks = dealt.join(texts, "node").select("band", "a", "b", "side", "node", "words")
+    # Blocks are small and many: they are sorted side by side and taken a batch at a time.
+    blocks = blocks.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    edges = blocks.mapInArrow(_links(percent), "src long, dst long")
     found = components(scratch.write(edges.distinct(), "links"), scratch)
     named = classes.select("class", "node").join(found, "node", "left")
     names = named.groupBy(F.coalesce("component", "node").alias("of_")).agg(F.hex(F.min("class")).alias("cluster"))
