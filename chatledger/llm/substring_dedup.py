@@ -7,10 +7,10 @@ Jaccard similarity of their shingles decides.  Two paragraphs of similarity 0.75
 each other with probability (1 - 0.75**2)**12 = 5e-5.  Linked classes are clustered by
 components.
 
-A passage may also be copied into the middle of a paragraph.  Long paragraphs are
-therefore cut where the hash of two words is the least among its neighbours, which
-copies share wherever they stand, and equal *segments* are found by their hash; runs of
-repeated segments of at least ``RUN_WORDS`` words are passages.
+A passage may also be copied into the middle of a paragraph, or across lines.  Texts of
+``LONG_WORDS`` and more are therefore also cut where the hash of two words is the least
+among its neighbours, which copies share wherever they stand, and equal *segments* are
+found by their hash; runs of repeated segments of at least ``RUN_WORDS`` words are passages.
 
 In each cluster the first occurrence (smallest doc_id, then position) is kept.
 Paragraphs of fewer than ``min_words`` words are not judged: such lines repeat by chance.
@@ -42,7 +42,7 @@ from chatledger.llm.common import (
 
 BANDS, ROWS = 12, 2
 MIN_WORDS = 5
-#: Paragraphs from this length on are cut into segments.
+#: Texts from this length on are cut into segments.
 LONG_WORDS = 50
 #: A cut is the least of this many neighbours on both sides.
 REACH = 4
@@ -104,21 +104,15 @@ def _paragraphs(min_words: int):
     return run
 
 
-def _segment_rows(words: np.ndarray, lines: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the segments of long lines."""
+def _segment_rows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the segments of a text, whatever its lines."""
     if len(words) < LONG_WORDS:
         return (np.zeros(0, np.int64),) * 3
     pairs = shingle_hashes(words, 2)
     padded = np.concatenate([np.full(REACH, ~np.uint64(0)), pairs, np.full(REACH, ~np.uint64(0))])
     least = np.min(np.stack([padded[i : i + len(pairs)] for i in range(2 * REACH + 1)]), axis=0)
-    line = np.full(len(words), -1, np.int64)
-    for number, (start, end) in enumerate(lines):
-        if end - start >= LONG_WORDS:
-            line[start:end] = number
-    cuts = np.flatnonzero((pairs == least) & (line[: len(pairs)] >= 0))
+    cuts = np.flatnonzero(pairs == least)
     starts, ends = cuts[:-1], cuts[1:]
-    inside = line[starts] == line[ends]
-    starts, ends = starts[inside], ends[inside]
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3
     # Sum of word hashes, each times a factor of its place in the segment.
@@ -135,9 +129,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list[np.ndarray]] = [[], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            lines = list(_lines(text.as_py()))
-            words = word_hashes([w for _, _, ws in lines for w in ws])
-            found = _segment_rows(words, [(s, e) for s, e, _ in lines])
+            found = _segment_rows(word_hashes(space_words(text.as_py())))
             for column, values in zip(columns, (np.full(len(found[0]), doc), *found)):
                 column.append(values)
         arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns]
