@@ -14,12 +14,12 @@ from chatledger.llm.common import Scratch, ready
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A text whose language has a smaller share of its letters is rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 1 / 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents mostly in one language that the labelled documents teach; those
-    without letters, null texts among them, and evenly mixed ones go."""
+    """Documents mainly in one language that the labelled documents teach; those
+    without letters, null texts among them, and those in which no language has a third go."""
     fold = language_id.held_out(F.col("doc_id"))
     model = language_id.train(docs.where(~F.coalesce(fold, F.lit(False))).select("text", "lang"))
     found = language_id.identify(docs, model)
