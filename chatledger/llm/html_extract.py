@@ -5,10 +5,14 @@ from what holds it, its length, the share of its characters in links and the sha
 its words that are stop words:
 
 - *bad*: inside a menu, header, footer, sidebar, form, notice, advert or comment section
-  (by element, role, class or id), or mostly links; outside an article's element where the
-  page has one; elsewhere long without stop words,
+  (by element, role, class or id), or mostly links; outside an article's element where
+  articles hold at least half of the text not yet bad; elsewhere long without stop words,
 - *good*: in an article and not short, or long with many stop words,
-- *short*: too short to tell.
+- *short*: too short to tell, or in an article a sentence with much of it in links.
+
+An article inside a menu, sidebar or footer element is part of that.  Inside what is only
+named like one (a page may be wrapped in ``with-sidebar``), a form or something hidden, it
+is an article if it alone has more text than all that is not bad elsewhere.
 
 The second pass gives short blocks the label of their nearest decided neighbours in the
 same surroundings: good if one of the two is good and nearer or as near, and in an
@@ -38,8 +42,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object select option button head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SIDE_TAGS = frozenset("nav footer aside form dialog menu fieldset search".split())
-ARTICLE_TAGS = frozenset(("article", "main"))
+SIDE_TAGS = frozenset("nav footer aside dialog menu search".split())
+FORM_TAGS = frozenset(("form", "fieldset"))
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 #: Parts of class and id names, as whole words or as beginnings of words.
@@ -49,7 +53,6 @@ SIDE_STARTS = (
     "navigation", "newsletter", "notice", "notification", "paginat", "popup", "promo", "recommend", "related",
     "share", "sharing", "sidebar", "social", "sponsor", "subscri", "toolbar", "widget",
 )
-COMMENT_STARTS = ("comment", "disqus", "reply", "replies", "respond", "discussion")
 ARTICLE_WORDS = frozenset("article content post story entry".split())
 
 #: Frequent words of English, French, German and Spanish; fixed values.
@@ -72,16 +75,24 @@ _MARK = re.compile(
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[a-z]+")
+#: Whole names of comment sections; ``comments-open``, ``commentary`` and ``discussion`` are none.
+_COMMENTS = re.compile(
+    r"(?:(?:article|blog|facebook|fb|post|reader|user)[-_])?comments?(?:[-_]?(?:area|block|body|box|container|content|form|item|list|respond"
+    r"|section|text|thread|tree|wrap|wrapper|\d+))?|disqus(?:[-_]thread)?|respond|reply|replies"
+)
 
-NEITHER, ARTICLE, SIDE, COMMENT = range(4)
+#: ``LIKELY`` is at the side by name, form or being hidden, and ``NESTED`` an article in that.
+NEITHER, ARTICLE, NESTED, LIKELY, SIDE, COMMENT = range(6)
 
 
 @dataclass
 class Block:
     place: int
     heading: bool
+    number: int = 0
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
+    plain: list[str] = field(default_factory=list)
     text: str = ""
     label: str = ""
     second: str = ""
@@ -93,41 +104,57 @@ def _place(tag: str, attributes: str, inside: int) -> int:
     if attributes:
         for m in _NAMES.finditer(attributes):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    words = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
-    if inside == COMMENT or any(w.startswith(COMMENT_STARTS) for w in words):
+    names = [re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")).lower() for k in ("class", "id")]
+    words = _PART.findall(" ".join(names))
+    # A section of an article has its id from its title.
+    tokens = names[0].split() + ([] if tag == "section" and inside in (ARTICLE, NESTED) else names[1].split())
+    if inside == COMMENT or (tag not in HEADINGS and any(map(_COMMENTS.fullmatch, tokens))):
         return COMMENT if tag not in ("body", "html", "main") else inside
-    if tag in ARTICLE_TAGS:
+    if tag == "main":
         return ARTICLE
     if inside == SIDE or tag in ("body", "html"):
         return inside
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    if tag in SIDE_TAGS or hidden or found.get("role", "").lower() in SIDE_ROLES:
+    if tag == "article":
+        return NESTED if inside in (LIKELY, NESTED) else ARTICLE
+    if tag in SIDE_TAGS or found.get("role", "").lower() in SIDE_ROLES:
         return SIDE
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    if inside == LIKELY or tag in FORM_TAGS or hidden:
+        return LIKELY
     if tag == "header":
-        return ARTICLE if inside == ARTICLE else SIDE
+        return inside if inside in (ARTICLE, NESTED) else LIKELY
     if tag not in HEADINGS and any(w in SIDE_WORDS or w.startswith(SIDE_STARTS) for w in words):
-        return SIDE
-    return ARTICLE if inside == ARTICLE or found.get("role") == "main" or ARTICLE_WORDS & set(words) else inside
+        return LIKELY
+    if inside == NEITHER and (found.get("role") == "main" or ARTICLE_WORDS & set(words)):
+        return ARTICLE
+    return inside
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = [("", NEITHER)]
-    links = 0
+    stack: list[tuple[str, int, int]] = [("", NEITHER, 0)]
+    links = nested = 0
     current = Block(NEITHER, False)
 
     def add(text: str) -> None:
         if text:
             current.parts.append(text)
-            if links:
-                current.linked.append(text)
+            (current.linked if links else current.plain).append(text)
 
     def cut(heading: bool = False) -> None:
         nonlocal current
         if current.parts:
             out.append(current)
-        current = Block(stack[-1][1], heading)
+        current = Block(stack[-1][1], heading, stack[-1][2])
+
+    def enter(tag: str, place: int) -> None:
+        nonlocal nested
+        _, around, number = stack[-1]
+        if place == NESTED != around:
+            nested += 1
+            number = nested
+        stack.append((tag, place, number))
 
     at = 0
     while True:
@@ -163,9 +190,9 @@ def blocks(html: str) -> list[Block]:
         if tag not in BLOCK_TAGS:
             # Inline elements matter only if they hold something apart.
             if not closing and m[3] and _place(tag, m[3], stack[-1][1]) != stack[-1][1]:
-                stack.append((tag, _place(tag, m[3], stack[-1][1])))
+                enter(tag, _place(tag, m[3], stack[-1][1]))
                 cut()
-            elif closing and any(t == tag for t, _ in stack):
+            elif closing and any(t == tag for t, *_ in stack):
                 _close(stack, tag)
                 cut()
             continue
@@ -181,43 +208,70 @@ def blocks(html: str) -> list[Block]:
             elif stack[-1][0] == "p":
                 stack.pop()
             if tag not in VOID_TAGS:
-                stack.append((tag, _place(tag, m[3] or m[6] or "", stack[-1][1])))
+                enter(tag, _place(tag, m[3] or m[6] or "", stack[-1][1]))
             cut(tag in HEADINGS)
     cut()
     for b in out:
-        b.text = " ".join(unescape("".join(b.parts)).split())
+        b.text = _joined(b.parts)
     return [b for b in out if b.text]
 
 
-def _close(stack: list[tuple[str, int]], tag: str) -> None:
+def _close(stack: list[tuple[str, int, int]], tag: str) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][0] == tag:
             del stack[i:]
             return
 
 
+def _joined(parts: list[str]) -> str:
+    return " ".join(unescape("".join(parts)).split())
+
+
+def _stops(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def _label(block: Block, has_article: bool, has_stops: bool) -> str:
-    if block.place in (SIDE, COMMENT) or (has_article and block.place != ARTICLE):
+    if block.place in (SIDE, LIKELY, COMMENT) or (has_article and block.place != ARTICLE):
         return "bad"
     size = len(block.text)
-    links = len(" ".join(unescape("".join(block.linked)).split())) / size
+    links = len(_joined(block.linked)) / size
     if links > MOST_LINKS:
-        return "bad"
+        if block.place != ARTICLE:
+            return "bad"
+        plain = _joined([f"{p} " for p in block.plain])
+        prose = _stops(plain)[0] >= LOW_STOPS * max(1, _stops(block.text)[1]) if has_stops else 3 * len(plain) >= size
+        return "short" if prose or len(plain) >= SHORT_CHARS else "bad"
     if block.place == ARTICLE:
         return "good" if size >= SHORT_CHARS else "short"
     if size < SHORT_CHARS:
         return "bad" if links else "short"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    found, words = _stops(block.text)
+    stops = found / max(1, words)
     if not has_stops or stops >= HIGH_STOPS:
         return "good" if size >= LONG_CHARS or stops >= HIGH_STOPS else "short"
     return "short" if stops >= LOW_STOPS else "bad"
 
 
+def _has_article(found: list[Block], has_stops: bool) -> bool:
+    """Whether articles hold at least half of the page's text that is not bad; settles nested ones."""
+    article = sum(len(b.text) for b in found if b.place == ARTICLE)
+    rest = sum(len(b.text) for b in found if b.place == NEITHER and _label(b, False, has_stops) != "bad")
+    nested: dict[int, int] = {}
+    for b in found:
+        if b.place == NESTED:
+            nested[b.number] = nested.get(b.number, 0) + len(b.text)
+    for b in found:
+        if b.place == NESTED:
+            b.place = ARTICLE if nested[b.number] > article + rest else SIDE
+    return 0 < article >= rest
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
-    has_article = any(b.place == ARTICLE for b in found)
     has_stops = any(w in STOP_WORDS for b in found for w in _WORD.findall(b.text.lower()))
+    has_article = _has_article(found, has_stops)
     for b in found:
         b.label = _label(b, has_article, has_stops)
     decided = [i for i, b in enumerate(found) if b.label != "short"]

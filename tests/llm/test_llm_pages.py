@@ -119,6 +119,33 @@ def test_main_text_leaves_the_rest_out():
     assert html_extract.main_text(page) == f"Head line\n{LONG}x <b> &amp;\nShort."
 
 
+def test_article_at_the_side_does_not_take_the_page():
+    main = f"<div><h1>Head</h1><p>{LONG * 3}</p><p>{LONG * 2}</p></div>"
+    want = f"Head\n{(LONG * 3).strip()}\n{(LONG * 2).strip()}"
+    for side in ("aside", "div class=sidebar", "nav"):
+        tag = side.split()[0]
+        assert html_extract.main_text(f"<body>{main}<{side}>{f'<article><p>{LONG}</p></article>' * 9}</{tag}>") == want
+    # Not the side: a wrapper that is only named like it, and an article beside longer text.
+    assert html_extract.main_text(f"<div class='page with-sidebar'><article>{main}</article></div>") == want
+    assert html_extract.main_text(f"<form id=f><article>{main}</article></form><p>{LONG}</p>").startswith(want)
+    assert want in html_extract.main_text(f"{main}<article><p>{LONG}</p></article>")
+
+
+def test_sections_named_like_comments_stay():
+    part = f"<p>{LONG}</p>"
+    for name in ("id=discussion", "class=discussion", "class=commentary", "id=reply-to-critics", "id=comments", "class='post comments-open'", "id=response"):
+        page = f"<article>{part}<section {name}><h2 id=discussion>Discussion</h2>{part}</section></article>"
+        assert html_extract.main_text(page) == f"{LONG.strip()}\nDiscussion\n{LONG.strip()}", name
+    for name in ("class=comments", "class='x comment-list'", "class=commentList", "id=disqus_thread", "id=respond", "id=comments"):
+        assert html_extract.main_text(f"<article>{part}<div {name}>{part}</div></article>") == LONG.strip(), name
+
+
+def test_sentences_with_many_links_stay_in_an_article():
+    linked = "<a href=a>The history of mills</a>, <a href=b>the history of wheels</a> and of <a href=c>water</a> is told on the next page."
+    page = f"<article><p>{LONG}</p><p>{linked}</p><ul><li><a href=z>The other things that you may like to read on this site</a></ul></article>"
+    assert html_extract.main_text(page) == f"{LONG.strip()}\nThe history of mills, the history of wheels and of water is told on the next page."
+
+
 def test_main_text_without_article_elements():
     page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div><h1>Head</h1><p>{LONG * 3}</p><p>Short one.</p><div>{'<a href=z>more of it</a> ' * 9}</div><div>Tail"
     assert html_extract.main_text(page) == f"Head\n{(LONG * 3).strip()}\nShort one."
