@@ -11,7 +11,8 @@ block the best score of every state behind it is found, a text's blocks are chai
 and each block is then traced between its known ends.  A text of any length costs
 time in proportion to it.
 
-Texts that are null or have no letter are ``und`` with score 0 and no spans.
+Texts that are null or have no letter are ``und`` with score 0 and no spans.  Every other
+text gets a learned language, also one in a script that none uses; ``script_share`` tells.
 """
 
 from __future__ import annotations
@@ -227,7 +228,15 @@ def best_path(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -
     return labels[column, row]
 
 
-def _label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[dict]]]:
+def _known_letters(words: list[str], letters: np.ndarray, model: Model) -> np.ndarray:
+    """Letters of every word in scripts that some language of the model uses."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    known = model.uses.any(axis=1)[_SCRIPT_NO[np.searchsorted(_STARTS, points, "right") - 1]]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return np.minimum(np.add.reduceat(known.astype(np.int64), np.cumsum(sizes) - sizes), letters)
+
+
+def _label(texts: list[str | None], model: Model) -> list[tuple[str, float, list[dict], float]]:
     found = [[w for w in WORD.findall(t.lower())] if t else [] for t in texts]
     index: dict[str, int] = {}
     ids = np.fromiter((index.setdefault(w, len(index)) for ws in found for w in ws), np.int64)
@@ -236,19 +245,21 @@ def _label(texts: list[str | None], model: Model) -> list[tuple[str, float, list
     scores = word_scores(list(index), model) if index else np.zeros((0, len(model.languages)), np.float32)
     scores[letters == 0] = 0
     labels = best_path(scores[ids], lengths)
+    known = _known_letters(list(index), letters, model) if index else letters
     out, at = [], 0
     for text, size in zip(texts, lengths):
         own, weight = labels[at : at + size], letters[ids[at : at + size]]
+        in_known = known[ids[at : at + size]].sum()
         at += size
         if not weight.sum():
-            out.append((UNKNOWN, 0.0, []))
+            out.append((UNKNOWN, 0.0, [], 0.0))
             continue
         if not model.languages:
-            out.append((UNKNOWN, 0.0, []))
+            out.append((UNKNOWN, 0.0, [], 0.0))
             continue
         totals = np.bincount(own, weight, len(model.languages))
         top = int(totals.argmax())
-        out.append((model.languages[top], float(totals[top] / totals.sum()), _spans(text, own, model)))
+        out.append((model.languages[top], float(totals[top] / totals.sum()), _spans(text, own, model), float(in_known / weight.sum())))
     return out
 
 
@@ -284,11 +295,11 @@ SPANS = "array<struct<start: int, end: int, lang: string>>"
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (the share of letters in spans of that
-    language) and ``spans`` (character ranges, end exclusive).  Columns of these
-    names are replaced; all other columns stay as they are, a row for a row."""
+    """``docs`` with ``script_share`` (the share of letters in scripts that some learned
+    language uses), ``lang_pred``, ``score`` (the share of letters in spans of that
+    language) and ``spans`` (character ranges, end exclusive).  Columns of these names are replaced; all other columns stay as they are, a row for a row."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.drop("lang_pred", "score", "spans")
+    docs = docs.drop("lang_pred", "score", "spans", "script_share")
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
@@ -299,16 +310,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for start, end in _batches_of_words(texts):
                 if start == end:
                     continue
-                lang, score, spans = zip(*_label(texts[start:end], shared.value))
+                lang, score, spans, known = zip(*_label(texts[start:end], shared.value))
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, arrow_spans)],
-                    names=[*batch.schema.names, "lang_pred", "score", "spans"],
+                    [*part.columns, pa.array(known, pa.float64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, arrow_spans)],
+                    names=[*batch.schema.names, "script_share", "lang_pred", "score", "spans"],
                 )
 
     from pyspark.sql import types as T
 
     schema = T.StructType(list(docs.schema.fields))
-    schema = schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("script_share", "double").add("lang_pred", "string").add("score", "double")
     schema = schema.add("spans", T._parse_datatype_string(SPANS))
     return docs.mapInArrow(run, schema)

@@ -15,15 +15,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A text whose language has a smaller share of its letters is rejected.
 LEAST_SCORE = 1 / 3
+#: So is a text with a smaller share of its letters in scripts of learned languages.
+LEAST_SCRIPT = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents mainly in one language that the labelled documents teach; those
-    without letters, null texts among them, and those in which no language has a third go."""
+    without letters, null texts among them, those in which no language has a third and
+    those mostly in scripts that no learned language uses go."""
     fold = language_id.held_out(F.col("doc_id"))
     model = language_id.train(docs.where(~F.coalesce(fold, F.lit(False))).select("text", "lang"))
     found = language_id.identify(docs, model)
-    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("script_share") >= LEAST_SCRIPT)
     return found.where(kept).select(*docs.columns)
 
 

@@ -99,6 +99,17 @@ def test_run_equals_the_plain_version(spark, tmp_path):
     assert len(rows) == len({r.doc_id for r in rows}) and all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_texts_in_scripts_that_no_language_uses_go(spark, tmp_path):
+    rng = random.Random(9)
+    docs = [(i, prose(rng, lang, 40), lang, "a") for i in range(20) for lang in [("en", "de")[i % 2]]]
+    foreign = {100: "мы живём в большом городе у реки " * 5, 101: "我们住在河边的大城市里" * 9, 102: f"{prose(rng, 'en', 4)} " + "мы живём в большом городе " * 9}
+    mixed = {200: f"{prose(rng, 'en', 40)} мы живём в городе"}
+    docs += [(d, t, None, "a") for d, t in (foreign | mixed).items()]
+    folder = tables(spark, tmp_path, docs, [])
+    got = corpus_pipeline.identify_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert {r.doc_id for r in got.collect()} == {d for d, *_ in docs} - set(foreign)
+
+
 def test_stages_take_empty_tables_nulls_and_repeated_rows(spark, tmp_path):
     rng = random.Random(8)
     text = prose(rng, "en", 40)
