@@ -32,10 +32,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents linked at 0.75, the one with the smallest doc_id.
-    Rows that repeat a doc_id are one document; rows without one all stay."""
-    found = jaccard_join.jaccard_components(docs, percent=75)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    Rows that repeat a doc_id and a text are one document, the least row of them; other
+    texts of a doc_id are documents of their own.  Rows without a doc_id all stay."""
+    columns = docs.columns
+    least = F.min(F.struct(*[F.col(c) for c in columns if c != "text"], "text")).alias("row_")
+    named = docs.where("doc_id IS NOT NULL")
+    sums = named.select("doc_id", F.xxhash64("text").alias("sum_")).groupBy("doc_id")
+    if sums.agg(F.min("sum_").alias("a"), F.max("sum_").alias("b")).where("a != b").isEmpty():
+        found = jaccard_join.jaccard_components(docs, percent=75)
+        kept = found.where("doc_id = component_id").select("doc_id").distinct()
+        named = named.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(least)
+        return docs.where("doc_id IS NULL").union(named.select(*[f"row_.{c}" for c in columns]))
+    # Some doc_id has several texts: texts are numbered, and components are those of numbers.
+    scratch = Scratch(spark, "near-duplicates")
+    texts = named.groupBy("doc_id", "text").agg(least).withColumn("number_", F.monotonically_increasing_id())
+    texts = scratch.write(texts.select("number_", "row_"), "texts")
+    found = jaccard_join.jaccard_components(texts.select(F.col("number_").alias("doc_id"), "row_.text"), percent=75)
+    found = found.select(F.col("doc_id").alias("number_"), "component_id")
+    place = F.struct("row_.doc_id", F.xxhash64("row_.text"), "number_")
+    kept = texts.select("number_", place.alias("place_")).join(found, "number_").groupBy("component_id")
+    kept = kept.agg(F.min("place_").alias("place_")).select("place_.number_")
+    named = texts.join(kept, "number_", "left_semi").select(*[f"row_.{c}" for c in columns])
     return docs.where("doc_id IS NULL").union(named)
 
 

@@ -110,6 +110,17 @@ def test_texts_in_scripts_that_no_language_uses_go(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == {d for d, *_ in docs} - set(foreign)
 
 
+def test_texts_that_share_a_doc_id_stay(spark):
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, "en", 60) for _ in range(4))
+    near = " ".join(["other", *a.split()[1:]])
+    rows = [(9, a, "x"), (9, b, "x"), (9, b, "x"), (9, b, "w"), (12, near, "x"), (5, c, "x"), (5, near, "x"), (20, d, "x"), (None, a, "x"), (2**63 - 1, c, "x"), (-(2**63), d, "x")]
+    want = Counter([(9, b, "w"), (5, c, "x"), (5, near, "x"), (-(2**63), d, "x"), (None, a, "x")])
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        assert Counter(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == want
+
+
 def test_stages_take_empty_tables_nulls_and_repeated_rows(spark, tmp_path):
     rng = random.Random(8)
     text = prose(rng, "en", 40)
