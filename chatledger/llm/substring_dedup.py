@@ -12,7 +12,9 @@ A passage may also be copied into the middle of a paragraph, or across lines.  T
 among its neighbours, which copies share wherever they stand, and equal *segments* are
 found by their hash; runs of repeated segments of at least ``RUN_WORDS`` words are passages.
 
-In each cluster the first occurrence (smallest doc_id, then position) is kept.
+In each cluster the first occurrence (smallest doc_id, then position) is kept.  Segments
+that lie in a paragraph which is not kept are left out, and those that reach into one are
+never the kept copy, so that what is removed always stays somewhere.
 Paragraphs of fewer than ``min_words`` words are not judged: such lines repeat by chance.
 Null texts and texts without words have no passages; rows with a null doc_id are left
 out; rows that repeat a doc_id hold the occurrences of one document.
@@ -254,14 +256,28 @@ def _paragraph_clusters(docs: DataFrame, scratch: Scratch, percent: int, min_wor
 
 
 def _repeated(spots: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Occurrences whose ``key`` occurs more than once, with ``copies`` and ``kept``."""
+    """Occurrences whose ``key`` occurs more than once, with ``copies`` and ``kept``; those
+    that are ``cut_`` are never kept, and a key with no others is left out."""
     place = F.struct("doc_id", "start")
-    groups = spots.groupBy(key).agg(F.count("*").alias("copies"), F.min(place).alias("first_"))
-    groups = scratch.write(groups.where("copies > 1"), "repeated")
+    free = F.when(~F.col("cut_"), place) if "cut_" in spots.columns else place
+    groups = spots.groupBy(key).agg(F.count("*").alias("copies"), F.min(free).alias("first_"))
+    groups = scratch.write(groups.where("copies > 1 AND first_ IS NOT NULL"), "repeated")
     found = spots.join(groups, key)
     return found.withColumn("kept", place == F.col("first_")).drop("first_")
 
 
+def _beside_removed(pieces: DataFrame, lines: DataFrame) -> DataFrame:
+    """Segments that do not lie in a removed line; ``cut_`` tells whether they reach into one."""
+    gone = lines.where("NOT kept").select("doc_id", "start", "end", F.lit(None).cast("long").alias("segment"), F.col("start").alias("at_"), F.lit(True).alias("line_"))
+    rows = pieces.select("doc_id", "start", "end", "segment", F.col("end").alias("at_"), F.lit(False).alias("line_")).union(gone)
+    # Lines that begin before a segment's end come before it.
+    before = Window.partitionBy("doc_id").orderBy("at_", "line_", "start").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("to_", F.max(F.when(F.col("line_"), F.col("end"))).over(before))
+    rows = rows.withColumn("from_", F.last(F.when(F.col("line_"), F.col("start")), ignorenulls=True).over(before))
+    rows = rows.where(F.expr("NOT line_ AND NOT coalesce(from_ <= start AND to_ >= end, false)"))
+    return rows.select("doc_id", "start", "end", "segment", F.expr("coalesce(to_ > start, false)").alias("cut_"))
+
+
 def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, kind, start, end, n_words, cluster_id, copies, kept`` of every passage that
     repeats: ``kind`` is ``paragraph`` or ``segments``; the range counts words of the text,
@@ -271,11 +287,12 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     lines = scratch.write(_paragraph_clusters(docs, scratch, percent, min_words), "lines")
-    lines = _repeated(lines, "cluster", scratch)
+    lines = scratch.write(_repeated(lines, "cluster", scratch), "repeated-lines")
     lines = lines.select(
         "doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("cluster").alias("cluster_id"), "copies", "kept"
     )
     pieces = scratch.write(docs.mapInArrow(_segments, "doc_id long, start long, end long, segment long"), "segments")
+    pieces = scratch.write(_beside_removed(pieces, lines), "beside")
     pieces = scratch.write(_repeated(pieces, "segment", scratch), "pieces")
     # Neighbouring repeated segments of a document are one run.
     by_place = Window.partitionBy("doc_id").orderBy("start", "end")

@@ -304,3 +304,13 @@ def test_weak_parts_count_only_together(spark):
     assert secret_scan.redact(documents(spark, [(1, text, "s")])).first().text == 'x [SECRET]" y'
     assert secret_scan.redact(documents(spark, [(1, None, "s")])).first().text is None
     assert secret_scan.redact(documents(spark, [])).count() == 0
+
+
+def test_removed_passages_stay_somewhere(spark):
+    words = [f"w{i}" for i in range(600)]
+    first, chunk = " ".join(words[:300]), " ".join(words[300:340])
+    rows = [(1, first), (5, f"{first} {chunk}"), (9, " ".join(words[400:460]) + f" {chunk} " + " ".join(words[460:520]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(docs)
+    left = " | ".join(r.text for r in substring_dedup.remove_passages(docs, found).collect())
+    assert first in left and chunk in left and left.count("w320 ") == 1
