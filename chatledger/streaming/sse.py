@@ -21,11 +21,12 @@ PIECE = (
 class Reassembly(StatefulProcessor):
     """Keep a stream's pieces until its end marker, emit it once, then keep a mark only.
 
-    A stream that stays silent for ``abandon_ms`` is given up: its pieces go, and since
+    Pieces are kept however long a stream stays silent, unless ``abandon_ms`` is given: then
+    a stream silent for so long on the wall clock is given up: its pieces go, and since
     what may still follow lacks its beginning, nothing is ever emitted for it.
     """
 
-    def __init__(self, abandon_ms: int):
+    def __init__(self, abandon_ms: int | None):
         self.abandon_ms = abandon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -45,6 +46,8 @@ class Reassembly(StatefulProcessor):
         self._cancel_timer()
         if not any(p[1] for p in new):
             self.pieces.appendList(new)
+            if self.abandon_ms is None:
+                return
             self.handle.registerTimer(now + self.abandon_ms)
             self.deadline.update((now + self.abandon_ms,))
             return
@@ -74,8 +77,9 @@ class Reassembly(StatefulProcessor):
         pass
 
 
-def sse_reassemble_stream(lines: DataFrame, abandon_ms: int = 600_000) -> DataFrame:
-    """:func:`chatledger.operators.sse.sse_reassemble` over a stream of lines."""
+def sse_reassemble_stream(lines: DataFrame, abandon_ms: int | None = None) -> DataFrame:
+    """:func:`chatledger.operators.sse.sse_reassemble` over a stream of lines; with
+    ``abandon_ms``, streams silent for so long in processing time are given up without a row."""
     schema = (
         "stream_id bigint, content string, id string, model string, finish string, "
         "prompt bigint, completion bigint"

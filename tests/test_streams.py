@@ -111,6 +111,14 @@ def test_rate_limit_stream_counts_the_time_of_requests(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_streams_are_kept_by_default():
+    import inspect
+
+    from chatledger.streaming.sse import sse_reassemble_stream
+
+    assert inspect.signature(sse_reassemble_stream).parameters["abandon_ms"].default is None
+
+
 def test_streams_given_up_or_finished_emit_nothing_more(spark, tmp_path):
     def line(seq, text):
         return (1, seq, 'data: {"id":"i","choices":[{"delta":{"content":"%s"}}]}' % text)
