@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatledger.llm import (
+    conversation_repair,
     decontaminate,
     epsilon_grid,
     html_extract,
@@ -91,6 +92,16 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after checksums have damaged its rows."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = conversation_repair.repair(rows, conversation_repair.damage(rows))
+    known = report.unionByName(conversation_repair.digests(repaired), allowMissingColumns=True)
+    columns = [c for c in report.columns if c != "conv_id"]
+    digest = F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256))
+    return known.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in columns], digest.alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc_archives": op10_warc_archives,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
 ORACLE: dict[str, str] = {
@@ -111,4 +123,5 @@ ORACLE: dict[str, str] = {
     "op6_source_mixing": mixing.oracle(),
     "op7_embedding_near_dedup": epsilon_grid.ORACLE,
     "op10_warc_archives": warc.ORACLE,
+    "op11_conversation_repair": conversation_repair.oracle(),
 }
