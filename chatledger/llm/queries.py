@@ -11,9 +11,11 @@ from chatledger.llm import (
     conversation_repair,
     decontaminate,
     epsilon_grid,
+    hard_negatives,
     html_extract,
     jaccard_join,
     language_id,
+    lm_scoring,
     mixing,
     secret_scan,
     substring_dedup,
@@ -102,6 +104,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in columns], digest.alias("repaired_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after some labels were moved on by one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from those outside the held-out fold."""
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_warc_archives": op10_warc_archives,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
 ORACLE: dict[str, str] = {
@@ -124,4 +140,5 @@ ORACLE: dict[str, str] = {
     "op7_embedding_near_dedup": epsilon_grid.ORACLE,
     "op10_warc_archives": warc.ORACLE,
     "op11_conversation_repair": conversation_repair.oracle(),
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
