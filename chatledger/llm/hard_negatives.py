@@ -375,22 +375,22 @@ def mine(
 #: DuckDB SQL for the registered query.
 ORACLE = r"""
 WITH rows_ AS (
-  SELECT row_number() OVER () AS at, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
     list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
     AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
 ), scored AS (
-  SELECT a.at, a.vec_id AS anchor_id, b.at AS other_at, b.vec_id AS other_id, a.label = b.label AS same,
+  SELECT a.row_no, a.vec_id AS anchor_id, b.row_no AS other_no, b.vec_id AS other_id, a.label = b.label AS same,
     list_dot_product(a.v, b.v)::BIGINT AS score
-  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.at <> b.at
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.row_no <> b.row_no
 ), positives AS (
   SELECT * FROM scored WHERE same
-  QUALIFY row_number() OVER (PARTITION BY at ORDER BY score DESC, other_id) <= 5
+  QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY score DESC, other_id) <= 5
 )
 SELECT p.anchor_id, p.other_id AS positive_id,
-  row_number() OVER (PARTITION BY p.at, p.other_at ORDER BY n.score DESC, n.other_id)::INT AS rank,
+  row_number() OVER (PARTITION BY p.row_no, p.other_no ORDER BY n.score DESC, n.other_id)::INT AS rank,
   n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
-FROM positives p JOIN scored n ON p.at = n.at AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+FROM positives p JOIN scored n ON p.row_no = n.row_no AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
 QUALIFY rank <= 10
 """
