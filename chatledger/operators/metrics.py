@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger.functions.cost import Prices
-from chatledger.operators.running import HOT_MIN_ROWS, SLICE_MS, running_totals, trailing_mean
+from chatledger.operators.running import running_totals, trailing_mean
 
 LATENCY_ROWS = 100
 
@@ -60,13 +60,12 @@ def running_counters(
     ms: str,
     tie: str,
     prices: Prices = Prices(),
-    min_rows: int = HOT_MIN_ROWS,
-    slice_ms: int = SLICE_MS,
+    parts: int | None = None,
 ) -> DataFrame:
     """The counters of each key as they stand after each request."""
-    totals = running_totals(
-        outcomes, keys, ms, tie, counter_columns(prices), min_rows=min_rows, slice_ms=slice_ms
-    )
+    counters = counter_columns(prices)
+    narrow = outcomes.select(*keys, ms, tie, *[c.alias(f"add_{n}") for n, c in counters.items()])
+    totals = running_totals(narrow, keys, ms, tie, {n: F.col(f"add_{n}") for n in counters}, parts)
     return totals.select(*keys, ms, tie, *counter_columns(prices))
 
 
@@ -124,18 +123,14 @@ def rolling_latency(
     group: str,
     ms: str,
     tie: str,
-    min_rows: int = HOT_MIN_ROWS,
-    slice_ms: int = SLICE_MS,
     rows: int = LATENCY_ROWS,
-    **cut: int,
+    parts: int | None = None,
 ) -> DataFrame:
     """Mean of the last ``rows`` latencies, hits and misses apart, whole milliseconds."""
     answered = outcomes.where(F.col("outcome").isin("hit", "miss")).select(
         group, ms, tie, (F.col("outcome") == "hit").alias("is_hit"), "latency_ms"
     )
-    means = trailing_mean(
-        answered, [group, "is_hit"], ms, tie, "latency_ms", rows, "_mean", min_rows, slice_ms, **cut
-    )
+    means = trailing_mean(answered, [group, "is_hit"], ms, tie, "latency_ms", rows, "_mean", parts)
     return means.select(
         group, ms, tie, "is_hit", F.floor(F.col("_mean") + 0.5).cast("bigint").alias("avg_latency_ms")
     )
@@ -147,13 +142,10 @@ def running_usage(
     ms: str,
     tie: str,
     tokens: str,
-    min_rows: int = HOT_MIN_ROWS,
-    slice_ms: int = SLICE_MS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``used_before, used_after``: tokens used within the scope around each row."""
-    after = running_totals(
-        df, scope, ms, tie, {"used_after": F.col(tokens)}, min_rows=min_rows, slice_ms=slice_ms
-    )
+    after = running_totals(df, scope, ms, tie, {"used_after": F.col(tokens)}, parts)
     return after.withColumn("used_before", F.col("used_after") - F.coalesce(tokens, F.lit(0)))
 
 

@@ -1,5 +1,5 @@
-"""Folds against plain Python models on random logs, with the ordinary plan and
-with every key treated as hot."""
+"""Folds against plain Python models on random logs, in one partition and cut into many,
+so that keys go on from partition to partition."""
 
 from __future__ import annotations
 
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from chatledger.operators import folds, metrics, running
 
-# min_rows=0 makes every key of these small logs hot.
-PLANS = [pytest.param(1_000_000, id="ordinary"), pytest.param(0, id="hot")]
+PARTS = [pytest.param(1, id="whole"), pytest.param(13, id="cut")]
 
 
 def make_log(spark, seed, n=400, keys=3, step=2000):
@@ -48,11 +47,11 @@ def bucket_model(rows, rpm, burst, cost):
     return out
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("rpm, burst, cost", [(60, 1.0, 1), (6, 1.5, 1), (10, 1.0, 3), (1, 1.0, 5)])
-def test_rate_limit(spark, min_rows, rpm, burst, cost):
+def test_rate_limit(spark, parts, rpm, burst, cost):
     rows, df = make_log(spark, 1)
-    got = folds.rate_limit_audit(df, "k", "ms", "id", rpm, burst, cost, min_rows).collect()
+    got = folds.rate_limit_audit(df, "k", "ms", "id", rpm, burst, cost, parts).collect()
     want = bucket_model(rows, rpm, burst, cost)
     assert {r.id: (r.allowed, r.remaining, r.reset_ms) for r in got} == want
     assert all(r.retry_after_s == math.ceil(r.reset_ms / 1000) for r in got)
@@ -84,22 +83,22 @@ def cache_model(rows, ttl, key=lambda r: r[3]):
     return out
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("ttl", [0, 1, 5_000, 60_000])
-def test_cache_attribution(spark, min_rows, ttl):
+def test_cache_attribution(spark, parts, ttl):
     rows, df = make_log(spark, 2)
     got = folds.cache_attribution(
-        df, "h", "ms", "id", ttl, stores=~F.col("error"), payload=["est"], min_rows=min_rows
+        df, "h", "ms", "id", ttl, stores=~F.col("error"), payload=["est"], parts=parts
     ).collect()
     assert {r.id: (r.is_hit, r.stored_ms, r.stored_est) for r in got} == cache_model(rows, ttl)
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
-def test_cache_attribution_with_completion(spark, min_rows):
+@pytest.mark.parametrize("parts", PARTS)
+def test_cache_attribution_with_completion(spark, parts):
     rows, df = make_log(spark, 3)
     got = folds.cache_attribution(
         df, "h", "ms", "id", 60_000, stores=~F.col("error"),
-        completed_ms=F.col("ms") + F.col("charge") * 100, min_rows=min_rows,
+        completed_ms=F.col("ms") + F.col("charge") * 100, parts=parts,
     ).collect()
     answers, want = [], {}
     for i, ms, _, h, _, charge, error in rows:
@@ -136,12 +135,12 @@ def budget_model(rows, session, daily, ttl=None):
 BUDGETS = [(0, 0), (300, 0), (0, 150), (900, 120), (150, 400), (5, 5)]
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("session, daily", BUDGETS)
-def test_budget_guard(spark, min_rows, session, daily):
+def test_budget_guard(spark, parts, session, daily):
     rows, df = make_log(spark, 4, step=200_000)
     got = folds.budget_guard(
-        df, "k", "ms", "id", "est", "charge", session, daily, min_rows=min_rows, slice_ms=3_000_000
+        df, "k", "ms", "id", "est", "charge", session, daily, parts=parts, slice_ms=3_000_000
     ).collect()
     assert len({r[1] // 86_400_000 for r in rows}) > 1
     assert {
@@ -149,16 +148,16 @@ def test_budget_guard(spark, min_rows, session, daily):
     } == budget_model(rows, session, daily)
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
+@pytest.mark.parametrize("parts", PARTS)
 @pytest.mark.parametrize("session, daily", BUDGETS[1:])
 @pytest.mark.parametrize("ttl", [0, 5_000_000])
-def test_budget_guard_with_cache(spark, min_rows, session, daily, ttl):
+def test_budget_guard_with_cache(spark, parts, session, daily, ttl):
     rows, df = make_log(spark, 5, step=200_000)
     rows = [(*r[:5], r[5] + 1, r[6]) for r in rows]
     df = df.withColumn("charge", F.col("charge") + 1).withColumn("ok", ~F.col("error"))
     got = folds.budget_guard_cached(
         df, "k", "ms", "id", "est", "charge", "h", "ok", ttl, session, daily,
-        min_rows=min_rows, slice_ms=3_000_000,
+        parts=parts, slice_ms=3_000_000,
     ).collect()
     assert {
         r.id: (r.allowed, r.blocked_by, r.session_used_before, r.daily_used_before) for r in got
@@ -176,10 +175,10 @@ def test_pruning_leaves_little_of_a_hopeless_scope(spark):
     assert 10 <= left < 60
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
-def test_running_totals_and_usage(spark, min_rows):
+@pytest.mark.parametrize("parts", PARTS)
+def test_running_totals_and_usage(spark, parts):
     rows, df = make_log(spark, 6)
-    got = metrics.running_usage(df, ["k"], "ms", "id", "charge", min_rows=min_rows, slice_ms=10_000).collect()
+    got = metrics.running_usage(df, ["k"], "ms", "id", "charge", parts=parts).collect()
     used, want = {}, {}
     for i, _, k, _, _, charge, _ in rows:
         want[i] = (used.get(k, 0), used.get(k, 0) + charge)
@@ -187,12 +186,10 @@ def test_running_totals_and_usage(spark, min_rows):
     assert {r.id: (r.used_before, r.used_after) for r in got} == want
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
-def test_trailing_mean(spark, min_rows):
+@pytest.mark.parametrize("parts", PARTS)
+def test_trailing_mean(spark, parts):
     rows, df = make_log(spark, 7)
-    got = running.trailing_mean(
-        df, ["k", "error"], "ms", "id", "charge", 7, "mean", min_rows, slice_ms=10_000, chunk=16
-    ).collect()
+    got = running.trailing_mean(df, ["k", "error"], "ms", "id", "charge", 7, "mean", parts).collect()
     seen, want = {}, {}
     for i, _, k, _, _, charge, error in rows:
         values = seen.setdefault((k, error), [])
@@ -200,30 +197,113 @@ def test_trailing_mean(spark, min_rows):
         want[i] = sum(values[-7:]) / len(values[-7:])
     assert {r.id: r["mean"] for r in got} == pytest.approx(want)
     with pytest.raises(ValueError):
-        running.trailing_mean(df, ["k"], "ms", "id", "charge", 7, "mean", chunk=3)
+        running.trailing_mean(df, ["k"], "ms", "id", "charge", 0, "mean")
+
+
+def one_key(spark, n, step=1):
+    """A log of one key, half of whose requests share a millisecond with another."""
+    ids = F.col("id")
+    return spark.range(n).select(
+        "id", (F.floor(ids / 2) * 2 * step).alias("ms"), F.lit("k").alias("k"), (ids % 7).alias("charge"), (ids % 5 + 1).alias("est")
+    ).repartition(3, "id")
+
+
+def test_frames_reach_over_many_small_partitions(spark):
+    df = one_key(spark, 60).withColumn("x", F.when(F.col("id") % 4 > 0, F.col("charge") / 2))
+    got = {r.id: r for r in running.trailing_mean(df, ["k"], "ms", "id", "x", 25, "mean", parts=20).collect()}
+    values = [i % 7 / 2 if i % 4 else None for i in range(60)]
+    for i in range(60):
+        known = [v for v in values[max(0, i - 24) : i + 1] if v is not None]
+        assert got[i]["mean"] == (pytest.approx(sum(known) / len(known)) if known else None)
+
+
+def test_null_keys_and_values_in_running_totals(spark):
+    rows = [(1, 1, None, 5), (2, 2, None, None), (3, 3, "a", 2), (4, 4, None, 1), (5, 5, "a", None)]
+    df = spark.createDataFrame(rows, "id long, ms long, k string, v long")
+    for parts in (1, 5):
+        got = running.running_totals(df, ["k"], "ms", "id", {"n": F.col("v"), "x": F.col("v") / 2}, parts)
+        assert {r.id: (r.n, r.x) for r in got.collect()} == {1: (5, 2.5), 2: (5, 2.5), 3: (2, 1.0), 4: (6, 3.0), 5: (2, 1.0)}
+
+
+def test_values_are_carried_forward(spark):
+    rows = [(i, i % 2, i if i % 7 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "t long, k long, v long")
+    last, want = {}, {}
+    for t, k, v in rows:
+        last[k] = v if v is not None else last.get(k)
+        want[t] = last[k]
+    for parts in (1, 25):
+        got = running.carried_forward(df, ["k"], ["t"], "v", "w", parts).collect()
+        assert {r.t: r.w for r in got} == want
+
+
+def test_a_key_with_all_rows_is_spread_evenly(spark):
+    """Each pass over sorted rows and each later fold sees no more than an even share."""
+    df = one_key(spark, 2000, 50)
+    rows = running.in_key_order(df, ["k"], ["ms", "id"], 16)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 2000 / 16
+    right, open_ = folds.fold_in_order(
+        df.withColumn("can_", F.lit(True)).withColumn("load_", F.lit(None).cast("string")), ["k"], ["ms", "id"],
+        folds.cache_step(3000), folds.expired(3000), ["ms", "can_", "load_"], "live_ bigint, entry_ string",
+        "stored_ms bigint, payload string", 16,
+    )
+    assert right.count() + open_.count() == 2000
+    assert max(r["count"] for r in open_.groupBy("part_").count().collect()) < 3 * 2000 / 16
+    states = folds._states_of_parts(open_, "ms", 3000, "string", 16).collect()
+    assert len(states) == 15 and len({r.state_.stored_ms for r in states}) > 10
+
+
+def test_rate_limit_stretches_between_full_buckets_are_folded_apart(spark):
+    # Bursts a minute apart: the bucket is full again before each.
+    df = spark.range(3000).select("id", (F.floor(F.col("id") / 20) * 60_000 + F.col("id") % 20).alias("ms"), F.lit("k").alias("k"))
+    one = df.withColumn("n_", F.lit(1))
+    _, open_ = folds.fold_in_order(
+        one, ["k"], ["ms", "id"], folds.bucket_step(60, 0.2, 1), folds.fullness(60, 0.2, 1), ["ms", "n_"],
+        "tokens_ double", "tokens double, last_ms bigint", 16,
+    )
+    assert open_.select("chain_").distinct().count() > 8 and open_.count() < 400
+    got = folds.rate_limit_audit(df, "k", "ms", "id", 60, 0.2, 1, 16).collect()
+    want = bucket_model([(r.id, r.ms, "k") for r in sorted(got)], 60, 0.2, 1)
+    assert {r.id: (r.allowed, r.remaining, r.reset_ms) for r in got} == want
+
+
+@pytest.mark.parametrize("ttl", [7, 300, 100_000])
+def test_cache_of_one_key_over_many_partitions(spark, ttl):
+    df = one_key(spark, 900, 3).withColumn("error", F.col("id") % 11 == 3)
+    got = folds.cache_attribution(
+        df, "k", "ms", "id", ttl, stores=~F.col("error"), payload=["est"], parts=24
+    ).collect()
+    rows = [(r.id, r.ms, "k", "h", r.est, r.charge, r.error) for r in sorted(got)]
+    assert {r.id: (r.is_hit, r.stored_ms, r.stored_est) for r in got} == cache_model(rows, ttl)
 
 
-def test_hot_values_are_few_and_big(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 2000, F.lit(-1)).otherwise(F.col("id")).alias("k"))
-    assert running.hot_values(df, "k", min_rows=100) == [-1]
-    assert running.hot_values(df, "k") == []
+def test_requests_without_a_key_never_hit(spark):
+    df = spark.createDataFrame([(i, i, None, "s", 3, 2) for i in range(6)], "id long, ms long, h string, s string, est long, charge long")
+    for ttl in (0, 1000):
+        assert not folds.cache_attribution(df, "h", "ms", "id", ttl).where("is_hit").count()
+    done = folds.cache_attribution(df, "h", "ms", "id", 1000, completed_ms=F.col("ms"))
+    assert done.count() == 6 and not done.where("is_hit").count()
+    for parts in (1, 4):
+        ok = df.withColumn("ok", F.lit(True))
+        got = folds.budget_guard_cached(ok, "s", "ms", "id", "est", "charge", "h", "ok", 0, 9, 0, parts).collect()
+        assert [r.session_used_before for r in sorted(got)] == [0, 2, 4, 6, 8, 8]
 
 
-def test_ordinary_plan_has_one_exchange(spark):
-    _, df = make_log(spark, 8)
-    df = df.select("id", "ms", "k").coalesce(1)
-    plan = folds.rate_limit_audit(df, "k", "ms", "id")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(k") == 1
+def test_budgets_without_limits_fold_nothing(spark):
+    _, df = make_log(spark, 4)
+    plan = folds.budget_guard(df, "k", "ms", "id", "est", "charge")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("min_rows", PLANS)
-def test_empty_log(spark, min_rows):
+@pytest.mark.parametrize("parts", PARTS)
+def test_empty_log(spark, parts):
     _, df = make_log(spark, 9, n=5)
     none = df.where("id < 0")
-    assert folds.rate_limit_audit(none, "k", "ms", "id", min_rows=min_rows).count() == 0
-    assert folds.cache_attribution(none, "h", "ms", "id", min_rows=min_rows).count() == 0
+    assert folds.rate_limit_audit(none, "k", "ms", "id", parts=parts).count() == 0
+    assert folds.cache_attribution(none, "h", "ms", "id", parts=parts).count() == 0
     args = ("k", "ms", "id", "est", "charge", 10, 10)
-    assert folds.budget_guard(none, *args, min_rows=min_rows).count() == 0
+    assert folds.budget_guard(none, *args, parts=parts).count() == 0
 
 
 def test_idle_buckets(spark):
