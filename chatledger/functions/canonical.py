@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatledger.functions.text import estimate, json_number, json_quote, trim_all, utf16_length
+from chatledger.rules import WHITE_SPACE
 
 
 def canonical_messages(messages: Column) -> Column:
@@ -38,11 +39,17 @@ def canonical_messages(messages: Column) -> Column:
 
 
 def canonical_temperature(temperature: Column, present: Column) -> Column:
-    """Two decimals, halves upwards; 0.7 when absent, 0 when an explicit null."""
-    value = temperature.try_cast("double")
+    """Two decimals, halves upwards; 0.7 when absent, 0 when an explicit null or empty, 1 and 0
+    for true and false, and ``null`` for what is no number."""
+    number = F.btrim(temperature, F.lit(WHITE_SPACE))
+    value = (
+        F.when(number.isin("", "false"), F.lit(0.0))
+        .when(number == "true", F.lit(1.0))
+        .when(number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number.try_cast("double"))
+    )
     # Beyond 1e12 a double has no two decimals to round.
     rounded = F.when(F.abs(value) < 1e12, F.floor(value * 100 + 0.5) / 100).otherwise(value)
-    return F.when(temperature.isNotNull(), json_number(rounded)).otherwise(
+    return F.when(temperature.isNotNull(), F.coalesce(json_number(rounded), F.lit("null"))).otherwise(
         F.when(present, F.lit("0")).otherwise(F.lit("0.7"))
     )
 

@@ -180,7 +180,7 @@ def scan_messages_sql(
     scanned = (
         f"CASE WHEN NOT {_hinted_by_any_sql('msg_.content', rules)} "
         f"THEN named_struct('findings', {NO_FINDINGS}, 'sanitized', msg_.content) "
-        f"WHEN msg_.is_parts THEN {multipart} ELSE {scan_sql('msg_.content', rules, notice)} END"
+        f"WHEN msg_.is_parts AND from_json(msg_.content, 'array<string>') IS NOT NULL THEN {multipart} ELSE {scan_sql('msg_.content', rules, notice)} END"
     )
     one = let_sql(
         scanned,

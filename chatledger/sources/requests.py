@@ -51,6 +51,12 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
             m["role"], m["content"], m["name"], m["tool_call_id"], F.lit(False).alias("is_parts")
         )
 
+    # Whether the content is an array goes by its own JSON type.  One that has no variant (its
+    # objects repeat a key) cannot be a string, so its text must itself be JSON.
+    def is_array(content, text):
+        kind = F.schema_of_variant(F.from_json(text, "content VARIANT", STRICT_JSON)["content"])
+        return content.startswith("[") & F.coalesce(kind.startswith("ARRAY"), is_json(content))
+
     def clarified(m, text):
         null_content = m["content"].isNull() & F.array_contains(F.json_object_keys(text), "content")
         return F.struct(
@@ -58,9 +64,7 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
             F.when(null_content, F.lit("null")).otherwise(m["content"]).alias("content"),
             m["name"].alias("name"),
             m["tool_call_id"].alias("tool_call_id"),
-            F.coalesce(
-                m["content"].startswith("[") & F.contains(text, F.lit('"content":[')), F.lit(False)
-            ).alias("is_parts"),
+            F.coalesce(is_array(m["content"], text), F.lit(False)).alias("is_parts"),
         )
 
     typed_messages = F.when(unclear, F.zip_with(messages, texts, clarified)).otherwise(

@@ -140,6 +140,7 @@ SELECT id AS page_id, rule_id, match_no, matched, entropy FROM matches"""
 TURNS = f"""turns AS (
   SELECT conv_id, turn, role, conv_id * 1000 + turn AS id, conv_id % 10 = 5 AND turn = 0 AS is_parts,
     CASE WHEN turn = 1 THEN concat_ws(' ', text, {sample_case('conv_id')})
+         WHEN turn = 0 AND conv_id % 10 = 7 THEN concat_ws(' ', '[note]', {sample_case('conv_id')}, text)
          WHEN turn = 0 THEN chr(9) || ' ' || text || chr(10) ELSE text END AS text
   FROM conversations)"""
 
@@ -149,7 +150,7 @@ red AS ({redacted('turns', 'turn_matches')}),
 scanned AS (
   SELECT t.*, r.n_findings, r.sanitized,
     CASE WHEN t.is_parts THEN '[{{"type":"text","text":' || to_json(r.sanitized)::VARCHAR
-           || '}},{{"type":"image_url","image_url":{{"url":"u"}}}}]' ELSE r.sanitized END AS content
+           || '}},{{"type":"image_url","image_url":{{"url":"u"}}}},' || {lit(I.NOTE_PART)} || ']' ELSE r.sanitized END AS content
   FROM turns t JOIN red r ON t.id = r.id)"""
 
 
@@ -164,12 +165,12 @@ PROFILE = f"""{SCANNED},
 canon AS (
   SELECT conv_id, conv_id % 25 = 24 AS invalid_json, 'model-' || conv_id % 3 AS model,
     sum(n_findings)::BIGINT AS n_findings,
-    greatest(1, ceil(sum({utf16('sanitized')}) / 4.0))::BIGINT AS est_tokens,
+    greatest(1, ceil(sum({utf16('sanitized')} + CASE WHEN is_parts THEN 11 ELSE 0 END) / 4.0))::BIGINT AS est_tokens,
     '{{"model":"model-' || conv_id % 3 || '","messages":['
       || string_agg('{{"role":' || to_json(role)::VARCHAR || ',"content":'
            || to_json(CASE WHEN is_parts THEN content ELSE trim(content, {SPACES}) END)::VARCHAR
            || ',"name":null,"tool_call_id":null}}', ',' ORDER BY turn)
-      || '],"temperature":' || {pick(5, "'0.7'", "'0.7'", "'1'", "'0.7'", "'0'")}
+      || '],"temperature":' || CASE WHEN conv_id % 35 = 3 THEN 'null' ELSE {pick(5, "'0.7'", "'0.7'", "'1'", "'0.7'", "'0'")} END
       || ',"max_tokens":' || {pick(3, "'null'", "'256'", "'null'")}
       || ',"top_p":' || {pick(4, "'null'", "'0.9'", "'1'", "'null'")}
       || ',"tools":' || CASE WHEN conv_id % 6 = 0 THEN to_json({lit(TOOLS)})::VARCHAR ELSE 'null' END
@@ -199,7 +200,7 @@ SELECT conv_id, bad AS invalid_json,
   CASE WHEN NOT bad THEN 'model-' || conv_id % 3 END AS model,
   CASE WHEN NOT bad THEN n END AS n_messages, CASE WHEN NOT bad THEN parts END AS n_multipart,
   NOT bad AND conv_id % 2 = 1 AS stream,
-  CASE WHEN NOT bad THEN {pick(5, "NULL", "'0.7'", "'1'", "'0.704'", "NULL")} END AS temperature,
+  CASE WHEN bad THEN NULL WHEN conv_id % 35 = 3 THEN 'hot' ELSE {pick(5, "NULL", "'0.7'", "'1'", "'0.704'", "NULL")} END AS temperature,
   NOT bad AND conv_id % 5 <> 0 AS temperature_present,
   CASE WHEN NOT bad THEN {pick(3, "NULL", "256.0", "0.0")} END::DOUBLE AS max_tokens,
   CASE WHEN NOT bad THEN {pick(4, "NULL", "0.9", "1.0", "NULL")} END::DOUBLE AS top_p,
