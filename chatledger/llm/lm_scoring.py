@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from chatledger.llm.common import Scratch, mixed, odd_numbers, space_words, word_hashes
 
 ORDERS = (1, 2, 3)
-#: A block is closed when its texts reach so many bytes.
-BLOCK_BYTES = 4 << 20
+#: A block is closed when its texts reach so many bytes; larger ones repeat more n-grams.
+BLOCK_BYTES = 16 << 20
 #: n-grams that a bucket gets, about.
 BUCKET_KEYS = 1 << 20
 #: One of so many training documents is deleted to learn the weights.
@@ -145,17 +146,24 @@ def _tokens(payload: bytes, sizes: bytes, held: list[bool]) -> Tokens:
 # Counts
 
 
+@lru_cache(1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack_numbers(x: np.ndarray) -> bytes:
     """Numbers of 0 or more in as many bytes each as the largest needs, byte by byte of
-    equal weight, so that bytes that hardly differ stand together."""
+    equal weight, so that bytes that hardly differ stand together, compressed."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + planes.T.tobytes()
+    return bytes([width]) + (_codec()[0].compress(planes.T.tobytes()) if len(x) else b"")
 
 
 def _unpack_numbers(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
     width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    planes = np.frombuffer(_codec()[1].decompress(data[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
