@@ -12,8 +12,8 @@ from chatledger.sources.sse_text import payload
 LINES_PER_CHUNK = 4_096
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """``stream_id, seq, done, id, model, content, finish, prompt, completion``.
+def parse_lines(lines: DataFrame, *kept: str) -> DataFrame:
+    """``stream_id, seq, done, id, model, content, finish, prompt, completion``, and ``kept``.
 
     Absent, empty and zero values are null; an unreadable line is all null.
     """
@@ -36,6 +36,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             F.nullif(choice["finish_reason"], empty).alias("finish"),
             F.nullif(chunk["usage"]["prompt_tokens"], zero).alias("prompt"),
             F.nullif(chunk["usage"]["completion_tokens"], zero).alias("completion"),
+            *kept,
         )
     )
 

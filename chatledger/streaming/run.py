@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatledger.sources.tables import shared_path
 
@@ -56,6 +57,9 @@ def run_totals(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     spark = stream.sparkSession
     use_rocksdb(spark)
     out = shared_path(spark, name)
+    # A source without rows starts no batch.
+    made = spark._jvm.org.apache.hadoop.fs.Path(out)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -68,6 +72,7 @@ def run_totals(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     )
     with _only_data_batches(spark):
         writer.start().awaitTermination()
-    changes = spark.read.parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    changes = spark.read.schema(schema).parquet(out)
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
     return changes.withColumn("_n", newest).where("_n = 1").select(*stream.columns)

@@ -117,19 +117,100 @@ def test_streams_are_kept_by_default():
     from chatledger.streaming.sse import sse_reassemble_stream
 
     assert inspect.signature(sse_reassemble_stream).parameters["abandon_ms"].default is None
+    with pytest.raises(ValueError):
+        sse_reassemble_stream(None, abandon_ms=5)
 
 
-def test_streams_given_up_or_finished_emit_nothing_more(spark, tmp_path):
-    def line(seq, text):
-        return (1, seq, 'data: {"id":"i","choices":[{"delta":{"content":"%s"}}]}' % text)
+def state_rows(spark, path, variable):
+    """Keys that a stateful query holds after its last batch."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(str(path / "state")).count()
 
-    def ended(stream, seq):
-        return (stream, seq, "data: [DONE]")
 
-    full = (2, 1, 'data: {"id":"j","choices":[{"delta":{"content":"whole"}}]}')
-    late = (3, 1, 'data: {"id":"k","choices":[{"delta":{"content":"x"}}]}')
-    batches = [[line(1, "HEAD"), full, ended(2, 2)], [late], [line(2, "TAIL"), ended(1, 3), ended(2, 3)]]
-    got = paused(
-        spark, tmp_path, batches, "stream_id long, seq long, line string", lambda s: streaming.sse_reassemble_stream(s, abandon_ms=500), 2
-    )
-    assert [r.stream_id for r in got] == [2]
+DAY = 86_400_000
+T0 = 19_676 * DAY
+
+
+def run_batches(spark, path, batches, schema, start, variable):
+    """The rows a stream emits, and the number of keys in its state after each batch."""
+    out, held = [], []
+    for n, rows in enumerate(batches):
+        out += paused(spark, path, [rows], schema, start, 0)
+        held.append(state_rows(spark, path, variable))
+    return out, held
+
+
+def test_full_buckets_leave_the_state(spark, tmp_path):
+    batches = [
+        [(f"k{i}", T0 + i, 10 * i + j) for i in range(5) for j in range(4)],
+        [("z", T0 + 10 * DAY, 100)],
+        [("y", T0 + 10 * DAY + 5, 101), ("k1", T0 + 10 * DAY + 5, 102)],
+        [("k1", T0 + 10 * DAY + 6, 103)],
+    ]
+    args = ("k", "ms", "id", 60, 1 / 20)
+    schema = "k string, ms long, id long"
+    got, held = run_batches(spark, tmp_path, batches, schema, lambda s: streaming.rate_limit_stream(s, *args), "fold")
+    log = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, folds.rate_limit_audit(log, *args).collect()))
+    assert held[:2] == [5, 6] and held[2] <= 3
+
+
+def test_expired_entries_leave_the_state(spark, tmp_path):
+    batches = [
+        [(f"h{i}", T0 + i, i) for i in range(6)] + [("h1", T0 + 900, 50)],
+        [("h1", T0 + 5 * DAY, 60), ("h2", T0 + 1200, 61)],
+        [("h1", T0 + 5 * DAY + 3, 62)],
+        [("h2", T0 + 5 * DAY + 9, 63)],
+    ]
+    args, schema = ("h", "ms", "id", 1000), "h string, ms long, id long"
+    got, held = run_batches(spark, tmp_path, batches, schema, lambda s: streaming.cache_attribution_stream(s, *args), "fold")
+    log = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, folds.cache_attribution(log, *args).collect()))
+    assert held[0] == 6 and held[2] <= 2
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    batches = [[(f"s{i}", T0 + i, i, 5, 5) for i in range(4)], [("s0", T0 + 9 * DAY, 10, 5, 5)], [("s0", T0 + 9 * DAY + 1, 11, 5, 5)]]
+    schema = "s string, ms long, id long, est long, charge long"
+    for idle, left in ((2 * DAY, 1), (None, 4)):
+        got, held = run_batches(
+            spark, tmp_path / str(idle), batches, schema,
+            lambda s: streaming.budget_guard_stream(s, "s", "ms", "id", "est", "charge", 100, 12, idle_ms=idle), "fold",
+        )
+        assert held == [4, 4, left] and all(r.allowed for r in got)
+
+
+def test_finished_and_silent_responses_leave_the_state(spark, tmp_path):
+    def line(stream, seq, ms, text):
+        return (stream, seq, 'data: {"id":"i","choices":[{"delta":{"content":"%s"}}]}' % text, T0 + ms)
+
+    def ended(stream, seq, ms):
+        return (stream, seq, "data: [DONE]", T0 + ms)
+
+    batches = [
+        [line(1, 1, 0, "HEAD"), line(2, 1, 0, "whole"), ended(2, 2, 1), line(4, 1, 2, "slow")],
+        [line(3, 1, 2 * DAY, "x"), ended(2, 3, 3), line(4, 2, 2 * DAY, "er"), ended(4, 3, 2 * DAY)],
+        [line(3, 2, 2 * DAY + 1, "y"), ended(1, 9, 5)],
+        [ended(3, 3, 4 * DAY)],
+        [line(5, 1, 4 * DAY + 1, "z")],
+    ]
+    schema = "stream_id long, seq long, line string, ms long"
+    for give_up, want in ((None, {(2, "whole"), (4, "slower"), (3, "xy")}), (1000, {(2, "whole"), (4, "slow"), (3, "xy"), (1, "HEAD")})):
+        path = tmp_path / str(give_up)
+        got, held = run_batches(
+            spark, path, batches, schema, lambda s: streaming.sse_reassemble_stream(s, "ms", abandon_ms=give_up), "finished"
+        )
+        # A silent stream is given up once time has passed it; one that comes back earlier is not.
+        assert {r.stream_id: r.content for r in got if r.finish_reason != "abandoned"}[2] == "whole"
+        assert held[-1] == 1 < max(held)
+        if give_up is None:
+            assert {(r.stream_id, r.content) for r in got} == want
+        else:
+            assert [(r.stream_id, r.content) for r in got if r.finish_reason == "abandoned"] == [(1, "HEAD")]
+
+
+def test_totals_of_an_empty_source(spark, tmp_path):
+    outcomes = I.outcome_log(spark, SMALL)
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(outcomes.schema).parquet(str(tmp_path / "none"))
+    live = streaming.usage_metrics_stream(empty, ["client_id"])
+    assert streaming.run_totals(live, "t", ["client_id"]).count() == 0
