@@ -14,7 +14,8 @@ every block with counts in the order in which it was asked, so answers need no k
 block looks up all of its tokens at once.  No table of the vocabulary or of n-grams is
 in one place; the driver sees sums and the weights of at most 64 buckets an order.
 
-n-grams are compared as 64-bit hashes.  Null texts are empty ones: a single end.  A null
+Words are compared as 64-bit hashes, n-grams of two and three as hashes of 56 bits: among
+10^12 different ones, one in some 70,000 shares its count with another.  Null texts are empty ones: a single end.  A null
 doc_id belongs to the training documents and is not held out.  Every row is a document of
 its own, repeated ones too.  Without training tokens all probabilities are 1.  Columns
 other than doc_id and text are left out.
@@ -38,6 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from chatledger.llm.common import Scratch, mixed, odd_numbers, space_words, word_hashes
 
 ORDERS = (1, 2, 3)
+#: Bits of the hashes of each order that are zero, and not sent.
+SPARE = (0, 8, 8)
 #: A block is closed when its texts reach so many bytes; larger ones repeat more n-grams.
 BLOCK_BYTES = 16 << 20
 #: n-grams that a bucket gets, about.
@@ -132,14 +135,17 @@ def _tokens(payload: bytes, sizes: bytes, held: list[bool]) -> Tokens:
     w = np.concatenate(hashes).astype(np.uint64)
     counts = np.array(counts)
     starts = np.cumsum(counts) - counts
-    grams = [mixed(w * odd_numbers(1, 301)[0])]
+    longer = [mixed(w * odd_numbers(1, 301)[0])]
+    grams = longer[:]
     before = w
     for order in ORDERS[1:]:
         # The words before each token, one place further back for each order.
         before = np.concatenate([[START], before[:-1]]).astype(np.uint64)
         before[starts] = START
         a, b = odd_numbers(2, 300 + order)
-        grams.append(mixed(grams[-1] * a + before * b))
+        spare = np.uint64(SPARE[order - 1])
+        longer.append(mixed(longer[-1] * a + before * b))
+        grams.append(longer[-1] >> spare << spare)
     return Tokens(grams, starts, ~np.repeat(np.array(held, bool), counts))
 
 
@@ -177,7 +183,7 @@ def _ask(bits: int):
             for row in batch.to_pylist():
                 tokens = _tokens(row["payload"], row["sizes"], row["held"])
                 columns: list[list[bytes]] = []
-                for grams in tokens.grams:
+                for grams, spare in zip(tokens.grams, SPARE):
                     keys, which = np.unique(grams, return_inverse=True)
                     learned = np.bincount(which, tokens.known, len(keys)).astype(np.uint64)
                     ends = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -188,7 +194,7 @@ def _ask(bits: int):
                         part = steps[a:b].copy()
                         if b > a:
                             part[0] = keys[a] - (np.uint64(bucket) << np.uint64(64 - bits))
-                        packed.append(_pack_numbers(part))
+                        packed.append(_pack_numbers(part >> np.uint64(spare)))
                         times.append(_pack_numbers(learned[a:b]))
                     columns += [packed, times]
                 some = [i for i in range(1 << bits) if any(len(c[i]) > 1 for c in columns)]
@@ -215,8 +221,8 @@ def _answer(asked: pa.Table) -> pa.Table:
     deleted = np.array(asked.column("deleted").to_pylist(), bool)
     answers: dict[str, list] = {}
     totals = (0, 0, 0, 0)
-    for order in ORDERS:
-        keys = [np.cumsum(_unpack_numbers(k), dtype=np.uint64) for k in asked.column(f"k{order}").to_pylist()]
+    for order, spare in zip(ORDERS, SPARE):
+        keys = [np.cumsum(_unpack_numbers(k), dtype=np.uint64) << np.uint64(spare) for k in asked.column(f"k{order}").to_pylist()]
         times = [_unpack_numbers(n) for n in asked.column(f"n{order}").to_pylist()]
         sizes = np.array([len(k) for k in keys])
         which = np.unique(np.concatenate(keys), return_inverse=True)[1]
