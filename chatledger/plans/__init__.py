@@ -5,7 +5,8 @@ from chatledger.plans.outcomes import (
     audit_log,
     profile_requests,
     request_outcomes,
+    status_of,
     usage_report,
 )
 
-__all__ = ["Policy", "audit_log", "profile_requests", "request_outcomes", "usage_report"]
+__all__ = ["Policy", "audit_log", "profile_requests", "request_outcomes", "status_of", "usage_report"]

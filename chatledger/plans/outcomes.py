@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger.functions.cost import Prices
@@ -136,13 +136,6 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     everything = answered.unionByName(stopped, allowMissingColumns=True)
 
     outcome = F.col("outcome")
-    status = (
-        F.when(outcome.isin("rate_limited", "budget_blocked"), 429)
-        .when(outcome == "invalid_json", 400)
-        .when(outcome == "secret_blocked", 403)
-        .when(outcome == "upstream_error", 502)
-        .otherwise(200)
-    )
 
     def tokens(stored: str, own: str):
         amount = F.when(outcome == "hit", F.col(stored)).when(outcome == "miss", F.col(own))
@@ -160,7 +153,7 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
         "session_id",
         "model",
         "outcome",
-        status.cast("int").alias("status"),
+        status_of(outcome).alias("status"),
         (outcome == "hit").alias("is_cache_hit"),
         F.when(outcome == "hit", F.lit("L1" if policy.l1 else "L2")).alias("cache_tier"),
         findings.cast("bigint").alias("n_findings"),
@@ -171,6 +164,18 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     )
 
 
+def status_of(outcome: Column) -> Column:
+    """The HTTP status an outcome is answered with."""
+    status = (
+        F.when(outcome.isin("rate_limited", "budget_blocked"), 429)
+        .when(outcome == "invalid_json", 400)
+        .when(outcome == "secret_blocked", 403)
+        .when(outcome == "upstream_error", 502)
+        .otherwise(200)
+    )
+    return status.cast("int")
+
+
 def audit_log(outcomes: DataFrame) -> DataFrame:
     """Outcomes as audit rows (see ``schemas.AUDIT_LOG``)."""
     return outcomes.select(

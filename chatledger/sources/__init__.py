@@ -4,7 +4,9 @@ from chatledger.sources.files import scan_files, write_text_files
 from chatledger.sources.requests import parse_requests
 from chatledger.sources.sse_text import sse_lines
 from chatledger.sources.tables import (
+    VersionedCache,
     append_audit,
+    append_audit_stream,
     read_audit,
     read_response_cache,
     shared_path,
@@ -12,7 +14,9 @@ from chatledger.sources.tables import (
 )
 
 __all__ = [
+    "VersionedCache",
     "append_audit",
+    "append_audit_stream",
     "parse_requests",
     "read_audit",
     "read_response_cache",

@@ -291,6 +291,23 @@ every AS (
 SELECT * EXCLUDE (fresh, rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY hash ORDER BY created_at DESC, fresh DESC) AS rn FROM every) WHERE rn = 1"""
 
+ORACLE["response_cache_versions"] = f"""WITH {CACHE},
+every AS (
+  SELECT 0 AS fresh, * FROM cache
+  UNION ALL BY NAME
+  SELECT 1 AS fresh, * REPLACE (created_at + 1000 AS created_at, created_at + 1000 AS last_accessed_at,
+    'newer' AS response_body, 0 AS hit_count) FROM cache WHERE prompt_tokens % 2 = 0
+  UNION ALL BY NAME
+  SELECT 1 AS fresh, * REPLACE (sha256(hash) AS hash, 'other' AS response_body, created_at AS last_accessed_at,
+    0 AS hit_count) FROM cache),
+newest AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY created_at DESC, fresh DESC) AS rn FROM every),
+batch AS (SELECT hash, count(*) AS n, max(now_ms) AS last FROM req WHERE request_id % 3 > 0 GROUP BY hash)
+SELECT c.* EXCLUDE (fresh, rn) REPLACE (
+  c.hit_count + coalesce(b.n, 0) AS hit_count, coalesce(b.last, c.last_accessed_at) AS last_accessed_at)
+FROM newest c LEFT JOIN batch b ON c.hash = b.hash
+WHERE rn = 1 AND {live('(SELECT max(ms) FROM log)')}
+  AND c.hash NOT IN (SELECT hash FROM log WHERE upstream_error AND request_id % 5 = 0)"""
+
 ORACLE["cache_touch"] = f"""WITH {CACHE}, batch AS (
   SELECT hash, count(*) AS n, max(now_ms) AS last FROM req WHERE request_id % 3 > 0 GROUP BY hash)
 SELECT c.hash, c.hit_count + coalesce(b.n, 0) AS hit_count, coalesce(b.last, c.last_accessed_at) AS last_accessed_at
@@ -557,6 +574,13 @@ SELECT ms AS timestamp, client_id AS client_ip, model, is_cache_hit, cache_tier,
   prompt_tokens, completion_tokens, latency_ms, status AS status_code FROM done"""
 ORACLE["audit_append"] = ORACLE["audit_log"]
 
+ORACLE["audit_append_stream"] = f"""WITH {OUTCOMES}
+SELECT ms AS timestamp, client_id AS client_ip, model, outcome = 'hit' AS is_cache_hit, cache_tier,
+  n_findings AS secrets_redacted, prompt_tokens, completion_tokens, latency_ms,
+  CASE WHEN outcome IN ('rate_limited', 'budget_blocked') THEN 429 WHEN outcome = 'invalid_json' THEN 400
+    WHEN outcome = 'secret_blocked' THEN 403 WHEN outcome = 'upstream_error' THEN 502 ELSE 200 END AS status_code
+FROM outcomes"""
+
 ORACLE["usage_report"] = f"""WITH RECURSIVE {outcome_ctes('redact')},
 t AS (SELECT client_id, {totals()} FROM done GROUP BY client_id)
 SELECT *, round((cache_hits_l1 + cache_hits_l2) / total_requests * 100, 1) AS hit_rate_pct FROM t"""

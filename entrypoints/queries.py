@@ -241,6 +241,19 @@ def cache_upsert(spark, sf):
     return cache.cache_upsert(stored, _new_entries(stored))
 
 
+@query
+def response_cache_versions(spark, sf):
+    """A cache changed in place: entries, upsert, hits, evictions, expiry."""
+    entries, log = I.cache_entries(spark, sf), I.request_log(spark, sf)
+    stored = sources.VersionedCache(spark, sources.shared_path(spark, "cache-versions"))
+    stored.publish(entries)
+    stored.upsert(_new_entries(stored.read()))
+    stored.touch(I.lookups(spark, sf).where(F.col("request_id") % 3 > 0))
+    stored.evict(log.where(F.col("upstream_error") & (F.col("request_id") % 5 == 0)).select("hash"))
+    stored.prune(I.last_ms(spark, sf))
+    return stored.read()
+
+
 @query
 def cache_touch(spark, sf):
     hits = I.lookups(spark, sf).where(F.col("request_id") % 3 > 0)
@@ -484,6 +497,18 @@ def audit_append(spark, sf):
     return sources.read_audit(spark, path)
 
 
+@query
+def audit_append_stream(spark, sf):
+    outcome = F.col("outcome")
+    outcomes = I.outcome_log(spark, sf, stream=True).withColumns(
+        {"is_cache_hit": outcome == "hit", "status": plans.status_of(outcome)}
+    )
+    path, state = (sources.shared_path(spark, n) for n in ("audit-stream", "audit-stream-state"))
+    writer = sources.append_audit_stream(plans.audit_log(outcomes), path, "audit", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return sources.read_audit(spark, path)
+
+
 @query
 def usage_report(spark, sf):
     outcomes = plans.request_outcomes(I.body_log(spark, sf), POLICY)

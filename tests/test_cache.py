@@ -80,3 +80,53 @@ def test_table_round_trip_needs_no_exchange(spark, tmp_path):
         assert "Exchange hashpartitioning" not in plan.toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_versions_change_in_place(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    table = sources.VersionedCache(spark, path, buckets=8)
+    assert table.version() is None and table.read().count() == 0
+    c = entries(spark, *[(f"h{i}", i, 100 if i % 4 == 0 else 0, 1, "x") for i in range(40)])
+    assert table.publish(c) == 0
+    before = table.read()
+    first = dict(table._manifest(0)["folders"])
+
+    # The table that is changed is also what the change is made of.
+    newer = table.read().where("hash = 'h3'").withColumn("created_at", F.col("created_at") + 50)
+    assert table.upsert(newer) == 1
+    second = table._manifest(1)["folders"]
+    assert sum(first[b] != second[b] for b in first) == 1
+    assert table.read().where("hash = 'h3'").first().created_at == 53
+    assert before.where("hash = 'h3'").first().created_at == 3 and before.count() == 40
+
+    table.touch(spark.createDataFrame([("h3", 70), ("h3", 80), ("none", 5)], "hash string, now_ms long"))
+    assert tuple(table.read().where("hash = 'h3'").select("hit_count", "last_accessed_at").first()) == (2, 80)
+    table.evict(spark.createDataFrame([("h5",), ("none",)], "hash string"))
+    assert table.read().count() == 39 and table.read(0).count() == 40
+    table.prune(130)
+    assert {r.hash for r in c.collect()} - {r.hash for r in table.read().collect()} == {"h5"} | {f"h{i}" for i in range(0, 30, 4)}
+
+    again = sources.VersionedCache(spark, path)
+    assert again.buckets == 8 and again.version() == 4
+    again.vacuum(keep=1)
+    assert again.versions() == [4] and again.read().count() == 31
+    again.evict()
+    assert again.read().count() == 0 and again.read(4).count() == 31
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    one, two = (sources.VersionedCache(spark, path, buckets=4) for _ in range(2))
+    one.publish(entries(spark, ("a", 1, 0, 0, "x")))
+    change = one.read().withColumn("created_at", F.lit(9))
+    real = two.version
+
+    def stale():
+        two.version = real
+        one.upsert(entries(spark, ("b", 2, 0, 0, "y")))
+        return 0
+
+    two.version = stale
+    with pytest.raises(RuntimeError):
+        two._publish([0, 1, 2, 3], lambda old: change)
+    assert {r.hash for r in one.read().collect()} == {"a", "b"}

@@ -111,6 +111,42 @@ def test_audit_and_reports(spark, tmp_path):
     assert str(by_day.day) == "2024-01-01" and by_day.total_requests == 8
 
 
+def test_audit_stream_counts_a_replayed_batch_once(spark, tmp_path):
+    rows = plans.audit_log(outcomes(spark)).coalesce(1)
+    for n in range(2):
+        rows.withColumn("latency_ms", F.col("latency_ms") + n).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path, state = str(tmp_path / "audit"), str(tmp_path / "state")
+    written = sources.tables.append_audit
+
+    def failing(batch, path, name):
+        written(batch, path, name)
+        if name == "a-1":
+            raise RuntimeError("lost after writing")
+
+    def run():
+        writer = sources.append_audit_stream(source, path, "a", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    sources.tables.append_audit = failing
+    try:
+        with pytest.raises(Exception, match="lost after writing"):
+            run()
+    finally:
+        sources.tables.append_audit = written
+    assert sources.read_audit(spark, path).count() == 2 * rows.count()
+    run()
+    run()
+    back = sources.read_audit(spark, path)
+    assert back.count() == 2 * rows.count()
+    want = rows.union(rows.withColumn("latency_ms", F.col("latency_ms") + 1))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    sources.append_audit(rows, path)
+    assert sources.read_audit(spark, path, "2024-01-01", "2024-01-01").count() == 3 * rows.count()
+    with pytest.raises(ValueError):
+        sources.append_audit_stream(source, path, "a/b", state)
+
+
 def test_metrics_of_nothing_and_samples(spark):
     nothing = metrics.usage_metrics(outcomes(spark).where("false"))
     kpi = metrics.kpi_rollup(nothing, 5).first()
