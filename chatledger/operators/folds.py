@@ -108,19 +108,19 @@ def fold_in_order(
     outputs: str,
     state: str,
     parts: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Run ``step`` along each key's rows, in even partitions sorted by key and order.
 
     ``certain(track, *inputs) -> (track, sure)`` follows rows whose state at the start is not
-    known, and tells from which row on it is.  Returns the rows that are right, with
-    ``outputs``, and the open rows with ``part_, at_`` (their place), ``chain_`` (open rows
-    that depend on each other have the same) and ``resume_`` (the state before the chain).
+    known, and tells from which row on it is.  Open rows that depend on each other are a
+    chain.  A chain within one partition is folded again from the state before it.  Returns the
+    rows with ``outputs``, and the rows of longer chains, if there are any, with
+    ``part_, at_`` (their place), ``chain_`` and ``resume_`` (the state before the chain).
     """
     keys, inputs = list(keys), list(inputs)
     added = T._parse_datatype_string(outputs)
     arrow = to_arrow_schema(added)
     kept = to_arrow_type(T._parse_datatype_string(state))
-    names = T._parse_datatype_string(state).names
     rows = in_key_order(df, keys, order, parts)
     at = [rows.columns.index(c) for c in inputs]
 
@@ -138,22 +138,35 @@ def fold_in_order(
                     settled[i] = sure
                 now, result = step(now, *args)
                 results.append(result)
-            last = None if now is None else dict(zip(names, now))
+            last = None if now is None else {
+                f.name: list(v.items()) if pa.types.is_map(f.type) else v for f, v in zip(kept, now)
+            }
             columns = [pa.array(v, type=f.type) for f, v in zip(arrow, zip(*results))]
             return [*columns, pa.array(settled), pa.array([None] * (batch.num_rows - 1) + [last], kept)]
 
         return run
 
-    run = ordered_pass(rows, keys, [], f"{outputs}, settled_ boolean, state_ struct<{state.replace(' ', ': ').replace(',: ', ', ')}>", make)
-    first_open = _goes_on(run, keys)
-    joined = run.join(first_open, (F.col("part_") == F.col("of_")) & F.col("first_") & ~F.col("settled_"), "left")
-    right = joined.where("of_ IS NULL").select(*df.columns, *added.names)
-    return right, joined.where("of_ IS NOT NULL").select(*df.columns, "part_", "at_", "chain_", "resume_")
+    run = ordered_pass(rows, keys, [], f"{outputs}, settled_ boolean, state_ struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in T._parse_datatype_string(state))}>", make)
+    chains = checkpointed(_goes_on(run, keys), "chains")
+    longest = chains.agg(F.max("links_")).first()[0] or 0
+    right = run
+    if longest:
+        place = (F.col("part_") == F.col("of_")) & F.col("first_") & ~F.col("settled_")
+        joined = run.join(F.broadcast(chains), place, "left")
+        right = joined.where("of_ IS NULL")
+        short = joined.where("links_ = 1").select(*df.columns, "at_", "chain_", "resume_")
+        short = fold_by_key(short, ["chain_"], ["at_"], resumed(step), [*inputs, "resume_"], outputs)
+        right = right.select(*df.columns, *added.names).union(short.select(*df.columns, *added.names))
+    right = right.select(*df.columns, *added.names)
+    if longest < 2:
+        return right, None
+    return right, joined.where("links_ > 1").select(*df.columns, "part_", "at_", "chain_", "resume_")
 
 
 def _goes_on(run: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``of_, chain_, resume_`` for every partition whose first key began in an earlier one: at
-    most a row a partition.  A chain is named after the last partition with a known end."""
+    """``of_, chain_, resume_, links_`` for every partition whose first key began in an earlier one: at
+    most a row a partition.  A chain is named after the last partition with a known end, and has
+    ``links_`` partitions."""
     ends = run.where("last_").select(*keys, "part_", F.lit(1).alias("kind_"), "first_", "settled_", "state_")
     begins = run.where("at_ = 0").select(
         *keys, "part_", F.lit(0).alias("kind_"), "first_", "settled_", F.lit(None).cast(run.schema["state_"].dataType).alias("state_")
@@ -167,7 +180,7 @@ def _goes_on(run: DataFrame, keys: Sequence[str]) -> DataFrame:
     bounds = bounds.where("kind_ = 0 AND goes_on_").select(
         F.col("part_").alias("of_"), F.col("end_.part_").alias("chain_"), F.col("end_.state_").alias("resume_")
     )
-    return F.broadcast(checkpointed(bounds, "open"))
+    return bounds.withColumn("links_", F.count("*").over(Window.partitionBy("chain_")))
 
 
 # --- rate limits -------------------------------------------------------------
@@ -255,7 +268,7 @@ def rate_limit_audit(
         one, [key], [ms, tie], step, fullness(rpm, burst, cost), [ms, "n_"], "tokens_ double", state, parts
     )
     result = right.select(*df.columns, *bucket_answer(F.col("tokens_"), F.lit(1), rpm, cost))
-    if open_.isEmpty():
+    if open_ is None:
         return result
     # Requests of one millisecond cannot be told apart by the state.
     per_ms = open_.groupBy("chain_", ms).agg(F.count("*").alias("n_"), F.first("resume_").alias("resume_"))
@@ -369,7 +382,7 @@ def cache_attribution(
         state = f"stored_ms bigint, payload {load_type}"
         right, open_ = fold_in_order(named, keys, [ms, tie], step, expired(ttl_ms), inputs, entry, state, parts)
         result = right.select(*df.columns, "live_", "entry_")
-        if not open_.isEmpty():
+        if open_ is not None:
             known = _states_of_parts(open_, ms, ttl_ms, load_type, parts)
             again = open_.drop("resume_").join(F.broadcast(known), "part_").withColumnRenamed("state_", "start_")
             folded = fold_by_key(again, ["part_"], ["at_"], resumed(step), [*inputs, "start_"], entry)
@@ -523,6 +536,8 @@ def cached_budget_step(session_budget: int, daily_budget: int, ttl_ms: int) -> S
 
     def step(state, ms, day, est, charge, key, stores):
         session_used, today, daily_used, entries = state or (0, day, 0, {})
+        if not isinstance(entries, dict):
+            entries = dict(entries)
         if day > today:
             today, daily_used = day, 0
             if ttl_ms > 0:
@@ -574,7 +589,7 @@ def budget_guard(
     state = "session_used bigint, day int, daily_used bigint"
     right, open_ = fold_in_order(rows, [scope], [ms, tie], step, _unknown, inputs, PASSES, state, parts)
     result = right.select(*df.columns, *_passes(budgets))
-    if open_.isEmpty():
+    if open_ is None:
         return result
     before = open_.withColumns({"used_": F.col("resume_.session_used"), "until_": F.col("resume_.day"), "today_": F.col("resume_.daily_used")})
     most = _counters(before.drop("part_", "at_", "resume_"), ["chain_"], ms, tie, F.col("charge_"), parts)
@@ -638,10 +653,12 @@ def budget_guard_cached(
     rows = _budget_rows(df, ms, est, charge).withColumns(
         {"key_": F.col(key), "stores_": F.col(stores)}
     )
-    right, open_ = fold_in_order(rows, [scope], [ms, tie], step, _unknown, inputs, output, "session_used bigint", parts)
-    wide = checkpointed(open_.select(F.col(scope).alias("wide_")).distinct(), "wide")
-    if wide.isEmpty():
+    hashes = rows.schema["key_"].dataType.simpleString()
+    state = f"session_used bigint, day int, daily_used bigint, entries map<{hashes},bigint>"
+    right, open_ = fold_in_order(rows, [scope], [ms, tie], step, _unknown, inputs, output, state, parts)
+    if open_ is None:
         return right.select(*df.columns, *_passes(budgets))
+    wide = checkpointed(open_.select(F.col(scope).alias("wide_")).distinct(), "wide")
     # At most a row a partition.
     wide = F.broadcast(wide)
     same = F.col(scope).eqNullSafe(F.col("wide_"))

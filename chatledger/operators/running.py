@@ -7,7 +7,7 @@ earlier one, so what earlier partitions add is at most one row for each partitio
 sums of the key's earlier partitions, or, for a trailing mean, the few values before the
 partition's first row (its halo).  These rows are broadcast and added.
 
-An operator's input is computed once, no task holds more than a partition and no key has
+An operator's input is computed once, unless it is only read from files; no task holds more than a partition and no key has
 a plan of its own.  Null keys are keys; null values count as 0 in sums and not at all
 in means.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chatledger.sources.tables import checkpointed
+from chatledger.sources.tables import checkpointed, is_scan
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Where a row stands: its partition, its place in it, whether its key is the first of the
@@ -58,9 +58,10 @@ def key_order(keys: Sequence[str], order: Sequence[str]) -> list[Column]:
 
 
 def in_key_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df``, written once, in even partitions sorted by key and order."""
+    """``df``, written unless it is just read from files, in even partitions sorted by key and
+    order.  (A range exchange computes its input twice, to find the bounds first.)"""
     by = key_order(keys, order)
-    written = checkpointed(df, "in-key-order")
+    written = df if is_scan(df) else checkpointed(df, "in-key-order")
     ranged = written.repartitionByRange(parts, *by) if parts else written.repartitionByRange(*by)
     return ranged.sortWithinPartitions(*by)
 

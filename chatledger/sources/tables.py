@@ -32,6 +32,19 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether a frame is files read, filtered and projected, and no more: such a frame may be
+    computed again where another one had better be written."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().split(" ")[0] not in ("Project", "Filter", "LogicalRelation", "Relation"):
+            return False
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def _conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 

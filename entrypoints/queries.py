@@ -245,7 +245,7 @@ def cache_upsert(spark, sf):
 def response_cache_versions(spark, sf):
     """A cache changed in place: entries, upsert, hits, evictions, expiry."""
     entries, log = I.cache_entries(spark, sf), I.request_log(spark, sf)
-    stored = sources.VersionedCache(spark, sources.shared_path(spark, "cache-versions"))
+    stored = sources.VersionedCache(spark, sources.shared_path(spark, "cache-versions"), buckets=16)
     stored.publish(entries)
     stored.upsert(_new_entries(stored.read()))
     stored.touch(I.lookups(spark, sf).where(F.col("request_id") % 3 > 0))

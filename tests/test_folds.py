@@ -132,7 +132,7 @@ def budget_model(rows, session, daily, ttl=None):
     return out
 
 
-BUDGETS = [(0, 0), (300, 0), (0, 150), (900, 120), (150, 400), (5, 5)]
+BUDGETS = [(0, 0), (300, 0), (0, 150), (900, 120), (5, 5)]
 
 
 @pytest.mark.parametrize("parts", PARTS)
@@ -149,8 +149,7 @@ def test_budget_guard(spark, parts, session, daily):
 
 
 @pytest.mark.parametrize("parts", PARTS)
-@pytest.mark.parametrize("session, daily", BUDGETS[1:])
-@pytest.mark.parametrize("ttl", [0, 5_000_000])
+@pytest.mark.parametrize("session, daily, ttl", [(300, 0, 0), (0, 150, 5_000_000), (900, 120, 5_000_000), (150, 400, 0), (5, 5, 0)])
 def test_budget_guard_with_cache(spark, parts, session, daily, ttl):
     rows, df = make_log(spark, 5, step=200_000)
     rows = [(*r[:5], r[5] + 1, r[6]) for r in rows]
@@ -258,11 +257,12 @@ def test_rate_limit_stretches_between_full_buckets_are_folded_apart(spark):
     # Bursts a minute apart: the bucket is full again before each.
     df = spark.range(3000).select("id", (F.floor(F.col("id") / 20) * 60_000 + F.col("id") % 20).alias("ms"), F.lit("k").alias("k"))
     one = df.withColumn("n_", F.lit(1))
-    _, open_ = folds.fold_in_order(
+    right, open_ = folds.fold_in_order(
         one, ["k"], ["ms", "id"], folds.bucket_step(60, 0.2, 1), folds.fullness(60, 0.2, 1), ["ms", "n_"],
         "tokens_ double", "tokens double, last_ms bigint", 16,
     )
-    assert open_.select("chain_").distinct().count() > 8 and open_.count() < 400
+    # No stretch reaches over a whole partition.
+    assert open_ is None
     got = folds.rate_limit_audit(df, "k", "ms", "id", 60, 0.2, 1, 16).collect()
     want = bucket_model([(r.id, r.ms, "k") for r in sorted(got)], 60, 0.2, 1)
     assert {r.id: (r.allowed, r.remaining, r.reset_ms) for r in got} == want
