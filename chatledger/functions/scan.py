@@ -1,10 +1,10 @@
 """Secret scanning and redaction as column expressions.
 
 The rules are unrolled into the plan as literals, so Spark compiles each pattern
-once per task and a single pass over the table serves every rule.  A rule's
-regex only runs on texts that contain one of its hint literals, and groups and
-positions are only looked up where it matched: on ordinary prose the cost of a
-rule is a byte search.
+once per task and a single pass over the table serves every rule.  One regex looks for
+the hint literals of all rules; a rule's own regex only runs on texts that contain one
+of its hints, and groups and positions are only looked up where it matched: on
+ordinary prose the whole catalogue costs one search.
 
 Functions named ``*_sql`` take and give SQL text (see ``functions.text``).
 """
@@ -31,31 +31,80 @@ FINDINGS = f"array<{FINDING.simpleString()}>"
 NO_FINDINGS = f"CAST(array() AS {FINDINGS})"
 
 
-def _hinted_sql(text: str, rule: Rule) -> str:
-    if not rule.hints:
-        return "true"
-    subject = f"lower({text})" if rule.ignore_case else text
-    return "(" + " OR ".join(f"contains({subject}, {sql_string(h)})" for h in rule.hints) + ")"
+#: Matches whose lengths are added up one by one; longer runs are added by their sums.
+CHUNK = 64
+
+
+def _least(hints: set[str]) -> list[str]:
+    """Hints that hold no other one."""
+    return sorted(h for h in hints if not any(o != h and o in h for o in hints))
+
+
+def _literals(rules: Sequence[Rule]) -> tuple[list[str], list[str]]:
+    """Literals of which every match of a rule with hints holds one: those to be found as they
+    are, and those in any case."""
+    exact = {h for r in rules for h in r.hints if not r.ignore_case or h.lower() == h.upper()}
+    return _least(exact), _least({h.lower() for r in rules for h in r.hints if r.ignore_case} - exact)
+
+
+def _any_of(rules: Sequence[Rule]) -> str:
+    """One regex for all literals: a text is read once for the whole catalogue.  At most places
+    a look at the next character is enough."""
+    exact, folded = _literals(rules)
+    spelled = [[_escaped(c) for c in h] for h in exact]
+    spelled += [[f"[{c}{c.upper()}]" if c.upper() != c else _escaped(c) for c in h] for h in folded]
+    rest: dict[str, list[str]] = {}
+    for first, *others in spelled:
+        rest.setdefault(first, []).append("".join(others))
+    firsts = "".join(first.strip("[]") for first in rest)
+    return f"(?=[{firsts}])(?:{'|'.join(f'{first}(?:{chr(124).join(ends)})' for first, ends in rest.items())})"
+
+
+def _escaped(c: str) -> str:
+    return c if c.isalnum() else "\\" + c
 
 
 def _hinted_by_any_sql(text: str, rules: Sequence[Rule]) -> str:
-    """Whether any rule's hint occurs; the text is lower-cased once for all rules,
-    and a hint that contains another one is not looked for."""
+    """Whether any rule's hint occurs."""
     if not all(r.hints for r in rules):
         return f"({text} IS NOT NULL)"
-    exact = {h for r in rules for h in r.hints if not r.ignore_case or h.lower() == h.upper()}
-    lowered = {h for r in rules for h in r.hints if r.ignore_case} - exact
+    return f"coalesce({text} RLIKE {sql_string(_any_of(rules))}, false)"
 
-    def tests(subject: str, hints: set[str]) -> str:
-        least = sorted(h for h in hints if not any(o != h and o in h for o in hints))
-        return " OR ".join(f"contains({subject}, {sql_string(h)})" for h in least)
 
-    parts = []
-    if exact:
-        parts.append(tests(text, exact))
-    if lowered:
-        parts.append(let_sql(f"lower({text})", "low_", f"({tests('low_', lowered)})"))
-    return f"coalesce({' OR '.join(parts)}, false)"
+def _found_sql(text: str, rules: Sequence[Rule]) -> str:
+    """The literals that occur in a text, in lower case; overlapping ones too."""
+    if not any(r.hints for r in rules):
+        return "CAST(array() AS array<string>)"
+    found = f"regexp_extract_all({text}, {sql_string(f'(?=({_any_of(rules)}))')}, 1)"
+    return f"transform(array_distinct({found}), x_ -> lower(x_))"
+
+
+def _hinted_sql(rule: Rule, rules: Sequence[Rule]) -> str:
+    """Whether a literal in ``found_`` stands for one of the rule's hints."""
+    if not rule.hints:
+        return "true"
+    hints = [h.lower() for h in rule.hints]
+    known = {x.lower() for part in _literals(rules) for x in part}
+    # Of two literals that begin alike only one is found at a place.
+    own = sorted(g for g in known if any(g in h or g.startswith(h) for h in hints))
+    return f"arrays_overlap(found_, array({', '.join(map(sql_string, own))}))"
+
+
+def _positions_sql(between: str, whole: str) -> str:
+    """Where each match starts, in UTF-16 units: everything between and inside the earlier
+    ones, added up by chunks so that a text with many matches costs no more for each."""
+
+    def total(numbers: str) -> str:
+        return f"aggregate({numbers}, 0, (sum_, n_) -> sum_ + n_)"
+
+    numbers = f"sequence(0, (size({whole}) - 1) div {CHUNK})"
+    lengths = f"transform({whole}, (w_, k_) -> named_struct('gap', {utf16_length_sql(f'get({between}, k_)')}, 'own', {utf16_length_sql('w_')}))"
+    steps = "transform(lengths_, l_ -> l_.gap + l_.own)"
+    chunks = f"transform({numbers}, c_ -> {total(f'slice(steps_, CAST(c_ AS INT) * {CHUNK} + 1, {CHUNK})')})"
+    starts = f"transform({numbers}, c_ -> {total('slice(chunks_, 1, CAST(c_ AS INT))')})"
+    rest = total(f"slice(steps_, CAST(k_ div {CHUNK} AS INT) * {CHUNK} + 1, k_ % {CHUNK})")
+    places = f"transform(lengths_, (l_, k_) -> get(starts_, CAST(k_ div {CHUNK} AS INT)) + {rest} + l_.gap)"
+    return let_sql(lengths, "lengths_", let_sql(steps, "steps_", let_sql(chunks, "chunks_", let_sql(starts, "starts_", places))))
 
 
 def _rule_sql(text: str, rule: Rule, number: int, notice: str | None, positions: bool) -> str:
@@ -63,19 +112,11 @@ def _rule_sql(text: str, rule: Rule, number: int, notice: str | None, positions:
     pattern = sql_string(java_regex(rule.regex, rule.ignore_case))
     label = sql_string(notice or f"[REDACTED:{rule.id.upper()}]")
     group = f"regexp_extract_all({text}, {pattern}, {rule.group})" if rule.group else "whole_"
-    between = f"split({text}, {pattern}, -1)" if positions else "array('')"
-
-    def chars(strings: str) -> str:
-        return f"aggregate({strings}, 0, (sum_, s_) -> sum_ + {utf16_length_sql('s_')})"
-
-    # A match starts after everything between and inside the earlier ones.
-    start = (
-        f"{chars('slice(parts_.between_, 1, i_ + 1)')} + {chars('slice(whole_, 1, i_)')}"
-        if positions
-        else "CAST(NULL AS INT)"
-    )
+    place, where = "CAST(NULL AS INT)", "array(0)"
+    if positions:
+        place, where = "get(parts_.place_, i_)", let_sql(f"split({text}, {pattern}, -1)", "between_", _positions_sql("between_", "whole_"))
     secret = "CASE WHEN get(parts_.group_, i_) = '' THEN m_ ELSE get(parts_.group_, i_) END"
-    found = f"transform(whole_, (m_, i_) -> named_struct('secret', {secret}, 'pos', {start}))"
+    found = f"transform(whole_, (m_, i_) -> named_struct('secret', {secret}, 'pos', {place}))"
     found = (
         f"transform({found}, h_ -> named_struct('secret', h_.secret, 'pos', h_.pos, "
         f"'bits', {entropy_sql('h_.secret')}))"
@@ -88,7 +129,7 @@ def _rule_sql(text: str, rule: Rule, number: int, notice: str | None, positions:
         f"'match_no', i_ + 1, 'matched', h_.secret, 'redacted', {label}, "
         f"'entropy', h_.bits, 'pos', h_.pos))"
     )
-    parts = let_sql(f"named_struct('group_', {group}, 'between_', {between})", "parts_", rows)
+    parts = let_sql(f"named_struct('group_', {group}, 'place_', {where})", "parts_", rows)
     return let_sql(
         f"regexp_extract_all({text}, {pattern}, 0)",
         "whole_",
@@ -101,11 +142,11 @@ def findings_sql(
 ) -> str:
     """``array<finding>``: by rule in catalogue order, then by position."""
     per_rule = [
-        f"CASE WHEN {_hinted_sql(text, rule)} THEN {_rule_sql(text, rule, i, notice, positions)} "
+        f"CASE WHEN {_hinted_sql(rule, rules)} THEN {_rule_sql(text, rule, i, notice, positions)} "
         f"ELSE {NO_FINDINGS} END"
         for i, rule in enumerate(rules, 1)
     ]
-    return f"concat({', '.join(per_rule)})"
+    return let_sql(_found_sql(text, rules), "found_", f"concat({', '.join(per_rule)})")
 
 
 def scan_sql(text: str, rules: Sequence[Rule] = RULES, notice: str | None = None) -> str:
@@ -152,35 +193,43 @@ def scan_messages_sql(
         "CASE WHEN from_json(part_, 'map<string, variant>') IS NULL THEN "
         f"concat('{{\"type\":\"text\",\"text\":', {json_quote_sql('ps_.sanitized')}, '}}') ELSE {rebuilt} END"
     )
-    scanned_part = let_sql(
-        scan_sql("from_json(part_, 'text STRING').text", rules, notice),
-        "ps_",
-        f"named_struct('findings', ps_.findings, "
-        f"'part', CASE WHEN size(ps_.findings) > 0 THEN {rebuilt} ELSE part_ END)",
+    # The texts of a message are scanned by one and the same expression: its content, or what
+    # its parts hold, null for a part without.
+    is_array = "msg_.is_parts AND from_json(msg_.content, 'array<string>') IS NOT NULL"
+    texts = let_sql(
+        "from_json(msg_.content, 'array<variant>')",
+        "kinds_",
+        "transform(from_json(msg_.content, 'array<string>'), (part_, i_) -> "
+        f"CASE WHEN {is_object} AND {is_string} THEN from_json(part_, 'text STRING').text END)",
     )
+    texts = f"CASE WHEN {is_array} THEN {texts} ELSE array(msg_.content) END"
+    scans = f"transform({texts}, t_ -> CASE WHEN t_ IS NOT NULL THEN {scan_sql('t_', rules, notice)} END)"
     other = (
-        f"named_struct('findings', {NO_FINDINGS}, 'part', "
         "CASE WHEN coalesce(schema_of_variant(get(kinds_, i_)) = 'STRING', "
         "part_ IS NOT NULL AND NOT part_ RLIKE '^([\\\\[{]|-?[0-9.eE+-]+$|true$|false$|null$)') "
         f"THEN {json_quote_sql('part_')} "
-        "ELSE coalesce(part_, 'null') END)"
+        "ELSE coalesce(part_, 'null') END"
+    )
+    part = let_sql(
+        "get(scans_, i_)",
+        "ps_",
+        f"CASE WHEN ps_ IS NULL THEN {other} WHEN size(ps_.findings) > 0 THEN {rebuilt} ELSE part_ END",
+    )
+    parts = let_sql(
+        "from_json(msg_.content, 'array<variant>')",
+        "kinds_",
+        f"transform(from_json(msg_.content, 'array<string>'), (part_, i_) -> {part})",
     )
-    part = f"CASE WHEN {is_object} AND {is_string} THEN {scanned_part} ELSE {other} END"
-    multipart = let_sql(
-        let_sql(
-            "from_json(msg_.content, 'array<variant>')",
-            "kinds_",
-            f"transform(from_json(msg_.content, 'array<string>'), (part_, i_) -> {part})",
-        ),
-        "all_",
-        "named_struct('findings', flatten(transform(all_, a_ -> a_.findings)), 'sanitized', "
-        "CASE WHEN exists(all_, a_ -> size(a_.findings) > 0) "
-        "THEN concat('[', array_join(transform(all_, a_ -> a_.part), ','), ']') ELSE msg_.content END)",
+    together = (
+        f"CASE WHEN NOT ({is_array}) THEN get(scans_, 0).sanitized "
+        f"WHEN exists(scans_, s_ -> size(s_.findings) > 0) THEN concat('[', array_join({parts}, ','), ']') "
+        "ELSE msg_.content END"
     )
+    found = "flatten(transform(filter(scans_, s_ -> s_ IS NOT NULL), s_ -> s_.findings))"
+    scanned = let_sql(scans, "scans_", f"named_struct('findings', {found}, 'sanitized', {together})")
     scanned = (
         f"CASE WHEN NOT {_hinted_by_any_sql('msg_.content', rules)} "
-        f"THEN named_struct('findings', {NO_FINDINGS}, 'sanitized', msg_.content) "
-        f"WHEN msg_.is_parts AND from_json(msg_.content, 'array<string>') IS NOT NULL THEN {multipart} ELSE {scan_sql('msg_.content', rules, notice)} END"
+        f"THEN named_struct('findings', {NO_FINDINGS}, 'sanitized', msg_.content) ELSE {scanned} END"
     )
     one = let_sql(
         scanned,

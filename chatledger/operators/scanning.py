@@ -29,9 +29,12 @@ def scan_findings(
     if len(rules) > RULES_PER_PASS:
         passes = [rules[i : i + RULES_PER_PASS] for i in range(0, len(rules), RULES_PER_PASS)]
         return reduce(DataFrame.union, [scan_findings(df, id_col, text_col, p, notice) for p in passes])
+    # Outer, since a plain explode has the optimizer test the size of the findings by
+    # computing them once more, before an exchange that was to spread this work.
+    found = F.when(S.may_have_secrets(text_col, rules), S.find_secrets(text_col, rules, notice))
     return (
-        df.where(S.may_have_secrets(text_col, rules))
-        .select(id_col, F.explode(S.find_secrets(text_col, rules, notice)).alias("f"))
+        df.select(id_col, F.explode_outer(found).alias("f"))
+        .where("f IS NOT NULL")
         .select(
             id_col,
             F.col("f.rule_id"),
@@ -142,7 +145,7 @@ def high_entropy_candidates(
         F.split(F.col(text_col), f"[{WHITE_SPACE}]+"), lambda t: F.char_length(t) >= min_length // 2
     )
     return (
-        df.select(id_col, F.posexplode(tokens).alias("token_no", "token"))
+        df.select(id_col, F.explode_outer(tokens).alias("token"))
         .where(X.is_high_entropy("token", min_length, min_entropy))
         .select(id_col, "token", X.entropy("token").alias("entropy"))
     )

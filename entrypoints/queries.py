@@ -73,7 +73,7 @@ def block_report(spark, sf):
 
 @query
 def entropy_profile(spark, sf):
-    tokens = I.planted_documents(spark, sf).select("doc_id", F.explode(F.split("text", " ")).alias("token"))
+    tokens = I.planted_documents(spark, sf).select("doc_id", F.explode_outer(F.split("text", " ")).alias("token"))
     profile = scanning.entropy_profile(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
     return rounded(profile, "entropy")
 
