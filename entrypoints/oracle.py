@@ -533,8 +533,32 @@ SELECT sid AS stream_id, seq, line FROM lines"""
 # --- whole log ---------------------------------------------------------------
 
 
-def outcome_ctes(mode: str) -> str:
-    """CTEs ending in ``done``: the outcome rows with budgets off."""
+def guarded(source: str) -> str:
+    """CTEs ending in ``hits(request_id, ok, is_hit, stored_by)``: budgets and a cache for each
+    session, a request at a time; the state holds the session's entries."""
+    today = "CASE WHEN g.day = q.day THEN g.d_used ELSE 0 END"
+    ok = f"NOT (g.s_used + q.est_tokens > {I.SESSION_BUDGET} OR {today} + q.est_tokens > {I.DAILY_BUDGET})"
+    live = f"list_filter(g.entries, lambda e: e.h = q.hash AND q.ms - e.t <= {I.TTL_MS})[1]"
+    charged = f"({ok} AND NOT q.upstream_error AND {live} IS NULL)"
+    pay = f"CASE WHEN {charged} THEN q.est_tokens + q.completion_tokens ELSE 0 END"
+    return f"""
+asked AS (
+  SELECT *, ms // 86400000 AS day, row_number() OVER (PARTITION BY session_id ORDER BY ms, request_id) AS n FROM {source}),
+guard(session_id, n, request_id, ok, is_hit, stored_by, day, s_used, d_used, entries) AS (
+  SELECT DISTINCT session_id, 0::BIGINT, NULL::BIGINT, TRUE, FALSE, NULL::BIGINT, -1::BIGINT, 0::HUGEINT, 0::HUGEINT,
+    []::STRUCT(h VARCHAR, t BIGINT, r BIGINT)[] FROM asked
+  UNION ALL
+  SELECT q.session_id, q.n, q.request_id, {ok}, {ok} AND {live} IS NOT NULL, CASE WHEN {ok} THEN {live}.r END,
+    q.day, g.s_used + {pay}, {today} + {pay},
+    CASE WHEN {charged} THEN list_append(list_filter(g.entries, lambda e: e.h <> q.hash),
+      struct_pack(h := q.hash, t := q.ms, r := q.request_id)) ELSE g.entries END
+  FROM guard g JOIN asked q ON q.session_id = g.session_id AND q.n = g.n + 1),
+hits AS (SELECT request_id, ok, is_hit, stored_by FROM guard WHERE n > 0)"""
+
+
+def outcome_ctes(mode: str, budgets: bool = False) -> str:
+    """CTEs ending in ``done``: the outcome rows."""
+    over = "WHEN NOT h.ok THEN 'budget_blocked'" if budgets else ""
     blocked = "n_findings > 0" if mode == "block" else "FALSE"
     return f"""{LOG}, {PROFILE},
 profile AS (
@@ -548,14 +572,14 @@ early AS (
     WHEN {blocked} THEN 'secret_blocked' END AS stop
   FROM profile p JOIN rated r ON p.request_id = r.request_id),
 open AS (SELECT * FROM early WHERE stop IS NULL),
-{cached('open')},
+{guarded('open') if budgets else cached('open')},
 told AS (
-  SELECT e.*, h.is_hit, coalesce(e.stop, CASE WHEN h.is_hit THEN 'hit' WHEN e.upstream_error THEN 'upstream_error' ELSE 'miss' END) AS outcome,
+  SELECT e.*, h.is_hit, coalesce(e.stop, CASE {over} WHEN h.is_hit THEN 'hit' WHEN e.upstream_error THEN 'upstream_error' ELSE 'miss' END) AS outcome,
     o.est_tokens AS o_prompt, o.completion_tokens AS o_completion
   FROM early e LEFT JOIN hits h ON e.request_id = h.request_id LEFT JOIN open o ON h.stored_by = o.request_id),
 done AS (
   SELECT request_id, ms, client_id, session_id, model, outcome,
-    CASE outcome WHEN 'rate_limited' THEN 429 WHEN 'invalid_json' THEN 400 WHEN 'secret_blocked' THEN 403
+    CASE outcome WHEN 'rate_limited' THEN 429 WHEN 'budget_blocked' THEN 429 WHEN 'invalid_json' THEN 400 WHEN 'secret_blocked' THEN 403
       WHEN 'upstream_error' THEN 502 ELSE 200 END AS status,
     outcome = 'hit' AS is_cache_hit, CASE WHEN outcome = 'hit' THEN 'L1' END AS cache_tier,
     CASE WHEN outcome IN ('rate_limited', 'invalid_json') THEN 0 ELSE n_findings END AS n_findings,
@@ -567,6 +591,7 @@ done AS (
 
 
 ORACLE["request_outcomes"] = f"WITH RECURSIVE {outcome_ctes('redact')} SELECT * FROM done"
+ORACLE["request_outcomes_budgets"] = f"WITH RECURSIVE {outcome_ctes('redact', budgets=True)} SELECT * FROM done"
 ORACLE["request_outcomes_block"] = f"WITH RECURSIVE {outcome_ctes('block')} SELECT * FROM done"
 
 ORACLE["audit_log"] = f"""WITH RECURSIVE {outcome_ctes('redact')}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,9 @@ def scan_files(spark, sf):
     names = F.get(F.array(*map(F.lit, ("page-", ".env-", "_x-", ".github/page-"))), (number % 4).cast("int"))
     place = F.concat(F.lit("d"), number % 50, F.lit("/"), names, number, F.lit(".txt"))
     folder = sources.write_text_files(pages.select(place.alias("path"), F.col("html").alias("text")), "pages")
+    if folder.startswith("file:"):
+        # A link back to the root: a scan that followed it would not end.
+        os.symlink(folder.removeprefix("file:"), folder.removeprefix("file:") + "/loop")
     found = sources.scan_files(spark, folder)
     page = F.regexp_extract("path", r"-(\d+)\.txt$", 1).cast("bigint")
     return rounded(

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chatledger import sources
+from chatledger.sources import files
 from chatledger.operators import scanning
 from chatledger.rules import RULES, Rule, java_regex
 from entrypoints.inputs import SAMPLES
@@ -181,6 +182,56 @@ def test_scan_files_sees_hidden_names(spark, tmp_path):
     assert sorted(r.path.split("/my dir/", 1)[1] for r in rows) == sorted([*names, "bytes"])
 
 
+def test_scan_files_follows_no_links_and_reports_what_it_cannot_read(spark, tmp_path, monkeypatch):
+    root, outside = tmp_path / "tree", tmp_path / "outside"
+    (root / "a").mkdir(parents=True)
+    outside.mkdir()
+    for folder in (root, root / "a", outside):
+        (folder / "f.txt").write_text(f"x {AWS}")
+    os.symlink(root, root / "a" / "loop")
+    os.symlink(outside, root / "out")
+    os.symlink(outside / "f.txt", root / "link.txt")
+    os.mkfifo(root / "pipe")
+    (root / "gone.txt").write_text("x")
+    listed = files.list_files(spark, str(root))
+    assert sorted(r.path.split("/tree/", 1)[1] for r in listed.collect()) == ["a/f.txt", "f.txt", "gone.txt"]
+    monkeypatch.setattr(files, "list_files", lambda *_: sources.tables.checkpointed(listed, "t"))
+    texts = files.read_text_files(spark, str(root))
+    os.remove(root / "gone.txt")
+    rows = {r.path.split("/tree/", 1)[1]: r for r in texts.collect()}
+    assert rows["gone.txt"].text is None and "FileNotFound" in rows["gone.txt"].error and rows["f.txt"].error is None
+    found = sources.scan_files(spark, str(root)).collect()
+    assert sorted((r.path.split("/tree/", 1)[1], r.rule_id is None) for r in found) == [("a/f.txt", False), ("f.txt", False), ("gone.txt", True)]
+
+
+def test_unreadable_folders_and_large_files_are_error_rows(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    (tmp_path / "big").write_text("abcdef")
+    monkeypatch.setattr(files, "MOST_BYTES", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"file:{tmp_path}/big"]), pa.array([None], pa.string())], names=["path", "error"])
+    assert next(files._read([batch])).to_pylist()[0]["error"] == "more than 5 bytes"
+    none = pa.RecordBatch.from_arrays([pa.array([f"file:{tmp_path}/none"])], names=["path"])
+    row = next(files._list([none])).to_pylist()[0]
+    assert row["path"].endswith("/none") and not row["folder"] and "No such file" in row["error"]
+
+
+def test_stores_are_opened_by_their_own_clients(spark, monkeypatch):
+    seen = []
+
+    class Store:
+        @staticmethod
+        def from_uri(uri):
+            seen.append(uri)
+            return None, uri
+
+    monkeypatch.setattr(files.fs, "FileSystem", Store)
+    for uri in ("s3a://b/x", "s3://b/x", "gs://b/x", "hdfs://n/x"):
+        assert files.qualified(spark, uri) == uri
+        files._opened(uri)
+    assert seen == ["s3://b/x", "s3://b/x", "gs://b/x", "hdfs://n/x"]
+
+
 def test_redaction_leaves_no_secret_in_text_parts(spark):
     bodies = [
         f'{{"messages":[{{"role":"u","content":[{{"meta":{{"text":"{AWS}"}},"type":"text","text":"{AWS}"}}]}}]}}',
