@@ -12,7 +12,12 @@ its words that are stop words:
 
 An article inside a menu, sidebar or footer element is part of that.  Inside what is only
 named like one (a page may be wrapped in ``with-sidebar``), a form or something hidden, it
-is an article if it alone has more text than all that is not bad elsewhere.
+is an article if it alone has more text than all that is not bad elsewhere.  Inside an article
+an element named like a side part is one if it is mostly links, holds controls of a form or
+has no block of a sentence's length; sections and tables go by no such name.
+
+Stop words are asked only where they are frequent in the page's longest blocks, and of
+blocks in Latin script; elsewhere length and links decide.
 
 The second pass gives short blocks the label of their nearest decided neighbours in the
 same surroundings: good if one of the two is good and nearer or as near, and in an
@@ -21,6 +26,8 @@ article without any decided block.  Blocks labelled good make up the text, one a
 ``<br>`` is white space; character references are decoded once; script, style, markup and
 comments in the markup are never text.  Broken markup does not fail: unclosed elements
 end with what holds them, and a tag that never ends is dropped.  Null html has no text.
+Every row is judged on its own, repeated ones too; an empty table gives none.  Time grows in
+proportion to a page's length, however deep it nests.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -40,7 +48,7 @@ BLOCK_TAGS = frozenset(
     "p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object select option button head".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object select option button head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE_TAGS = frozenset("nav footer aside dialog menu search".split())
 FORM_TAGS = frozenset(("form", "fieldset"))
@@ -65,6 +73,8 @@ STOP_WORDS = frozenset(
 SHORT_CHARS, LONG_CHARS = 70, 200
 MOST_LINKS = 0.33
 LOW_STOPS, HIGH_STOPS = 0.10, 0.20
+#: Blocks whose words tell whether the stop words are of the page's language.
+LONGEST = 10
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -75,14 +85,29 @@ _MARK = re.compile(
 _NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[a-z]+")
+#: Letters outside Latin script, and characters of Chinese, Japanese and Korean.
+_OTHER = re.compile(r"[^\W\d_\u0000-\u024F\u1E00-\u1EFF]+")
+_WIDE = re.compile(r"[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF]+")
 #: Whole names of comment sections; ``comments-open``, ``commentary`` and ``discussion`` are none.
 _COMMENTS = re.compile(
     r"(?:(?:article|blog|facebook|fb|post|reader|user)[-_])?comments?(?:[-_]?(?:area|block|body|box|container|content|form|item|list|respond"
     r"|section|text|thread|tree|wrap|wrapper|\d+))?|disqus(?:[-_]thread)?|respond|reply|replies"
 )
 
-#: ``LIKELY`` is at the side by name, form or being hidden, and ``NESTED`` an article in that.
-NEITHER, ARTICLE, NESTED, LIKELY, SIDE, COMMENT = range(6)
+#: Beginnings of names that mean a side part also inside an article, where others, such as
+#: ``related-work``, ``social-history`` or ``notice-of-motion``, may name a part of its subject.
+STRONG_STARTS = (
+    "advert", "banner", "breadcrumb", "consent", "cookie", "gdpr", "login", "masthead", "modal", "navbar", "navigation",
+    "newsletter", "paginat", "popup", "promo", "sidebar", "signup", "sponsor", "subscri", "toolbar", "widget",
+)
+STRONG_WORDS = frozenset("ad ads adv nav skip".split())
+#: Elements of an article that are named after what they are about.
+TITLED_TAGS = frozenset(("section", "table", "thead", "tbody", "tr", "td", "th", *HEADINGS))
+CONTROLS = frozenset("input button select textarea form".split())
+
+#: ``LIKELY`` is at the side by name, form or being hidden, ``NESTED`` an article in that, and
+#: ``DOUBT`` in an article but named like a side part.
+NEITHER, ARTICLE, NESTED, LIKELY, SIDE, COMMENT, DOUBT = range(7)
 
 
 @dataclass
@@ -107,7 +132,7 @@ def _place(tag: str, attributes: str, inside: int) -> int:
     names = [re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")).lower() for k in ("class", "id")]
     words = _PART.findall(" ".join(names))
     # A section of an article has its id from its title.
-    tokens = names[0].split() + ([] if tag == "section" and inside in (ARTICLE, NESTED) else names[1].split())
+    tokens = names[0].split() + ([] if tag == "section" and inside in (ARTICLE, NESTED, DOUBT) else names[1].split())
     if inside == COMMENT or (tag not in HEADINGS and any(map(_COMMENTS.fullmatch, tokens))):
         return COMMENT if tag not in ("body", "html", "main") else inside
     if tag == "main":
@@ -122,7 +147,14 @@ def _place(tag: str, attributes: str, inside: int) -> int:
     if inside == LIKELY or tag in FORM_TAGS or hidden:
         return LIKELY
     if tag == "header":
-        return inside if inside in (ARTICLE, NESTED) else LIKELY
+        return inside if inside in (ARTICLE, NESTED, DOUBT) else LIKELY
+    if inside in (ARTICLE, NESTED, DOUBT):
+        # The first part of a whole name counts; an id of a section comes from its title.
+        firsts = [t.replace("_", "-").split("-")[0] for t in names[0].split() + ([] if tag in TITLED_TAGS else names[1].split())]
+        if any(w in STRONG_WORDS or w.startswith(STRONG_STARTS) for w in firsts):
+            return LIKELY
+        named = any(w in SIDE_WORDS or w.startswith(SIDE_STARTS) for w in firsts)
+        return DOUBT if inside == ARTICLE and named and tag not in TITLED_TAGS else inside
     if tag not in HEADINGS and any(w in SIDE_WORDS or w.startswith(SIDE_STARTS) for w in words):
         return LIKELY
     if inside == NEITHER and (found.get("role") == "main" or ARTICLE_WORDS & set(words)):
@@ -134,6 +166,8 @@ def blocks(html: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", NEITHER, 0)]
+    opened: dict[str, int] = {}
+    controls: set[int] = set()
     links = nested = 0
     current = Block(NEITHER, False)
 
@@ -146,15 +180,30 @@ def blocks(html: str) -> list[Block]:
         nonlocal current
         if current.parts:
             out.append(current)
-        current = Block(stack[-1][1], heading, stack[-1][2])
+            current = Block(stack[-1][1], heading, stack[-1][2])
+        else:
+            _, current.place, current.number = stack[-1]
+            current.heading = heading
 
     def enter(tag: str, place: int) -> None:
         nonlocal nested
         _, around, number = stack[-1]
-        if place == NESTED != around:
+        if place in (NESTED, DOUBT) and place != around:
             nested += 1
             number = nested
         stack.append((tag, place, number))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    def close(tag: str) -> None:
+        # Only what is open is looked for, so that every element is passed once.
+        if opened.get(tag):
+            while leave() != tag:
+                pass
 
     at = 0
     while True:
@@ -170,6 +219,8 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         closing = bool(m[1] or m[4])
+        if tag in CONTROLS and stack[-1][1] == DOUBT:
+            controls.add(stack[-1][2])
         if tag in RAW_TAGS:
             # The raw element's content is passed over; a head may lack its end tag.
             if not closing and not (m[3] or "").endswith("/"):
@@ -192,41 +243,68 @@ def blocks(html: str) -> list[Block]:
             if not closing and m[3] and _place(tag, m[3], stack[-1][1]) != stack[-1][1]:
                 enter(tag, _place(tag, m[3], stack[-1][1]))
                 cut()
-            elif closing and any(t == tag for t, *_ in stack):
-                _close(stack, tag)
+            elif closing and opened.get(tag):
+                close(tag)
                 cut()
             continue
         links = 0
         if closing:
-            _close(stack, tag)
+            close(tag)
             cut()
         else:
             if tag in ("p", *HEADINGS) or (tag == "li" and stack[-1][0] == "p"):
                 # A paragraph ends where the next one or a heading begins.
                 if stack[-1][0] == "p" or (tag in HEADINGS and stack[-1][0] in HEADINGS):
-                    stack.pop()
+                    leave()
             elif stack[-1][0] == "p":
-                stack.pop()
+                leave()
             if tag not in VOID_TAGS:
                 enter(tag, _place(tag, m[3] or m[6] or "", stack[-1][1]))
             cut(tag in HEADINGS)
     cut()
     for b in out:
         b.text = _joined(b.parts)
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _settle(out, controls)
+    return out
 
 
-def _close(stack: list[tuple[str, int, int]], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
+def _settle(found: list[Block], controls: set[int]) -> None:
+    """A part of an article named like a side part is one if it is mostly links, or has controls
+    of a form, or no sentence; otherwise it belongs to the article."""
+    parts: dict[int, list[Block]] = {}
+    for b in found:
+        if b.place == DOUBT:
+            parts.setdefault(b.number, []).append(b)
+    for number, part in parts.items():
+        size, linked = sum(len(b.text) for b in part), sum(len(_joined(b.linked)) for b in part)
+        side = number in controls or linked > MOST_LINKS * size or all(len(b.text) < SHORT_CHARS for b in part)
+        for b in part:
+            b.place = SIDE if side else ARTICLE
 
 
 def _joined(parts: list[str]) -> str:
     return " ".join(unescape("".join(parts)).split())
 
 
+def _has_stops(found: list[Block]) -> bool:
+    """Whether the stop words are of the page's language: they are frequent in its longest blocks."""
+    longest = sorted((b.text for b in found if b.place not in (SIDE, COMMENT)), key=len, reverse=True)[:LONGEST]
+    counts = [_stops(t) for t in longest]
+    return sum(s for s, _ in counts) >= LOW_STOPS * max(1, sum(n for _, n in counts))
+
+
+def _is_latin(text: str) -> bool:
+    others = 0 if text.isascii() else sum(map(len, _OTHER.findall(text)))
+    return not others or 2 * others <= sum(map(len, _WORD.findall(text)))
+
+
+def _measure(text: str) -> int:
+    """Length in characters of an alphabet: those of East Asian scripts stand for several."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(map(len, _WIDE.findall(text)))
+
+
+@lru_cache(64)
 def _stops(text: str) -> tuple[int, int]:
     words = _WORD.findall(text.lower())
     return sum(w in STOP_WORDS for w in words), len(words)
@@ -235,8 +313,10 @@ def _stops(text: str) -> tuple[int, int]:
 def _label(block: Block, has_article: bool, has_stops: bool) -> str:
     if block.place in (SIDE, LIKELY, COMMENT) or (has_article and block.place != ARTICLE):
         return "bad"
-    size = len(block.text)
-    links = len(_joined(block.linked)) / size
+    # Stop words say nothing about a block in another script.
+    has_stops = has_stops and _is_latin(block.text)
+    size = _measure(block.text)
+    links = _measure(_joined(block.linked)) / size
     if links > MOST_LINKS:
         if block.place != ARTICLE:
             return "bad"
@@ -270,7 +350,7 @@ def _has_article(found: list[Block], has_stops: bool) -> bool:
 
 def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
-    has_stops = any(w in STOP_WORDS for b in found for w in _WORD.findall(b.text.lower()))
+    has_stops = _has_stops(found)
     has_article = _has_article(found, has_stops)
     for b in found:
         b.label = _label(b, has_article, has_stops)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -223,3 +224,71 @@ def test_reader_names_what_is_wrong(spark):
     assert {r.path for r in got if r.error} == set(cases) - {"good", "skip", "empty"}
     with pytest.raises(Exception, match="cut"):
         warc.read_archives(table.where("path = 'cut'")).collect()
+
+
+PROSE = {
+    "en": "the people of the town met in front of the hall and it was a long evening for all of them",
+    "de": "die Leute der Stadt waren an dem Abend in dem Saal und das war für alle ein schöner Tag",
+    "pl": "wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem żeby wspólnie świętować rocznicę szkoły",
+    "ru": "вчера вечером жители города собрались перед ратушей чтобы вместе отпраздновать годовщину школы",
+    "zh": "昨天晚上市民们聚集在市政厅前一起庆祝音乐学校成立周年他们唱歌跳舞直到深夜才回家休息第二天大家又继续工作",
+}
+MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/about'>About us and the team of the site</a></li></ul></nav>"
+FOOT = "<footer><p>All of the rights are with the owners of this site, and that is that for the year.</p></footer>"
+
+
+def paragraph(rng, language):
+    words = PROSE[language].split() if language != "zh" else [PROSE[language]]
+    return " ".join(rng.choice(words) for _ in range(40)) + "." if language != "zh" else PROSE["zh"] * 3 + str(rng.randrange(1000))
+
+
+@pytest.mark.parametrize("language", list(PROSE))
+def test_generated_pages_give_back_their_main_text(language):
+    rng = random.Random(language)
+    for _ in range(25):
+        wanted = [paragraph(rng, language) for _ in range(rng.randrange(2, 6))]
+        main = ""
+        for text in wanted:
+            frame = rng.choice(["<p>{}</p>", "<div><p>{}</p></div>", "<section id='related-work'><p>{}</p></section>"])
+            main += frame.format(text) + rng.choice(["", "<script>var the = 'of the and';</script>", "<!-- the of and -->"])
+        holder = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='content'>{}</div>"])
+        if holder == "<div>{}</div>":
+            main = main.replace(" id='related-work'", "")
+        aside = rng.choice(["", "<aside><p>" + paragraph(rng, "en") + "</p></aside>", "<div class='sidebar'><a href='x'>More of it</a></div>"])
+        page = f"<html><head><title>t</title></head><body>{MENU}{holder.format(main)}{aside}{FOOT}</body></html>"
+        assert html_extract.main_text(page) == "\n".join(wanted), page
+
+
+@pytest.mark.parametrize(
+    "opened", ["section id=related-work", "section id=social-history", "section id=recommendations", "section id=sharing-economy",
+               "div class=notice-of-motion", "div class=form", "table class=header-table"],
+)
+def test_parts_of_an_article_named_like_side_parts_stay(opened):
+    text = (PROSE["en"] + " ") * 2 + "."
+    tag = opened.split()[0]
+    inner = f"<tr><td>{text}</td></tr>" if tag == "table" else f"<p>{text}</p>"
+    page = f"<body>{MENU}<article><p>{text}</p><{opened}>{inner}</{tag}></article></body>"
+    assert html_extract.main_text(page) == f"{text}\n{text}"
+
+
+def test_side_parts_of_an_article_go():
+    text = (PROSE["en"] + " ") * 2 + "."
+    links = "<div class='related-posts'><a href=a>One more story about it</a><a href=b>Two</a></div>"
+    mail = "<div class=newsletter>Get the best of our news in a mail every day of the week, for free and for all.</div>"
+    form = f"<div class=share><p>{text}</p><input name=q></div>"
+    page = f"<article><p>{text}</p>{links}{mail}{form}<section class='advert'><p>{text}</p></section></article>"
+    assert html_extract.main_text(page) == text
+
+
+def test_formulas_stay_and_deep_pages_take_linear_time():
+    formula = "<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math>"
+    page = f"<article><p>The sum {formula} is the answer to all of it, and that was that for the day in the end.</p></article>"
+    assert "The sum x+1 is" in html_extract.main_text(page)
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_extract.main_text("<div>" * n + "</b>" * n + "x")
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * seconds(10_000)
