@@ -42,7 +42,7 @@ ORDERS = (1, 2, 3)
 #: Bits of the hashes of each order that are zero, and not sent.
 SPARE = (0, 8, 8)
 #: A block is closed when its texts reach so many bytes; larger ones repeat more n-grams.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: n-grams that a bucket gets, about.
 BUCKET_KEYS = 1 << 20
 #: One of so many training documents is deleted to learn the weights.
