@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chatledger.sources.tables import checkpointed, is_scan
+from chatledger.sources.tables import checkpointed, forget, is_scan
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Where a row stands: its partition, its place in it, whether its key is the first of the
@@ -63,7 +63,9 @@ def in_key_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts
     by = key_order(keys, order)
     written = df if is_scan(df) else checkpointed(df, "in-key-order")
     ranged = written.repartitionByRange(parts, *by) if parts else written.repartitionByRange(*by)
-    return ranged.sortWithinPartitions(*by)
+    ordered = ranged.sortWithinPartitions(*by)
+    ordered.written_path = None if written is df else written.written_path
+    return ordered
 
 
 def ordered_pass(
@@ -73,7 +75,8 @@ def ordered_pass(
     added: str,
     make: Callable[[], Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]]],
 ) -> DataFrame:
-    """One pass over sorted partitions, its result written.
+    """One pass over sorted partitions, its result written; what ``in_key_order`` wrote for
+    it is deleted.
 
     ``make()`` gives a function of a batch and its run starts that returns the ``added``
     columns; it is called once for each partition and may keep state.  The columns
@@ -111,7 +114,9 @@ def ordered_pass(
         if waiting is not None:
             yield placed(*waiting, True)
 
-    return checkpointed(rows.mapInArrow(run, schema), "ordered-pass")
+    result = checkpointed(rows.mapInArrow(run, schema), "ordered-pass")
+    forget(rows)
+    return result
 
 
 def _numbers(column: pa.Array) -> np.ndarray:

@@ -26,10 +26,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a stage boundary that
-    outlives executors and is computed once however often it is read."""
+    outlives executors and is computed once however often it is read.  ``forget`` deletes
+    it when nothing reads it any more."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`checkpointed` wrote for a frame; other frames are left alone."""
+    path = getattr(df, "written_path", None)
+    if path:
+        spark = df.sparkSession
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
 
 
 def is_scan(df: DataFrame) -> bool:
