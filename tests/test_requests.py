@@ -42,7 +42,7 @@ def test_key_order_does_not_matter(spark):
 @pytest.mark.parametrize(
     "temperature, text",
     [("absent", "0.7"), (None, "0"), (0, "0"), (1, "1"), (1.0, "1"), (0.704, "0.7"), (0.705, "0.71"), (0.125, "0.13"), (1.5, "1.5")]
-    + [("hot", "null"), ("0.5", "0.5"), (True, "1"), ("", "0"), ([], "null"), ({"a": 1}, "null"), ("1d", "null"), (1e999, "null")],
+    + [("hot", "null"), ("0.5", "0.5"), (True, "1"), ("", "0"), ([], "null"), ({"a": 1}, "null"), ("1d", "null")],
 )
 def test_temperature(spark, temperature, text):
     body = {"messages": []} if temperature == "absent" else {"messages": [], "temperature": temperature}
