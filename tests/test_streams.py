@@ -189,8 +189,8 @@ def test_finished_and_silent_responses_leave_the_state(spark, tmp_path):
     batches = [
         [line(1, 1, 0, "HEAD"), line(2, 1, 0, "whole"), ended(2, 2, 1), line(4, 1, 2, "slow")],
         [line(3, 1, 2 * DAY, "x"), ended(2, 3, 3), line(4, 2, 2 * DAY, "er"), ended(4, 3, 2 * DAY)],
-        [line(3, 2, 2 * DAY + 1, "y"), ended(1, 9, 5)],
-        [ended(3, 3, 4 * DAY)],
+        [line(3, 2, 2 * DAY + 1, "y")],
+        [ended(3, 3, 4 * DAY), ended(1, 9, 5)],
         [line(5, 1, 4 * DAY + 1, "z")],
     ]
     schema = "stream_id long, seq long, line string, ms long"
