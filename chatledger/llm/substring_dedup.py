@@ -4,20 +4,28 @@
 ``[^\\x20\\x09-\\x0D]+``) form one class.  Classes get MinHash signatures over their five-word
 shingles; classes that agree in one of ``BANDS`` bands of ``ROWS`` minima meet, and the exact
 Jaccard similarity of their shingles decides.  Two paragraphs of similarity 0.75 miss
-each other with probability (1 - 0.75**2)**12 = 5e-5.  Linked classes are clustered by
-components.
-
-A passage may also be copied into the middle of a paragraph, or across lines.  Texts of
-``LONG_WORDS`` and more are therefore also cut where the hash of two words is the least
-among its neighbours, which copies share wherever they stand, and equal *segments* are
-found by their hash; runs of repeated segments of at least ``RUN_WORDS`` words are passages.
-
-In each cluster the first occurrence (smallest doc_id, then position) is kept.  Segments
-that lie in a paragraph which is not kept are left out, and those that reach into one are
-never the kept copy, so that what is removed always stays somewhere.
+each other with probability (1 - 0.75**2)**12 = 5e-5.  A band's classes are first compared
+with its smallest one, each such pair once whatever the bands it shares; only bands where
+that leaves a class unlinked are compared in full.  Linked classes are clustered by components.
+
+A passage may also be copied into the middle of a paragraph, or across lines.  Of every
+``REACH`` successive runs of ``RUN_WORDS`` words the one of least hash is an *anchor*, in texts
+of any length.  A passage of ``RUN_WORDS + REACH - 1`` words and more has the same anchors
+wherever it stands; shorter ones, down to ``RUN_WORDS`` words, may have.  An anchor that
+several documents hold is compared with its first occurrence word by word and widened
+on both sides as far as the words agree; widened anchors that overlap and have their
+source in one place are one passage.  Sources of one document that overlap are
+one cluster, with that stretch as its kept copy.  What a document repeats
+of itself within its lines is left.
+
+In each cluster the first occurrence (smallest doc_id, then position) is kept.  Words in
+lines that are not kept belong to no anchor and no widening, and a source always lies in a
+document of smaller doc_id, so that every word removed stays somewhere.  A kept stretch
+may hold words that are themselves removed as a copy from an earlier document.
 Paragraphs of fewer than ``min_words`` words are not judged: such lines repeat by chance.
 Null texts and texts without words have no passages; rows with a null doc_id are left
-out; rows that repeat a doc_id hold the occurrences of one document.
+out; rows that repeat a doc_id hold the occurrences of one document.  Ties of hash go to the
+leftmost run.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +39,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatledger.llm.common import (
-    SHINGLE_WORDS,
     Scratch,
     components,
     min_hashes,
@@ -44,19 +51,18 @@ from chatledger.llm.common import (
 
 BANDS, ROWS = 12, 2
 MIN_WORDS = 5
-#: Texts from this length on are cut into segments.
-LONG_WORDS = 50
-#: A cut is the least of this many neighbours on both sides.
-REACH = 4
-RUN_WORDS = 8
+#: Words of an anchor, and so of the shortest passage inside lines.
+RUN_WORDS = 16
+#: One of this many successive anchors is taken.
+REACH = 25
 #: Words of lines whose signatures are worked out together.
 TOGETHER = 4096
 #: Members of one side of a comparison within a task.
 CHUNK = 512
 
 
-def _line_bands(lines: list[list[bytes]]) -> Iterator[np.ndarray]:
-    """The bands of every line; lines are taken together up to ``TOGETHER`` words."""
+def _line_bands(lines: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The bands of lines of word hashes; lines are taken together up to ``TOGETHER`` words."""
     at = 0
     while at < len(lines):
         to, size = at, 0
@@ -64,9 +70,9 @@ def _line_bands(lines: list[list[bytes]]) -> Iterator[np.ndarray]:
             size += len(lines[to])
             to += 1
         if to == at + 1:
-            minima = min_hashes(shingle_hashes(word_hashes(lines[at])), BANDS * ROWS, seed=23)[:, None]
+            minima = min_hashes(shingle_hashes(lines[at]), BANDS * ROWS, seed=23)[:, None]
         else:
-            parts = [shingle_hashes(h) for h in np.split(word_hashes([w for ws in lines[at:to] for w in ws]), np.cumsum([len(ws) for ws in lines[at : to - 1]]))]
+            parts = [shingle_hashes(h) for h in lines[at:to]]
             starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
             products = np.concatenate(parts)[None, :] * odd_numbers(BANDS * ROWS, 23)[:, None]
             minima = np.minimum.reduceat(products, starts, axis=1)
@@ -85,71 +91,69 @@ def _lines(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
         at += len(words)
 
 
-def _paragraphs(min_words: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))]
-    )
+def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the anchors of a text: the leftmost least of every ``REACH`` runs."""
+    if len(words) < RUN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = shingle_hashes(words, RUN_WORDS)
+    reach = min(REACH, len(runs))
+    least = np.lib.stride_tricks.sliding_window_view(runs, reach).argmin(axis=1)
+    starts = np.unique(least + np.arange(len(least)))
+    return starts, runs[starts].view(np.int64)
+
+
+def _cut(min_words: int):
+    """Lines of texts with their class and bands, and anchors (``class`` null) with their hash."""
+    line = [("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("anchor", pa.int64())]
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *line])
+
+    def made(rows: dict[str, list], found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if rows["doc_id"]:
+            yield pa.RecordBatch.from_pydict({**rows, "anchor": pa.nulls(len(rows["doc_id"]), pa.int64())}, schema)
+        if found:
+            starts = np.concatenate([f[1] for f in found])
+            ids = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+            nulls = [pa.nulls(len(starts), t) for t in (pa.binary(), pa.list_(pa.int64()))]
+            arrays = [pa.array(ids, pa.int64()), pa.array(starts), pa.array(starts + RUN_WORDS), *nulls]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([f[2] for f in found]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "start", "end", "class", "bands")
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in schema}
+            rows: dict[str, list] = {n: [] for n in names}
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                lines = [x for x in _lines(text.as_py()) if x[1] - x[0] >= min_words]
-                for (start, end, words), bands in zip(lines, _line_bands([x[2] for x in lines])):
-                    for name, value in zip(rows, (doc, start, end, xxhash.xxh3_128_digest(b" ".join(words)), bands)):
+                every = list(_lines(text.as_py()))
+                hashes = word_hashes([w for x in every for w in x[2]])
+                lines = [x for x in every if x[1] - x[0] >= min_words]
+                for (start, end, words), bands in zip(lines, _line_bands([hashes[x[0] : x[1]] for x in lines])):
+                    for name, value in zip(names, (doc, start, end, xxhash.xxh3_128_digest(b" ".join(words)), bands)):
                         rows[name].append(value)
-                if len(rows["doc_id"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(rows, schema)
-                    rows = {f.name: [] for f in schema}
-            yield pa.RecordBatch.from_pydict(rows, schema)
+                found.append((doc, *_anchors(hashes)))
+                if len(rows["doc_id"]) > 20_000 or sum(len(f[1]) for f in found[-64:]) > 200_000:
+                    yield from made(rows, found)
+                    rows, found = {n: [] for n in names}, []
+            yield from made(rows, found)
 
     return run
 
 
-def _segment_rows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the segments of a text, whatever its lines."""
-    if len(words) < LONG_WORDS:
-        return (np.zeros(0, np.int64),) * 3
-    pairs = shingle_hashes(words, 2)
-    padded = np.concatenate([np.full(REACH, ~np.uint64(0)), pairs, np.full(REACH, ~np.uint64(0))])
-    least = np.min(np.stack([padded[i : i + len(pairs)] for i in range(2 * REACH + 1)]), axis=0)
-    cuts = np.flatnonzero(pairs == least)
-    starts, ends = cuts[:-1], cuts[1:]
-    if not len(starts):
-        return (np.zeros(0, np.int64),) * 3
-    # Sum of word hashes, each times a factor of its place in the segment.
-    sizes = ends - starts
-    first, offsets = np.repeat(starts, sizes), np.cumsum(sizes) - sizes
-    place = np.arange(len(first)) - np.repeat(offsets, sizes)
-    weighted = mixed(words[first + place] + odd_numbers(64, 41)[place % 64] * (place // 64 + 1).astype(np.uint64))
-    sums = np.add.reduceat(weighted, offsets)
-    return starts, ends, mixed(sums).view(np.int64)
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("segment", pa.int64())])
-    for batch in batches:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            found = _segment_rows(word_hashes(space_words(text.as_py())))
-            for column, values in zip(columns, (np.full(len(found[0]), doc), *found)):
-                column.append(values)
-        arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
 def _class_texts(min_words: int):
-    schema = pa.schema([("class", pa.binary()), ("words", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``class, words`` of every paragraph, equal ones of a batch once."""
+        """``node, words`` of the classes that have their first place in a text."""
         for batch in batches:
-            rows: dict[bytes, bytes] = {}
-            for text in batch.column(1).cast(pa.binary()):
+            rows: dict[str, list] = {"node": [], "words": []}
+            for text, places in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+                wanted = {p["start"]: p for p in places}
                 for start, end, words in _lines(text.as_py()):
-                    if end - start >= min_words:
-                        rows[xxhash.xxh3_128_digest(b" ".join(words))] = b" ".join(words)
-            yield pa.RecordBatch.from_pydict({"class": list(rows), "words": list(rows.values())}, schema)
+                    if end - start >= min_words and (place := wanted.get(start)):
+                        line = b" ".join(words)
+                        if xxhash.xxh3_128_digest(line) == place["class"]:
+                            rows["node"].append(place["node"])
+                            rows["words"].append(line)
+            yield pa.RecordBatch.from_pydict(rows, schema)
 
     return run
 
@@ -218,94 +222,225 @@ def _links(percent: int):
     return run
 
 
-def _paragraph_clusters(docs: DataFrame, scratch: Scratch, percent: int, min_words: int) -> DataFrame:
-    """``doc_id, start, end, cluster``: occurrences of paragraphs, ``cluster`` null for
-    those whose class is linked with no other."""
-    schema = "doc_id long, start long, end long, class binary, bands array<long>"
-    spots = scratch.write(docs.mapInArrow(_paragraphs(min_words), schema), "paragraphs")
-    classes = spots.groupBy("class").agg(F.first("bands").alias("bands"))
-    classes = scratch.write(classes.select("class", F.monotonically_increasing_id().alias("node"), "bands"), "classes")
+def _compared(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links within blocks ``band, a, b, side, node``."""
+    blocks = blocks.join(texts, "node").select("band", "a", "b", "side", "node", "words")
+    # Blocks are small and many: they are sorted side by side and taken a batch at a time.
+    blocks = blocks.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
+    return blocks.mapInArrow(_links(percent), "src long, dst long").distinct()
+
+
+def _class_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int, min_words: int) -> DataFrame:
+    """Links ``src, dst`` between nodes of ``classes(class, node, place, bands)``."""
     members = classes.select("node", F.explode("bands").alias("band"))
+    meets = scratch.write(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "meets")
+    members = scratch.write(members.join(meets.select("band"), "band"), "met")
+    scratch.drop(meets)
     groups = members.groupBy("band").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("xor_"), F.sum("node").alias("sum_")
+        F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("xor_"), F.sum("node").alias("sum_")
     )
     # Bands in which the same classes meet are compared once.
-    groups = groups.where("n > 1").groupBy("n", "xor_", "sum_").agg(F.min("band").alias("band"))
-    groups = scratch.write(groups.select("band", F.ceil(F.col("n") / CHUNK).alias("parts")), "bands")
-    members = scratch.write(members.join(groups, "band"), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "class"), "node")
-    texts = docs.mapInArrow(_class_texts(min_words), "class binary, words binary")
-    texts = texts.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
-    texts = scratch.write(texts.join(wanted, "class").select("node", "words"), "texts")
+    groups = groups.groupBy("n", "leader", "xor_", "sum_").agg(F.min("band").alias("band"))
+    groups = scratch.write(groups.select("band", "n", "leader"), "bands")
+    met, members = members, scratch.write(members.join(groups, "band"), "members")
+    scratch.drop(met, groups)
+    wanted = members.select("node").distinct().join(classes, "node")
+    wanted = wanted.select(F.col("place.doc_id").alias("doc_id"), F.struct(F.col("place.start").alias("start"), "class", "node").alias("line"))
+    wanted = scratch.write(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "wanted")
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_class_texts(min_words), "node long, words binary")
+    texts = scratch.write(texts.groupBy("node").agg(F.first("words").alias("words")), "texts")
+
+    pairs = members.where("node <> leader").select("leader", "node").distinct()
+    pairs = pairs.withColumn("a", F.expr(f"pmod(xxhash64(node), 1 + cast(floor(count(*) over (partition by leader) / {CHUNK}) as long))"))
+    pairs = scratch.write(pairs, "pairs")
+    heads = pairs.select("leader", "a").distinct().withColumn("node", F.col("leader")).withColumn("side", F.lit(0))
+    stars = heads.unionByName(pairs.withColumn("side", F.lit(1)))
+    stars = stars.select(F.col("leader").alias("band"), "a", F.lit(0).cast("long").alias("b"), "side", "node")
+    near = scratch.write(_compared(stars, texts, percent), "stars")
+    # Only where a class is not linked with its band's first are the others compared as well.
+    linked = near.select(F.col("src").alias("leader"), F.col("dst").alias("node"), F.lit(True).alias("linked"))
+    rest = members.where("n > 2 AND node <> leader").join(linked, ["leader", "node"], "left")
+    open_ = rest.groupBy("band").agg(F.count("*").alias("n_"), F.count("linked").alias("linked_")).where("linked_ < n_")
+    open_ = open_.select("band", F.ceil(F.col("n_") / CHUNK).alias("parts"))
+    rest = scratch.write(rest.select("band", "node").join(open_, "band"), "rest")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     dealt = dealt.select(
         "band", "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    blocks = dealt.join(texts, "node").select("band", "a", "b", "side", "node", "words")
-    # Blocks are small and many: they are sorted side by side and taken a batch at a time.
-    blocks = blocks.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
-    edges = blocks.mapInArrow(_links(percent), "src long, dst long")
-    found = components(scratch.write(edges.distinct(), "links"), scratch)
-    named = classes.select("class", "node").join(found, "node", "left")
-    names = named.groupBy(F.coalesce("component", "node").alias("of_")).agg(F.hex(F.min("class")).alias("cluster"))
-    named = named.join(names, F.coalesce("component", "node") == F.col("of_")).select("class", "cluster")
-    named = scratch.write(named, "named")
-    return spots.drop("bands").join(named, "class").select("doc_id", "start", "end", "cluster")
-
-
-def _repeated(spots: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Occurrences whose ``key`` occurs more than once, with ``copies`` and ``kept``; those
-    that are ``cut_`` are never kept, and a key with no others is left out."""
-    place = F.struct("doc_id", "start")
-    free = F.when(~F.col("cut_"), place) if "cut_" in spots.columns else place
-    groups = spots.groupBy(key).agg(F.count("*").alias("copies"), F.min(free).alias("first_"))
-    groups = scratch.write(groups.where("copies > 1 AND first_ IS NOT NULL"), "repeated")
-    found = spots.join(groups, key)
-    return found.withColumn("kept", place == F.col("first_")).drop("first_")
-
-
-def _beside_removed(pieces: DataFrame, lines: DataFrame) -> DataFrame:
-    """Segments that do not lie in a removed line; ``cut_`` tells whether they reach into one."""
-    gone = lines.where("NOT kept").select("doc_id", "start", "end", F.lit(None).cast("long").alias("segment"), F.col("start").alias("at_"), F.lit(True).alias("line_"))
-    rows = pieces.select("doc_id", "start", "end", "segment", F.col("end").alias("at_"), F.lit(False).alias("line_")).union(gone)
-    # Lines that begin before a segment's end come before it.
-    before = Window.partitionBy("doc_id").orderBy("at_", "line_", "start").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("to_", F.max(F.when(F.col("line_"), F.col("end"))).over(before))
-    rows = rows.withColumn("from_", F.last(F.when(F.col("line_"), F.col("start")), ignorenulls=True).over(before))
-    rows = rows.where(F.expr("NOT line_ AND NOT coalesce(from_ <= start AND to_ >= end, false)"))
-    return rows.select("doc_id", "start", "end", "segment", F.expr("coalesce(to_ > start, false)").alias("cut_"))
+    links = scratch.write(near.union(_compared(dealt, texts, percent)), "links")
+    scratch.drop(members, wanted, texts, pairs, near, rest)
+    return links
+
+
+def _repeated_lines(docs: DataFrame, spots: DataFrame, scratch: Scratch, percent: int, min_words: int) -> DataFrame:
+    """``doc_id, start, end, cluster_id, copies, kept``: occurrences of paragraphs that repeat."""
+    spots = spots.where("class IS NOT NULL")
+    classes = spots.groupBy("class").agg(
+        F.first("bands").alias("bands"), F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("place")
+    )
+    classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    links = _class_links(docs, classes, scratch, percent, min_words)
+    found = components(links, scratch)
+    named = classes.select("class", "node", "n", "place").join(found, "node", "left").where("n > 1 OR component IS NOT NULL")
+    named = scratch.write(named.withColumn("of_", F.coalesce("component", "node")), "named")
+    scratch.drop(classes, links)
+    names = named.groupBy("of_").agg(
+        F.hex(F.min("class")).alias("cluster_id"), F.sum("n").alias("copies"), F.min("place").alias("first_")
+    )
+    names = scratch.write(named.select("class", "of_").join(names.where("copies > 1"), "of_").drop("of_"), "names")
+    lines = spots.select("doc_id", "start", "end", "class").join(names, "class")
+    kept = F.struct("doc_id", "start") == F.col("first_")
+    lines = scratch.write(lines.select("doc_id", "start", "end", "cluster_id", "copies", kept.alias("kept")), "lines")
+    scratch.drop(named, names)
+    return lines
+
+
+def _free_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors outside the lines that are not kept, with the words ``low`` to ``high`` around
+    them that are free as well."""
+    names = ("doc_id", "start", "anchor", "low", "high")
+    for batch in batches:
+        rows: dict[str, list] = {n: [] for n in names}
+        for doc, places, gone in zip(*(c.to_pylist() for c in batch.columns)):
+            gone = sorted((g["start"], g["end"]) for g in gone or ())
+            begins = np.array([g[0] for g in gone], np.int64)
+            ends = np.maximum.accumulate(np.array([g[1] for g in gone], np.int64)) if gone else begins
+            for place in places:
+                start = place["start"]
+                # Lines that begin before the anchor's end: the last to end is all before it, or hits it.
+                i = int(np.searchsorted(begins, start + RUN_WORDS))
+                if i and ends[i - 1] > start:
+                    continue
+                low = max(start - REACH, int(ends[i - 1]) if i else 0)
+                high = min(start + RUN_WORDS + REACH, int(begins[i]) if i < len(gone) else 1 << 62)
+                for name, value in zip(names, (doc, start, place["anchor"], low, high)):
+                    rows[name].append(value)
+        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in rows.items()})
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around the anchors of a text, those of the anchor itself included."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "anchor", "low")] + [("words", pa.binary())])
+    for batch in batches:
+        rows: dict[str, list] = {f.name: [] for f in schema}
+        for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()):
+            words = space_words(text.as_py())
+            for p in places:
+                if p["start"] + RUN_WORDS <= len(words):
+                    around = b" ".join(words[p["low"] : p["high"]])
+                    for name, value in zip(rows, (doc, p["start"], p["anchor"], p["low"], around)):
+                        rows[name].append(value)
+        yield pa.RecordBatch.from_pydict(rows, schema)
+
+
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, start, end, source_doc, source_start`` of anchors whose words are those of
+    the first occurrence, widened as far as the words on both sides agree."""
+    names = ("doc_id", "start", "end", "source_doc", "source_start")
+    for batch in batches:
+        rows: dict[str, list] = {n: [] for n in names}
+        for doc, start, low, words, source, source_start, source_low, source_words in zip(*(c.to_pylist() for c in batch.columns)):
+            one, two = words.split(b" "), source_words.split(b" ")
+            i, j = start - low, source_start - source_low
+            if one[i : i + RUN_WORDS] != two[j : j + RUN_WORDS]:
+                continue
+            left = 0
+            while left < min(i, j) and one[i - left - 1] == two[j - left - 1]:
+                left += 1
+            right = RUN_WORDS
+            while right < min(len(one) - i, len(two) - j) and one[i + right] == two[j + right]:
+                right += 1
+            for name, value in zip(names, (doc, start - left, start + right, source, source_start - left)):
+                rows[name].append(value)
+        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in rows.items()})
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Anchors that more than one document holds, with their first occurrence."""
+    groups = rows.groupBy("anchor").agg(F.min("doc_id").alias("first_"), F.max("doc_id").alias("last_"))
+    return groups.where("first_ < last_").select("anchor", F.col("first_").alias("source_doc"))
+
+
+def _chained(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``rows`` with ``chain_``, which those of a key have in common that overlap one after another."""
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new_", F.when(reach > F.col(start), 0).otherwise(1))
+    return rows.withColumn("chain_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+
+
+def _passages(docs: DataFrame, spots: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, start, end, cluster_id, copies, kept``: passages inside lines and across them."""
+    anchors = spots.where("anchor IS NOT NULL").select("doc_id", "start", "anchor")
+    several = scratch.write(_several(anchors).select("anchor"), "several")
+    places = anchors.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("start", "anchor")).alias("places"))
+    gone = lines.where("NOT kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    free = places.join(gone, "doc_id", "left").select("doc_id", "places", "gone")
+    free = free.mapInArrow(_free_anchors, "doc_id long, start long, anchor long, low long, high long")
+    free = scratch.write(free, "free")
+    scratch.drop(several)
+    groups = scratch.write(_several(free), "groups")
+    found = free.join(groups, "anchor")
+    # Of the first document only the first occurrence is needed: it is the source.
+    firsts = found.where("doc_id = source_doc").groupBy("anchor").agg(
+        F.min(F.struct("start", "low", "high", "doc_id")).alias("f")
+    )
+    columns = ["doc_id", "start", "anchor", "low", "high"]
+    needed = firsts.select(*[F.col("anchor") if c == "anchor" else F.col(f"f.{c}").alias(c) for c in columns])
+    needed = needed.union(found.where("doc_id > source_doc").select(*columns))
+    needed = needed.groupBy("doc_id").agg(F.collect_list(F.struct(*columns[1:])).alias("places"))
+    needed = scratch.write(needed, "needed")
+    around = docs.join(needed, "doc_id").select("doc_id", "text", "places")
+    around = scratch.write(around.mapInArrow(_surroundings, "doc_id long, start long, anchor long, low long, words binary"), "around")
+    around_all = around.join(groups, "anchor")
+    sources = around_all.where("doc_id = source_doc").select(
+        "anchor", "source_doc", F.col("start").alias("source_start"), F.col("low").alias("source_low"), F.col("words").alias("source_words")
+    )
+    copies = around_all.where("doc_id > source_doc").drop("source_doc").join(sources, "anchor")
+    copies = copies.select("doc_id", "start", "low", "words", "source_doc", "source_start", "source_low", "source_words")
+    wide = copies.mapInArrow(_widened, "doc_id long, start long, end long, source_doc long, source_start long")
+    wide = wide.withColumn("shift", F.col("start") - F.col("source_start"))
+    keys = ["doc_id", "source_doc", "shift"]
+    runs = _chained(wide, keys, "start", "end").groupBy(*keys, "chain_").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.select(
+        "doc_id", "start", "end", "source_doc", (F.col("start") - F.col("shift")).alias("source_start"), (F.col("end") - F.col("shift")).alias("source_end")
+    )
+    runs = scratch.write(runs, "runs")
+    scratch.drop(free, groups, needed, around)
+    # Each distinct source once: a passage of many copies is one row here.
+    span = ["source_doc", "source_start", "source_end"]
+    spans = _chained(runs.groupBy(*span).agg(F.count("*").alias("n")), ["source_doc"], "source_start", "source_end")
+    spans = scratch.write(spans, "spans")
+    kept = spans.groupBy("source_doc", "chain_").agg(
+        F.min("source_start").alias("start"), F.max("source_end").alias("end"), (F.sum("n") + 1).alias("copies")
+    )
+    kept = kept.withColumn("cluster_id", F.concat_ws(":", "source_doc", "start", "end"))
+    kept = scratch.write(kept, "kept")
+    named = spans.join(kept.select("source_doc", "chain_", "cluster_id", "copies"), ["source_doc", "chain_"])
+    copied = runs.join(named, span).select("doc_id", "start", "end", "cluster_id", "copies", F.lit(False).alias("kept"))
+    kept = kept.select(F.col("source_doc").alias("doc_id"), "start", "end", "cluster_id", "copies", F.lit(True).alias("kept"))
+    return kept.union(copied)
 
 
 def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, kind, start, end, n_words, cluster_id, copies, kept`` of every passage that
     repeats: ``kind`` is ``paragraph`` or ``segments``; the range counts words of the text,
-    end exclusive; ``kept`` marks each cluster's first occurrence.
+    end exclusive; ``kept`` marks the one copy of each cluster that stays.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    lines = scratch.write(_paragraph_clusters(docs, scratch, percent, min_words), "lines")
-    lines = scratch.write(_repeated(lines, "cluster", scratch), "repeated-lines")
-    lines = lines.select(
-        "doc_id", F.lit("paragraph").alias("kind"), "start", "end", F.col("cluster").alias("cluster_id"), "copies", "kept"
-    )
-    pieces = scratch.write(docs.mapInArrow(_segments, "doc_id long, start long, end long, segment long"), "segments")
-    pieces = scratch.write(_beside_removed(pieces, lines), "beside")
-    pieces = scratch.write(_repeated(pieces, "segment", scratch), "pieces")
-    # Neighbouring repeated segments of a document are one run.
-    by_place = Window.partitionBy("doc_id").orderBy("start", "end")
-    fresh = (F.lag("end").over(by_place).eqNullSafe(F.col("start"))) & (F.lag("kept").over(by_place).eqNullSafe(F.col("kept")))
-    runs = pieces.withColumn("new_", F.when(fresh, 0).otherwise(1))
-    runs = runs.withColumn("run_", F.sum("new_").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run_").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        F.hex(F.min_by("segment", "start")).alias("cluster_id"), F.min("copies").alias("copies"), F.first("kept").alias("kept"),
-    )
-    runs = runs.where(F.col("end") - F.col("start") >= RUN_WORDS)
-    runs = runs.select("doc_id", F.lit("segments").alias("kind"), "start", "end", "cluster_id", "copies", "kept")
-    return lines.union(runs).withColumn("n_words", F.col("end") - F.col("start"))
+    schema = "doc_id long, start long, end long, class binary, bands array<long>, anchor long"
+    spots = scratch.write(docs.mapInArrow(_cut(min_words), schema), "spots")
+    lines = _repeated_lines(docs, spots, scratch, percent, min_words)
+    inside = _passages(docs, spots, lines, scratch)
+    scratch.drop(spots)
+    columns = ["doc_id", "kind", "start", "end", "cluster_id", "copies", "kept"]
+    found = lines.withColumn("kind", F.lit("paragraph")).select(*columns)
+    found = found.union(inside.withColumn("kind", F.lit("segments")).select(*columns))
+    return found.withColumn("n_words", F.col("end") - F.col("start"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -329,6 +464,8 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 places = [m.span() for m in word.finditer(texts[i])]
                 out, done = [], 0
                 for cut in sorted((c["start"], c["end"]) for c in cuts):
+                    if cut[1] > len(places):
+                        continue  # of another row of this doc_id
                     begin, end = places[cut[0]][0], places[cut[1] - 1][1]
                     out.append(texts[i][done : max(done, begin)])
                     done = max(done, end)

@@ -314,3 +314,52 @@ def test_removed_passages_stay_somewhere(spark):
     found = substring_dedup.repeated_passages(docs)
     left = " | ".join(r.text for r in substring_dedup.remove_passages(docs, found).collect())
     assert first in left and chunk in left and left.count("w320 ") == 1
+
+
+def test_repeated_passages_against_brute_force(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = {i: [fresh(60), fresh(rng.randrange(30, 90))] for i in range(30)}
+    for _ in range(12):
+        passage = fresh(rng.randrange(40, 160))
+        for i in rng.sample(range(30), rng.randrange(2, 6)):
+            line = texts[i][rng.randrange(2)]
+            at = rng.randrange(len(line))
+            # Some copies end before the passage does.
+            line[at:at] = passage[: len(passage) - rng.randrange(0, 2) * rng.randrange(0, len(passage) - 39)]
+    short = fresh(45)
+    texts |= {40: [short], 41: [fresh(80) + short + fresh(80)], 42: [["same"] * 5000], 43: [fresh(20) + ["same"] * 60]}
+    rows = [(i, "\n".join(" ".join(x) for x in lines), "s") for i, lines in texts.items()]
+    flat = {i: [w for x in lines for w in x] for i, lines in texts.items()}
+    got = substring_dedup.repeated_passages(documents(spark, rows)).collect()
+
+    runs = [r for r in got if r.kind == "segments"]
+    assert runs and all(r.end - r.start >= substring_dedup.RUN_WORDS == 16 and r.n_words == r.end - r.start for r in runs)
+    kept = {}
+    for r in runs:
+        if r.kept:
+            assert kept.setdefault(r.cluster_id, r) is r
+    members = {}
+    for r in runs:
+        members.setdefault(r.cluster_id, []).append(r)
+        source = " ".join(flat[kept[r.cluster_id].doc_id][kept[r.cluster_id].start : kept[r.cluster_id].end])
+        assert " ".join(flat[r.doc_id][r.start : r.end]) in source
+        assert r.kept or kept[r.cluster_id].doc_id < r.doc_id
+    assert all(m[0].copies == len(m) for m in members.values())
+
+    # Every stretch of 40 words that an earlier text has as well, found by looking at all of them.
+    gone = {(r.doc_id, p) for r in got if not r.kept for p in range(r.start, r.end)}
+    seen, shared = set(), set()
+    for i, all_words in sorted(flat.items()):
+        windows = [tuple(all_words[p : p + 40]) for p in range(len(all_words) - 39)]
+        shared |= {(i, p + k) for p, w in enumerate(windows) if w in seen for k in range(40)}
+        seen |= set(windows)
+    assert len(shared & gone) >= 0.99 * len(shared)
+    every = {}
+    for i, all_words in sorted(flat.items()):
+        for p in range(len(all_words) - 15):
+            every.setdefault(tuple(all_words[p : p + 16]), set()).add(i)
+    alike = {(i, p + k) for i, ws in flat.items() for p in range(len(ws) - 15) if min(every[tuple(ws[p : p + 16])]) < i for k in range(16)}
+    assert gone <= alike
+    assert {(41, p) for p in range(80, 125)} <= gone and not any(r.doc_id == 42 and not r.kept for r in got)
