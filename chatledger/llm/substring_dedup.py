@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatledger.llm.common import (
+    SHINGLE_WORDS,
     Scratch,
     components,
     min_hashes,
@@ -62,7 +63,7 @@ CHUNK = 512
 
 
 def _line_bands(lines: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """The bands of lines of word hashes; lines are taken together up to ``TOGETHER`` words."""
+    """The bands of lines of shingles, a row a line; lines are taken together up to ``TOGETHER`` shingles."""
     at = 0
     while at < len(lines):
         to, size = at, 0
@@ -70,14 +71,13 @@ def _line_bands(lines: list[np.ndarray]) -> Iterator[np.ndarray]:
             size += len(lines[to])
             to += 1
         if to == at + 1:
-            minima = min_hashes(shingle_hashes(lines[at]), BANDS * ROWS, seed=23)[:, None]
+            minima = min_hashes(lines[at], BANDS * ROWS, seed=23)[:, None]
         else:
-            parts = [shingle_hashes(h) for h in lines[at:to]]
-            starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
-            products = np.concatenate(parts)[None, :] * odd_numbers(BANDS * ROWS, 23)[:, None]
+            starts = np.cumsum([0, *(len(x) for x in lines[at : to - 1])])
+            products = np.concatenate(lines[at:to])[None, :] * odd_numbers(BANDS * ROWS, 23)[:, None]
             minima = np.minimum.reduceat(products, starts, axis=1)
         lows = minima.T.reshape(-1, BANDS, ROWS)
-        yield from mixed((lows * odd_numbers(ROWS, 5)).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        yield mixed((lows * odd_numbers(ROWS, 5)).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
         at = to
 
 
@@ -91,14 +91,21 @@ def _lines(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
         at += len(words)
 
 
-def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the anchors of a text: the leftmost least of every ``REACH`` runs."""
-    if len(words) < RUN_WORDS:
+def _anchors(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the anchors of a text: the leftmost least of every ``REACH`` runs.
+    The hash of a run is made of those of the shingles that cover it."""
+    last = RUN_WORDS - SHINGLE_WORDS
+    count = len(shingles) - last
+    if count < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs = shingle_hashes(words, RUN_WORDS)
-    reach = min(REACH, len(runs))
-    least = np.lib.stride_tricks.sliding_window_view(runs, reach).argmin(axis=1)
-    starts = np.unique(least + np.arange(len(least)))
+    places = [*range(0, last, SHINGLE_WORDS), last]
+    runs = np.zeros(count, np.uint64)
+    for place, factor in zip(places, odd_numbers(len(places), 41)):
+        runs += shingles[place : place + count] * factor
+    runs = mixed(runs)
+    least = np.lib.stride_tricks.sliding_window_view(runs, min(REACH, count)).argmin(axis=1)
+    least += np.arange(len(least))
+    starts = least[np.flatnonzero(np.diff(least, prepend=-1))]
     return starts, runs[starts].view(np.int64)
 
 
@@ -107,9 +114,14 @@ def _cut(min_words: int):
     line = [("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("anchor", pa.int64())]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), *line])
 
-    def made(rows: dict[str, list], found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if rows["doc_id"]:
-            yield pa.RecordBatch.from_pydict({**rows, "anchor": pa.nulls(len(rows["doc_id"]), pa.int64())}, schema)
+    def made(rows: list[tuple], bands: list[np.ndarray], found: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            doc, start, end, name = zip(*rows)
+            flat = pa.array(np.concatenate(bands).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), flat)
+            ints = [pa.array(x, pa.int64()) for x in (doc, start, end)]
+            arrays = [*ints, pa.array(name, pa.binary()), lists, pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         if found:
             starts = np.concatenate([f[1] for f in found])
             ids = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
@@ -118,22 +130,29 @@ def _cut(min_words: int):
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate([f[2] for f in found]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "start", "end", "class", "bands")
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in names}
+            rows: list[tuple] = []
+            bands: list[np.ndarray] = []
             found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            anchors = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 every = list(_lines(text.as_py()))
                 hashes = word_hashes([w for x in every for w in x[2]])
-                lines = [x for x in every if x[1] - x[0] >= min_words]
-                for (start, end, words), bands in zip(lines, _line_bands([hashes[x[0] : x[1]] for x in lines])):
-                    for name, value in zip(names, (doc, start, end, xxhash.xxh3_128_digest(b" ".join(words)), bands)):
-                        rows[name].append(value)
-                found.append((doc, *_anchors(hashes)))
-                if len(rows["doc_id"]) > 20_000 or sum(len(f[1]) for f in found[-64:]) > 200_000:
-                    yield from made(rows, found)
-                    rows, found = {n: [] for n in names}, []
-            yield from made(rows, found)
+                # Shingles of a line are a stretch of those of the text.
+                shingles = shingle_hashes(hashes) if len(hashes) >= SHINGLE_WORDS else np.zeros(0, np.uint64)
+                parts = []
+                for start, end, words in every:
+                    if end - start >= min_words:
+                        rows.append((doc, start, end, xxhash.xxh3_128_digest(b" ".join(words))))
+                        whole = end - start >= SHINGLE_WORDS
+                        parts.append(shingles[start : end - SHINGLE_WORDS + 1] if whole else shingle_hashes(hashes[start:end]))
+                bands.extend(_line_bands(parts))
+                found.append((doc, *_anchors(shingles)))
+                anchors += len(found[-1][1])
+                if len(rows) > 20_000 or anchors > 200_000:
+                    yield from made(rows, bands, found)
+                    rows, bands, found, anchors = [], [], [], 0
+            yield from made(rows, bands, found)
 
     return run
 
@@ -297,27 +316,35 @@ def _repeated_lines(docs: DataFrame, spots: DataFrame, scratch: Scratch, percent
     return lines
 
 
+def _fields(lists: pa.ListArray, i: int) -> list[np.ndarray]:
+    """The fields of the structs in row ``i``, none for null."""
+    found = lists[i].values
+    if found is None:
+        return [np.zeros(0, np.int64)] * lists.type.value_type.num_fields
+    return [found.field(k).to_numpy() for k in range(found.type.num_fields)]
+
+
 def _free_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors outside the lines that are not kept, with the words ``low`` to ``high`` around
     them that are free as well."""
     names = ("doc_id", "start", "anchor", "low", "high")
     for batch in batches:
-        rows: dict[str, list] = {n: [] for n in names}
-        for doc, places, gone in zip(*(c.to_pylist() for c in batch.columns)):
-            gone = sorted((g["start"], g["end"]) for g in gone or ())
-            begins = np.array([g[0] for g in gone], np.int64)
-            ends = np.maximum.accumulate(np.array([g[1] for g in gone], np.int64)) if gone else begins
-            for place in places:
-                start = place["start"]
-                # Lines that begin before the anchor's end: the last to end is all before it, or hits it.
-                i = int(np.searchsorted(begins, start + RUN_WORDS))
-                if i and ends[i - 1] > start:
-                    continue
-                low = max(start - REACH, int(ends[i - 1]) if i else 0)
-                high = min(start + RUN_WORDS + REACH, int(begins[i]) if i < len(gone) else 1 << 62)
-                for name, value in zip(names, (doc, start, place["anchor"], low, high)):
-                    rows[name].append(value)
-        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in rows.items()})
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            start, anchor = _fields(batch.column(1), i)
+            begins, ends = _fields(batch.column(2), i)
+            order = np.argsort(begins, kind="stable")
+            begins = np.append(begins[order], np.int64(1 << 62))
+            ends = np.insert(np.maximum.accumulate(ends[order]), 0, 0)
+            # Of the lines that begin before an anchor's end the last to end is all before it, or hits it.
+            before = np.searchsorted(begins, start + RUN_WORDS)
+            free = ends[before] <= start
+            start, anchor, before = start[free], anchor[free], before[free]
+            low = np.maximum(start - REACH, ends[before])
+            high = np.minimum(start + RUN_WORDS + REACH, begins[before])
+            for column, values in zip(columns, (np.full(len(start), doc, np.int64), start, anchor, low, high)):
+                column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=list(names))
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
