@@ -269,11 +269,12 @@ def _class_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent:
     texts = docs.join(wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_class_texts(min_words), "node long, words binary")
     texts = scratch.write(texts.groupBy("node").agg(F.first("words").alias("words")), "texts")
 
-    pairs = members.where("node <> leader").select("leader", "node").distinct()
-    pairs = pairs.withColumn("a", F.expr(f"pmod(xxhash64(node), 1 + cast(floor(count(*) over (partition by leader) / {CHUNK}) as long))"))
-    pairs = scratch.write(pairs, "pairs")
-    heads = pairs.select("leader", "a").distinct().withColumn("node", F.col("leader")).withColumn("side", F.lit(0))
-    stars = heads.unionByName(pairs.withColumn("side", F.lit(1)))
+    pairs = scratch.write(members.where("node <> leader").select("leader", "node").distinct(), "pairs")
+    parts = pairs.groupBy("leader").agg((F.floor(F.count("*") / CHUNK) + 1).alias("parts"))
+    parts = scratch.write(parts, "parts")
+    others = pairs.join(parts, "leader").select("leader", "node", F.expr("pmod(xxhash64(node), parts)").alias("a"), F.lit(1).alias("side"))
+    heads = parts.select("leader", F.col("leader").alias("node"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("a"), F.lit(0).alias("side"))
+    stars = heads.unionByName(others)
     stars = stars.select(F.col("leader").alias("band"), "a", F.lit(0).cast("long").alias("b"), "side", "node")
     near = scratch.write(_compared(stars, texts, percent), "stars")
     # Only where a class is not linked with its band's first are the others compared as well.
@@ -289,7 +290,7 @@ def _class_links(docs: DataFrame, classes: DataFrame, scratch: Scratch, percent:
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
     links = scratch.write(near.union(_compared(dealt, texts, percent)), "links")
-    scratch.drop(members, wanted, texts, pairs, near, rest)
+    scratch.drop(members, wanted, texts, pairs, parts, near, rest)
     return links
 
 
