@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import json
 import os
+import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +13,7 @@ from hypothesis import strategies as st
 
 from chatledger import sources
 from chatledger.sources import files
+from chatledger.functions.scan import _any_of
 from chatledger.operators import scanning
 from chatledger.rules import RULES, Rule, java_regex
 from entrypoints.inputs import SAMPLES
@@ -267,3 +270,25 @@ def test_plan_is_one_narrow_scan(spark):
     df = scanning.scan_findings(texts(spark, AWS), "id", "text")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_hints_are_looked_for_by_rare_characters():
+    """The one regex over every text stops at few of its characters."""
+    anchors = re.match(r"\(\?=\[([^\]]+)\]\)", _any_of(RULES))[1].replace("\\", "")
+    assert not set(anchors) & set(" etaoinsrhldcumfpgwyb.,")
+    hinted = re.compile(_any_of(RULES))
+    for rule in RULES:
+        for hint in rule.hints:
+            assert hinted.search(f"some {hint}, text"), hint
+            assert not rule.ignore_case or hinted.search(f"some {hint.upper()}, text"), hint
+    assert not hinted.search("Ordinary prose, with A and T and task - and no more.")
+
+
+def test_leads_change_no_match(spark):
+    """A lead only says sooner what the rule's own regex would."""
+    texts = [s + "\n" + s.upper() + "\nx" + s for s in SAMPLES] + ["askew _sk-ant-" + "a1" * 20, " ".join(SAMPLES)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    led = scanning.scan_findings(rows, "id", "t").collect()
+    plain = scanning.scan_findings(rows, "id", "t", tuple(replace(r, lead="", hints=()) for r in RULES)).collect()
+    assert led and sorted(led) == sorted(plain)
+    assert sum(bool(r.lead) for r in RULES) == 9
