@@ -131,7 +131,9 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     root = qualified(spark, path)
     if _local(root) is None and SCHEMES.get(_scheme(root), _scheme(root)) not in CLIENTS:
         return _read_by_spark(spark, root)
-    files = list_files(spark, path).repartition("path")
+    # Paths say nothing of how much is to be read: a few bytes of them would be merged into one task.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files = list_files(spark, path).repartition(tasks, "path")
     return files.mapInArrow(_read, "path string, text string, error string")
 
 
@@ -167,7 +169,4 @@ def scan_files(
 ) -> DataFrame:
     """Findings of every file under ``path`` (or of the one file it names), and a row with an
     ``error`` and no finding for what could not be read."""
-    texts = read_text_files(spark, path)
-    found = scan_findings(texts, "path", "text", rules=rules).withColumn("error", F.lit(None).cast("string"))
-    failed = texts.where("error IS NOT NULL").select("path", "error")
-    return found.unionByName(failed, allowMissingColumns=True)
+    return scan_findings(read_text_files(spark, path), "path", "text", rules=rules, error="error")

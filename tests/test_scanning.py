@@ -10,6 +10,7 @@ from dataclasses import replace
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chatledger import sources
 from chatledger.sources import files
@@ -292,3 +293,22 @@ def test_leads_change_no_match(spark):
     plain = scanning.scan_findings(rows, "id", "t", tuple(replace(r, lead="", hints=()) for r in RULES)).collect()
     assert led and sorted(led) == sorted(plain)
     assert sum(bool(r.lead) for r in RULES) == 9
+
+
+def test_scan_files_reads_each_file_once_and_in_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}.txt").write_text(f"key {AWS}")
+    found = sources.scan_files(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    # Paths are few bytes: other exchanges of them end as one task.
+    tasks = found.select(F.spark_partition_id().alias("p"), "path").collect()
+    assert len(tasks) == 40 and len({r.p for r in tasks}) > 1
+
+
+def test_files_that_cannot_be_read_come_once_however_many_rules(spark, monkeypatch):
+    monkeypatch.setattr(scanning, "RULES_PER_PASS", 5)
+    rows = spark.createDataFrame([("a", f"key {AWS}", None), ("b", None, "gone")], "path string, t string, error string")
+    found = scanning.scan_findings(rows, "path", "t", error="error").collect()
+    assert sorted((r.path, r.rule_id, r.error) for r in found if r.path == "a") == [("a", "aws-access-key", None)]
+    assert [(r.rule_id, r.error) for r in found if r.path == "b"] == [(None, "gone")]
