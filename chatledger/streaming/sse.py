@@ -38,7 +38,8 @@ class Reassembly(StatefulProcessor):
         self.newest = handle.getValueState("newest", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(rows, ignore_index=True)
+        frames = list(rows)
+        fresh = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         at = self._time(fresh)
         if self.finished.exists():
             if self.timed:
@@ -46,14 +47,18 @@ class Reassembly(StatefulProcessor):
                 self.finished.update((at,))
                 self._wake_at(at + 1)
             return
-        kept = fresh[NAMES].astype("object").where(fresh[NAMES].notna(), None)
-        new = [tuple(r) for r in kept.itertuples(index=False)]
+        # What is missing is None, or a number that is not equal to itself.
+        new = list(zip(*[[v if v == v else None for v in fresh[n].tolist()] for n in NAMES]))
         if not any(p[1] for p in new):
             self.pieces.appendList(new)
             if self.timed and self.abandon_ms is not None:
                 self._wake_at(at + self.abandon_ms)
             return
-        pieces = sorted([tuple(p) for p in self.pieces.get()] + new, key=lambda p: p[0])
+        # A call on the state is a message to the JVM: most streams end in the batch they begin in.
+        held = [tuple(p) for p in self.pieces.get()] if self.pieces.exists() else []
+        pieces = sorted(held + new, key=lambda p: p[0])
+        if held:
+            self.pieces.clear()
         end = min(p[0] for p in pieces if p[1])
         yield self._merged(key, [p for p in pieces if p[0] < end], at)
 
@@ -63,6 +68,7 @@ class Reassembly(StatefulProcessor):
             self.newest.clear()
             return
         pieces = sorted((tuple(p) for p in self.pieces.get()), key=lambda p: p[0])
+        self.pieces.clear()
         out = self._merged(key, pieces, expiredTimerInfo.getExpiryTimeInMs())
         out["finish"] = pd.Series(["abandoned"], dtype="object")
         yield out
@@ -79,7 +85,6 @@ class Reassembly(StatefulProcessor):
 
     def _merged(self, key: Any, pieces: list[tuple], at: int) -> pd.DataFrame:
         rows = [dict(zip(NAMES, p)) for p in pieces]
-        self.pieces.clear()
         self.finished.update((at,))
         if self.timed:
             self._wake_at(at + 1)
