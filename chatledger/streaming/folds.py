@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,29 +60,41 @@ class StreamingFold(StatefulProcessor):
         self.state = handle.getValueState("fold", self.state_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else None
-        batch = pd.concat(rows, ignore_index=True).sort_values(self.order, kind="stable")
-        results = []
+        # A call on the state is a message to the JVM: most of the time of a key with few rows.
+        before = tuple(self.state.get()) if self.state.exists() else None
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if len(batch) > 1:
+            batch = batch.sort_values(self.order, kind="stable")
+        state, results = before, []
         for args in zip(*[batch[c].tolist() for c in self.inputs]):
             state, result = self.step(state, *args)
             results.append(result)
         if state is None:
-            self.state.clear()
-        else:
+            if before is not None:
+                self.state.clear()
+        elif state != before:
             self.state.update(state)
         if self.expiry is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            at = None if state is None else self.expiry(state)
-            if at is not None:
-                self.handle.registerTimer(at)
-        out = batch[self.passed].reset_index(drop=True)
+            # A state's timer is known from the state.
+            old, new = (None if s is None else self.expiry(s) for s in (before, state))
+            if old != new:
+                if old is not None:
+                    self.handle.deleteTimer(old)
+                if new is not None:
+                    self.handle.registerTimer(new)
+        columns = {c: batch[c].array for c in self.passed}
         for name, values in zip(self.outputs, zip(*results)):
-            out[name] = pd.Series(values, dtype="object")
-        yield out
+            columns[name] = np.fromiter(values, "object", len(values))
+        yield pd.DataFrame(columns, copy=False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        # A timer of a run with other settings may come too early for them.
+        at = self.expiry(tuple(self.state.get())) if self.expiry is not None and self.state.exists() else None
+        if at is not None and at > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(at)
+        else:
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:

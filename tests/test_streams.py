@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatledger import sources, streaming
 from chatledger.operators import folds, metrics, scanning, sse
@@ -214,3 +216,68 @@ def test_totals_of_an_empty_source(spark, tmp_path):
     empty = spark.readStream.schema(outcomes.schema).parquet(str(tmp_path / "none"))
     live = streaming.usage_metrics_stream(empty, ["client_id"])
     assert streaming.run_totals(live, "t", ["client_id"]).count() == 0
+
+
+class Calls:
+    """A state or handle that counts the messages sent to it."""
+
+    def __init__(self, value=None):
+        self.value, self.sent = value, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.sent.append(name)
+            if name == "exists":
+                return self.value is not None
+            if name == "update":
+                self.value = args[0]
+            return iter(self.value or ()) if name == "get" else None
+
+        return call
+
+
+def cache_fold(held, ttl_ms=100):
+    from chatledger.streaming import folds as streamed
+
+    state = T.StructType([T.StructField("stored_ms", T.LongType())])
+    fold = streamed.StreamingFold(
+        streamed.StoreTimes(ttl_ms), ["ms", "tie"], ["ms", "can"], ["tie", "ms"], ["stored_ms"], state, lambda s: int(s[0]) + ttl_ms + 1
+    )
+    fold.handle, fold.state = Calls(), Calls(held)
+    return fold
+
+
+def test_a_fold_sends_no_message_for_a_state_that_stays():
+    fold = cache_fold((10,))
+    rows = pd.DataFrame({"tie": [2, 1], "ms": [30, 20], "can": [True, True]})
+    (out,) = fold.handleInputRows(("k",), iter([rows]), None)
+    assert out.values.tolist() == [[1, 20, 10], [2, 30, 10]]
+    assert fold.state.sent == ["exists", "get"] and fold.handle.sent == []
+    list(fold.handleInputRows(("k",), iter([rows.assign(ms=200)]), None))
+    assert fold.state.value == (200,) and fold.handle.sent == ["deleteTimer", "registerTimer"]
+
+
+def test_a_timer_set_for_a_shorter_time_to_live_drops_nothing():
+    class Fired:
+        def getExpiryTimeInMs(self):
+            return 61
+
+    fold = cache_fold((10,))
+    list(fold.handleExpiredTimer(("k",), None, Fired()))
+    assert "clear" not in fold.state.sent and fold.handle.sent == ["registerTimer"]
+    fold = cache_fold((10,), ttl_ms=50)
+    list(fold.handleExpiredTimer(("k",), None, Fired()))
+    assert fold.state.sent[-1] == "clear"
+
+
+def test_a_stream_that_ends_in_its_first_batch_keeps_no_pieces():
+    from chatledger.streaming.sse import NAMES, Reassembly
+
+    stream = Reassembly(False, None)
+    stream.handle, stream.pieces, stream.finished, stream.newest = (Calls() for _ in range(4))
+    lines = pd.DataFrame([[1, True] + [None] * 6, [0, False, "hi", None, "m", None, 3.0, None]], columns=NAMES)
+    (out,) = stream.handleInputRows((7,), iter([lines]), None)
+    assert out.to_dict("records")[0] | {"stream_id": 7} == {
+        "stream_id": 7, "content": "hi", "id": None, "model": "m", "finish": None, "prompt": 3.0, "completion": None
+    }
+    assert stream.pieces.sent == ["exists"] and stream.finished.sent == ["exists", "update"]
