@@ -201,11 +201,22 @@ def request_log(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame
     return log.withColumn("hash", F.sha2(key, 256)).withColumn("actual_tokens", actual)
 
 
+#: Bytes of a narrow table for each task of work that takes long for each row.
+TASK_BYTES = 1 << 20
+
+
 def body_log(spark: SparkSession, sf: str) -> DataFrame:
-    """``events`` as raw requests, each with its conversation's JSON body."""
+    """``events`` as raw requests, each with its conversation's JSON body.
+
+    Requests are dealt out before they get their bodies, which are many times as wide, in
+    tasks by their number: no body of a request goes through an exchange, and none of the
+    tasks that read the bodies is long.  The bodies' size cannot be told from their table's, so
+    they are merged and not broadcast."""
     events = table(spark, sf, "events")
-    log = _as_log(events, spark, sf).drop("model", "ms").join(chat_requests(spark, sf), "conv_id")
-    return spread(log, "request_id")
+    size = int(events._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    log = _as_log(events, spark, sf).drop("model", "ms").repartition(tasks, "conv_id")
+    return log.join(chat_requests(spark, sf).repartition(tasks, "conv_id").hint("merge"), "conv_id")
 
 
 def outcome_log(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:

@@ -161,3 +161,17 @@ def test_budget_usage(spark):
     got = {r.s: (r.used, r.remaining) for r in metrics.budget_usage(df, ["s"], "t", 100).collect()}
     assert got == {"a": (110, 0), "b": (5, 95)}
     assert metrics.budget_usage(df, ["s"], "t").first().remaining is None
+
+
+def test_bodies_of_requests_go_through_no_exchange(spark):
+    """Requests are dealt out while they are narrow; their bodies come last."""
+    from entrypoints import inputs
+
+    from conftest import SMALL
+
+    log = inputs.body_log(spark, SMALL)
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("Exchange")
+    rows = log.select(F.spark_partition_id().alias("p"), "request_id").collect()
+    assert len(rows) == len({r.request_id for r in rows}) == inputs.table(spark, SMALL, "events").count()
+    assert len({r.p for r in rows}) > 8
