@@ -16,25 +16,39 @@ def canonical_messages(messages: Column) -> Column:
     role or content leaves the field out.
     """
 
+    messages = F.coalesce(messages, F.array())
+
+    def content_of(m: Column) -> Column:
+        return F.when(m["is_parts"], m["content"]).otherwise(trim_all(m["content"]))
+
+    def whole(m: Column) -> Column:
+        empty = F.lit("")
+        return F.struct(
+            m["role"].alias("role"),
+            content_of(m).alias("content"),
+            F.nullif(m["name"], empty).alias("name"),
+            F.nullif(m["tool_call_id"], empty).alias("tool_call_id"),
+        )
+
     def optional(value: Column) -> Column:
         return F.when(F.char_length(value) > 0, json_quote(value)).otherwise(F.lit("null"))
 
     def one(m: Column) -> Column:
-        content = F.when(m["is_parts"], m["content"]).otherwise(trim_all(m["content"]))
         fields = F.array_compact(
             F.array(
                 F.concat(F.lit('"role":'), json_quote(m["role"])),
-                F.concat(F.lit('"content":'), json_quote(content)),
+                F.concat(F.lit('"content":'), json_quote(content_of(m))),
                 F.concat(F.lit('"name":'), optional(m["name"])),
                 F.concat(F.lit('"tool_call_id":'), optional(m["tool_call_id"])),
             )
         )
         return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
-    return F.concat(
-        F.lit("["),
-        F.array_join(F.transform(F.coalesce(messages, F.array()), one), ","),
-        F.lit("]"),
+    # Where no field is left out, Spark writes all messages at once.
+    partial = F.exists(messages, lambda m: m["role"].isNull() | m["content"].isNull())
+    single = F.concat(F.lit("["), F.array_join(F.transform(messages, one), ","), F.lit("]"))
+    return F.when(partial, single).otherwise(
+        F.to_json(F.transform(messages, whole), {"ignoreNullFields": "false"})
     )
 
 

@@ -17,7 +17,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_all(s: Column) -> Column:
     """Strip every kind of Unicode white space, not only blanks, at both ends."""
-    return F.btrim(s, F.lit(WHITE_SPACE))
+    # Trimming a set of characters takes the whole text apart, so ends that need none are left.
+    space = F.lit(WHITE_SPACE)
+    trimmed = F.contains(space, F.left(s, F.lit(1))) | F.contains(space, F.right(s, F.lit(1)))
+    return F.when(trimmed, F.btrim(s, space)).otherwise(s)
 
 
 def utf16_length(s: Column) -> Column:

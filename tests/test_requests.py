@@ -165,3 +165,14 @@ def test_numbers_are_written_as_in_javascript(spark):
              1e-7: "1e-7", 1.25e-9: "1.25e-9", -2.5: "-2.5", 123456.789: "123456.789", float("inf"): "null"}
     rows = spark.createDataFrame([(x,) for x in texts], "x double").select("x", json_number(F.col("x")).alias("t"))
     assert {r.x: r.t for r in rows.collect()} == texts
+
+
+def test_messages_written_at_once_are_the_same_text(spark):
+    """Messages with all fields are written together, and ends are only trimmed where needed."""
+    whole = [message("\u3000 a\u00e9 \"b\"\n\\ \ufeff", name="", tool_call_id="t"), message(""), message("\U0001f600")]
+    bodies = [{"model": "m", "messages": m} for m in (whole, [*whole, {"content": "x"}])]
+    at_once, singly = canonical(spark, *bodies)
+    assert json.loads(at_once)["messages"][0] == {"role": "user", "content": "a\u00e9 \"b\"\n\\", "name": None, "tool_call_id": "t"}
+    assert singly == at_once.replace(']', ',{"content":"x","name":null,"tool_call_id":null}]', 1)
+    plan = requests.canonical_request(parsed(spark, *bodies))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ignoreNullFields" in plan
