@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,49 @@ def profile_requests(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     )
 
 
+#: What the rate limit knows a request by.
+PLACE = ("client_id", "ms", "request_id")
+
+
+def _limited(df: DataFrame, policy: Policy) -> DataFrame:
+    """Add ``allowed``, the answer of the rate limit."""
+    answered = folds.rate_limit_audit(df, *PLACE, policy.rpm, policy.burst)
+    return answered.drop("remaining", "reset_ms", "retry_after_s")
+
+
+def _passing(log: DataFrame, policy: Policy) -> DataFrame | None:
+    """The places the rate limit lets requests through at, if those are the smaller part of
+    the log and a place tells whether its request passes (the same place may occur twice)."""
+    limits = checkpointed(_limited(log.select(*PLACE), policy), "limits")
+    passed = F.count_if("allowed").alias("passed_")
+    places = limits.groupBy(*PLACE).agg(F.count("*").alias("asked_"), passed).where("passed_ > 0")
+    places = checkpointed(places, "passing")
+    known = places.agg(F.sum("passed_"), F.max(F.col("asked_") - F.col("passed_"))).first()
+    if 2 * (known[0] or 0) > limits.count() or known[1]:
+        return None
+    return places.select(*PLACE)
+
+
+def _rated(log: DataFrame, policy: Policy, body: str) -> DataFrame:
+    """The profile of a log with ``allowed``; requests over the rate limit may have
+    nothing but their model."""
+    passing = _passing(log, policy)
+    if passing is None:
+        return _limited(checkpointed(profile_requests(log, policy, body), "profile"), policy)
+    passing = passing.select(*[F.col(c).alias(f"_{c}") for c in PLACE])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE])
+    # Where the texts are joined to the log, Spark does these joins before that one.
+    let_in = profile_requests(log.join(passing, same, "left_semi"), policy, body)
+    kept = [c for c in log.columns if c in let_in.columns and c != "model"]
+    stopped = parse_requests(log.join(passing, same, "left_anti"), body).select(*kept, "model")
+    return checkpointed(
+        let_in.withColumn("allowed", F.lit(True)).unionByName(
+            stopped.withColumn("allowed", F.lit(False)), allowMissingColumns=True
+        ),
+        "profile",
+    )
+
+
 def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "body") -> DataFrame:
     """What the gateway would have done with every request of a log.
 
@@ -75,18 +119,15 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     not JSON gives the outcome ``unparsed``), ``completed_ms`` (an answer is stored when
     it is done; not with budgets), and ``forwarded_for, peer`` instead of ``client_id``.
 
-    The texts are read once: their profile is written to the shared folder, and
+    The rate limit is the first check and needs no text: where it stops most requests, only
+    those it lets through are profiled, and of the others just the model is read.  What is
+    read of the texts is written to the shared folder, and
     so is the narrow result of each fold that several later steps read.  With budgets on, the cache belongs
     to the session; otherwise all requests share it.
     """
     if "client_id" not in log.columns:
         log = log.withColumn("client_id", client_key(F.col("forwarded_for"), F.col("peer")))
-    profile = checkpointed(
-        profile_requests(log.withColumn("ms", epoch_ms(F.col("ts"))), policy, body), "profile"
-    )
-    rated = folds.rate_limit_audit(
-        profile, "client_id", "ms", "request_id", policy.rpm, policy.burst
-    ).drop("remaining", "reset_ms", "retry_after_s")
+    rated = _rated(log.withColumn("ms", epoch_ms(F.col("ts"))), policy, body)
     early = (
         F.when(~F.col("allowed"), F.lit("rate_limited"))
         .when(F.col("invalid_json"), F.lit("invalid_json"))

@@ -175,3 +175,45 @@ def test_bodies_of_requests_go_through_no_exchange(spark):
     rows = log.select(F.spark_partition_id().alias("p"), "request_id").collect()
     assert len(rows) == len({r.request_id for r in rows}) == inputs.table(spark, SMALL, "events").count()
     assert len({r.p for r in rows}) > 8
+
+
+def narrow_log(spark):
+    """One client over its limit from its seventh request on; a millisecond and an id that
+    occur twice, an id that is null, and texts with secrets or that are no JSON among the late ones."""
+    log = make_log(spark)
+    late = spark.range(9, 40).select(
+        F.col("id").alias("request_id"), F.timestamp_millis(F.lit(1_704_067_208_000) + F.col("id")).alias("ts"),
+        F.lit("a").alias("client_id"), F.lit("s1").alias("session_id"),
+        F.when(F.col("id") % 2 == 0, F.lit(f'{{"model":"n","messages":[{{"role":"user","content":"key {AWS}"}}]}}'))
+        .otherwise(F.lit("{")).alias("body"),
+        F.lit(25).cast("long").alias("completion_tokens"), F.lit(10).alias("latency_ms"), F.lit(False).alias("upstream_error"),
+    )
+    nameless = late.limit(1).withColumn("request_id", F.lit(None).cast("long")).withColumn("client_id", F.lit(None).cast("string"))
+    return log.unionByName(late).unionByName(nameless)
+
+
+@pytest.mark.parametrize("policy", [{}, {"mode": "block"}, {"session_budget": 30}])
+def test_only_requests_within_the_limit_are_profiled(spark, monkeypatch, policy):
+    settings = plans.Policy(rpm=4, burst=1.5, ttl_ms=1_000_000, **policy)
+    profiled, whole = [], plans.outcomes.profile_requests
+
+    def counting(log, *rest):
+        profiled.append(log.count())
+        return whole(log, *rest)
+
+    monkeypatch.setattr(plans.outcomes, "profile_requests", counting)
+    got = plans.request_outcomes(narrow_log(spark), settings).collect()
+    assert len(got) == 40 and profiled == [sum(r.outcome != "rate_limited" for r in got)]
+    assert {r.model for r in got if r.outcome == "rate_limited"} == {"m", "n", None}
+    # The same as where everything is profiled.
+    monkeypatch.setattr(plans.outcomes, "_passing", lambda *_: None)
+    every = plans.request_outcomes(narrow_log(spark), settings).collect()
+    assert profiled[1] == 40 and sorted(map(str, got)) == sorted(map(str, every))
+
+
+def test_equal_places_of_which_some_pass_are_told_apart(spark):
+    twice = narrow_log(spark).withColumn("request_id", F.lit(1).cast("long")).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    settings = plans.Policy(rpm=4, burst=1.5, ttl_ms=1_000_000)
+    got = [r.outcome for r in plans.request_outcomes(twice, settings).collect()]
+    # Six of each client: a, b and the nameless one.
+    assert len(got) == 40 and got.count("rate_limited") == 40 - 6 - 1 - 1
