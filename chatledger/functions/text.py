@@ -25,7 +25,8 @@ def trim_all(s: Column) -> Column:
 
 def utf16_length(s: Column) -> Column:
     """Length in UTF-16 units: characters outside the BMP count twice."""
-    return F.when(F.octet_length(s) == F.char_length(s), F.char_length(s)).otherwise(
+    # Of a text with a byte a character the bytes are counted at once.
+    return F.when(F.octet_length(s) == F.char_length(s), F.octet_length(s)).otherwise(
         F.shiftright(F.octet_length(F.encode(s, "UTF-16BE")), 1)
     )
 
@@ -58,6 +59,10 @@ def json_number(x: Column) -> Column:
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+#: Characters of the longest JSON string Spark reads.
+MAX_JSON_STRING = 20_000_000
+
+
 def is_json(raw: Column) -> Column:
     """Whether ``raw`` is just one JSON value; keys may repeat.
 
@@ -66,7 +71,15 @@ def is_json(raw: Column) -> Column:
     """
     end = "-end-"
     pair = F.from_json(F.concat(F.lit("["), raw, F.lit(f', "{end}"]')), "array<string>", STRICT_JSON)
-    return F.coalesce((F.size(pair) == 2) & (F.get(pair, F.lit(1)) == end), F.lit(False))
+    read = F.coalesce((F.size(pair) == 2) & (F.get(pair, F.lit(1)) == end), F.lit(False))
+    # An object is passed over, without copying what it holds; longer strings than a reader
+    # takes are only refused where they are copied.
+    element = f"struct<`{end}`: boolean>"
+    over = F.from_json(F.concat(F.lit("["), raw, F.lit(f', {{"{end}":true}}]')), f"array<{element}>", STRICT_JSON)
+    passed = F.array(F.lit(None).cast("boolean"), F.lit(True))
+    passed = F.transform(passed, lambda p: F.struct(p.alias(end)))
+    short = (F.octet_length(raw) < MAX_JSON_STRING) & ~F.contains(raw, F.lit(end))
+    return F.when(short & (over == passed), F.lit(True)).otherwise(read)
 
 
 def entropy(column: str) -> Column:
@@ -126,7 +139,7 @@ def let_sql(value: str, name: str, body: str) -> str:
 def utf16_length_sql(s: str) -> str:
     """As :func:`utf16_length`."""
     return (
-        f"CASE WHEN octet_length({s}) = char_length({s}) THEN char_length({s}) "
+        f"CASE WHEN octet_length({s}) = char_length({s}) THEN octet_length({s}) "
         f"ELSE shiftright(octet_length(encode({s}, 'UTF-16BE')), 1) END"
     )
 

@@ -64,20 +64,25 @@ def profile_requests(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     )
 
 
-#: What the rate limit knows a request by.
-PLACE = ("client_id", "ms", "request_id")
+#: What a request is known by to those that went through the rate limit: columns of the log as
+#: they are, since Spark does a join on others only after those the log was made by.
+PLACE = ("client_id", "ts", "request_id")
+
+
+def _timed(log: DataFrame) -> DataFrame:
+    return log.withColumn("ms", epoch_ms(F.col("ts")))
 
 
 def _limited(df: DataFrame, policy: Policy) -> DataFrame:
     """Add ``allowed``, the answer of the rate limit."""
-    answered = folds.rate_limit_audit(df, *PLACE, policy.rpm, policy.burst)
+    answered = folds.rate_limit_audit(df, "client_id", "ms", "request_id", policy.rpm, policy.burst)
     return answered.drop("remaining", "reset_ms", "retry_after_s")
 
 
 def _passing(log: DataFrame, policy: Policy) -> DataFrame | None:
     """The places the rate limit lets requests through at, if those are the smaller part of
     the log and a place tells whether its request passes (the same place may occur twice)."""
-    limits = checkpointed(_limited(log.select(*PLACE), policy), "limits")
+    limits = checkpointed(_limited(_timed(log.select(*PLACE)), policy), "limits")
     passed = F.count_if("allowed").alias("passed_")
     places = limits.groupBy(*PLACE).agg(F.count("*").alias("asked_"), passed).where("passed_ > 0")
     places = checkpointed(places, "passing")
@@ -88,17 +93,19 @@ def _passing(log: DataFrame, policy: Policy) -> DataFrame | None:
 
 
 def _rated(log: DataFrame, policy: Policy, body: str) -> DataFrame:
-    """The profile of a log with ``allowed``; requests over the rate limit may have
+    """The profile of a log with ``allowed``, written; requests over the rate limit may have
     nothing but their model."""
     passing = _passing(log, policy)
     if passing is None:
-        return _limited(checkpointed(profile_requests(log, policy, body), "profile"), policy)
+        profile = checkpointed(profile_requests(_timed(log), policy, body), "profile")
+        return checkpointed(_limited(profile, policy), "rated")
     passing = passing.select(*[F.col(c).alias(f"_{c}") for c in PLACE])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE])
     # Where the texts are joined to the log, Spark does these joins before that one.
-    let_in = profile_requests(log.join(passing, same, "left_semi"), policy, body)
-    kept = [c for c in log.columns if c in let_in.columns and c != "model"]
-    stopped = parse_requests(log.join(passing, same, "left_anti"), body).select(*kept, "model")
+    let_in = profile_requests(_timed(log.join(passing, same, "left_semi")), policy, body)
+    stopped = _timed(log.join(passing, same, "left_anti"))
+    kept = [c for c in stopped.columns if c in let_in.columns and c != "model"]
+    stopped = parse_requests(stopped, body).select(*kept, "model")
     return checkpointed(
         let_in.withColumn("allowed", F.lit(True)).unionByName(
             stopped.withColumn("allowed", F.lit(False)), allowMissingColumns=True
@@ -127,13 +134,13 @@ def request_outcomes(log: DataFrame, policy: Policy = Policy(), body: str = "bod
     """
     if "client_id" not in log.columns:
         log = log.withColumn("client_id", client_key(F.col("forwarded_for"), F.col("peer")))
-    rated = _rated(log.withColumn("ms", epoch_ms(F.col("ts"))), policy, body)
+    rated = _rated(log, policy, body)
     early = (
         F.when(~F.col("allowed"), F.lit("rate_limited"))
         .when(F.col("invalid_json"), F.lit("invalid_json"))
         .when(F.lit(policy.mode == "block") & (F.col("n_findings") > 0), F.lit("secret_blocked"))
     )
-    rated = checkpointed(rated.withColumn("outcome", early).drop("allowed"), "rated")
+    rated = rated.withColumn("outcome", early).drop("allowed")
     stopped = rated.where(F.col("outcome").isNotNull())
     open_ = rated.where(F.col("outcome").isNull())
 

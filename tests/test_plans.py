@@ -201,10 +201,19 @@ def test_only_requests_within_the_limit_are_profiled(spark, monkeypatch, policy)
         profiled.append(log.count())
         return whole(log, *rest)
 
+    written, write = [], plans.outcomes.checkpointed
+
+    def naming(df, name):
+        written.append(name)
+        return write(df, name)
+
     monkeypatch.setattr(plans.outcomes, "profile_requests", counting)
+    monkeypatch.setattr(plans.outcomes, "checkpointed", naming)
     got = plans.request_outcomes(narrow_log(spark), settings).collect()
     assert len(got) == 40 and profiled == [sum(r.outcome != "rate_limited" for r in got)]
     assert {r.model for r in got if r.outcome == "rate_limited"} == {"m", "n", None}
+    # A profile that has its answers is not written again with them.
+    assert written[:3] == ["limits", "passing", "profile"] and "rated" not in written
     # The same as where everything is profiled.
     monkeypatch.setattr(plans.outcomes, "_passing", lambda *_: None)
     every = plans.request_outcomes(narrow_log(spark), settings).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chatledger import sources
 from chatledger.functions.cost import Prices
+from chatledger.functions.text import is_json
 from chatledger.operators import requests
 
 
@@ -176,3 +177,17 @@ def test_messages_written_at_once_are_the_same_text(spark):
     assert singly == at_once.replace(']', ',{"content":"x","name":null,"tool_call_id":null}]', 1)
     plan = requests.canonical_request(parsed(spark, *bodies))._jdf.queryExecution().optimizedPlan().toString()
     assert "ignoreNullFields" in plan
+
+
+def test_json_objects_are_passed_over_and_the_rest_is_read(spark):
+    good = ["{}", " {} ", '{"a":[1,{"b":null}],"a":2}', '{"-end-":true}', '{"a":"-end-"}', "5", '"x"', "[{}]", '{"é":"日本😀"}']
+    bad = [
+        "", "{", '{"a":1}}', "{} {}", '{},{"-end-":true}', '{},{"-end-":true}] x', '{"a":tru}', '{"a":NaN}', "{'a':1}",
+        '{"a":"\t"}', '{"a":"\\x"}', '{"a":1,}', None,
+    ]
+    rows = spark.createDataFrame([(t, i < len(good)) for i, t in enumerate(good + bad)], "t string, good boolean")
+    wrong = rows.where(is_json(F.col("t")) != F.col("good"))
+    assert [r.t for r in wrong.collect()] == []
+    # Only what is no object, or holds the mark, is copied.
+    plan = rows.select(is_json(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("StructField(-end-") < plan.index("ArrayType(StringType")
